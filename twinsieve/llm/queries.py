@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded into packed files and read back."""
+    from .binary import default_folder, read_packed, write_packed
+
+    docs = _table(spark, sf_dir, "documents")
+    manifest = write_packed(docs, _vocabulary("word_bpe_49k.json"), default_folder(docs), end_id=2)
+    return read_packed(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 ids, along the Hilbert curve."""
+    from .packing import pack_documents
+
+    pieces = pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, length=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
