@@ -27,6 +27,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and likenesses."""
+    from .syncmers import fingerprint_pairs
+
+    return fingerprint_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op8_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded into packed files and read back."""
     from .binary import default_folder, read_packed, write_packed
@@ -36,6 +43,17 @@ def op8_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted as prefix trees and read back."""
+    from .chat import format_trees, read_trees
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(
+        "SELECT -7L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)"
+    )
+    return read_trees(format_trees(turns.unionByName(extra)))
+
+
 def op10_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids, along the Hilbert curve."""
     from .packing import pack_documents
