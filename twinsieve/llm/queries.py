@@ -27,6 +27,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every vector whose id is divisible by 50, among all others."""
+    from .neighbours import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and likenesses."""
     from .syncmers import fingerprint_pairs
