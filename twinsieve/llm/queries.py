@@ -35,6 +35,13 @@ def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, markup, address suffix and host."""
+    from .language import identify_pages
+
+    return identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and likenesses."""
     from .syncmers import fingerprint_pairs
