@@ -27,6 +27,16 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by a network fitted outside the held-out fold."""
+    from .toxicity import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every vector whose id is divisible by 50, among all others."""
     from .neighbours import nearest
