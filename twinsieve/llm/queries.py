@@ -52,6 +52,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op6_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 5-word shingles, Jaccard of 0.8 or more."""
+    from .setjoin import similarity_classes
+
+    return similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and likenesses."""
     from .syncmers import fingerprint_pairs
