@@ -45,6 +45,13 @@ def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents with the first line of its fuzzy class, and whether it stays."""
+    from .lines import line_classes
+
+    return line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page from its text, markup, address suffix and host."""
     from .language import identify_pages
