@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -52,11 +53,19 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def cut(self, df: DataFrame, label: str) -> DataFrame:
-        """Write df as a table and read it back: later plans start from files, not from lineage."""
+    def cut(self, df: DataFrame, label: str, release: bool = False) -> DataFrame:
+        """Write df as a table and read it back: later plans start from files, not from lineage.
+
+        release: the shuffle files behind the table are large and nothing reads them again; a
+        collection of the driver's garbage lets Spark's cleaner remove them now.
+        """
         path = scratch_path(self.spark, label)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        if release:
+            del df
+            gc.collect()
+            self.spark._jvm.System.gc()
         self.paths[id(out)] = (out, path)
         return out
 
