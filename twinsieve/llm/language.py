@@ -103,7 +103,7 @@ def text_evidence(rows: DataFrame, text: str, model: tuple[list[str], np.ndarray
                 h, row = _trigrams(texts[a:b])
                 n = np.bincount(row, minlength=b - a)
                 ll = np.stack([np.bincount(row, table[h, j], minlength=b - a) for j in range(table.shape[1])], axis=1)
-                ll *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+                ll = ll * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
                 part = batch.slice(a, b - a)
                 kinds = [part.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kinds, pa.array(n), pa.array(list(ll), pa.list_(pa.float64()))], names=[*keep, "n_trigrams", "ll"])
