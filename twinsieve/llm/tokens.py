@@ -18,6 +18,7 @@ _ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u0300-\u036f\u1680\u180e\u2000-
 _LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
 #: A plain word apart from the full stops and commas behind it, else all visible characters up to a gap.
 _VISIBLE = rf"{_LETTERS}(?=[.,]*(?:[ \n]|\Z))|(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])[.,]+(?=[ \n]|\Z)"
+_PLAIN = re.compile(rf" ?{_LETTERS}").fullmatch
 _CHUNK = re.compile(rf" ?{_VISIBLE}| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 _WORD = re.compile(rf"{_VISIBLE}|[^ \n]+")
 #: Lower-casing is letter by letter up to here, so it may come before the cut.
@@ -29,12 +30,13 @@ CACHE_ENTRIES = 500_000
 class ChunkEncoder(dict):
     """chunk -> ids as bytes (little-endian unsigned, `width` bytes each).
 
-    The library encodes the chunks that a batch brings anew in one call, between separators
-    that no such chunk contains; its ids are cut at the separator's id.
+    A chunk of plain letters is one piece of the pattern, so the library's model merges it
+    alone. The library encodes the other chunks that a batch brings anew in one call, between
+    separators that no such chunk contains; its ids are cut at the separator's id.
     """
 
     def __init__(self, path: str, *, keeps_space: bool, width: int = 4, entries: int = CACHE_ENTRIES):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.entries = Tokenizer.from_file(path), entries
@@ -44,6 +46,9 @@ class ChunkEncoder(dict):
         self.lowers = not keeps_space
         self.vocabulary = self.tokenizer.get_vocab_size()
         (self.cut,) = self._ids(self.mark)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(32, 256)}
+        self.model, self.of = self.tokenizer.model, [i.to_bytes(width, "little") for i in range(self.vocabulary)]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -52,9 +57,14 @@ class ChunkEncoder(dict):
         return np.array(self._ids(text), self.kind).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        together = [c for c in chunks if self.mark not in c]
-        for c in chunks.difference(together):
-            self[c] = self.whole(c)
+        together, mark, merge, of, letters = [], self.mark, self.model.tokenize, self.of, self.letters
+        for c in chunks:
+            if _PLAIN(c):
+                self[c] = b"".join([of[t.id] for t in merge((c.lower() if self.lowers else c).translate(letters))])
+            elif mark in c:
+                self[c] = self.whole(c)
+            else:
+                together.append(c)
         for i in range(0, len(together), 4096):
             part = together[i : i + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, self.kind)
