@@ -6,9 +6,12 @@ n - ceil(t * n) + 1 shingles of both, so only those go to the index lists. A lis
 set size, which cuts it into blocks: a set skips every block of sizes that cannot reach the
 threshold, and inside a block every entry whose position leaves too few shingles.
 
-Lists of up to `LIST` sets give their pairs at the least shingle the pair is known to share.
-Longer lists are not paired off: each set is first compared with the list's leader alone. Once
-the links so far have been joined into components, a long list within one component is done.
+Lists of up to `LIST` sets give their pairs at the least shingle the pair is known to share,
+as ids. Sets are fetched for one pair of each set first; the links so far are joined into
+components, and of the pairs that still cross components those are compared whose histograms
+of hash ranges leave room for enough shared shingles. Longer lists are not
+paired off: each set is first compared with the list's leader alone, and a long list within one
+component is done.
 In the others, the computed overlaps with the leader bound the overlap of any two members from
 both sides: |x & y| <= min(ox, oy) + min(nx - ox, ny - oy) and >= ox + oy - n(leader). Pairs
 of different components below the bound are skipped, pairs above it are answers without a
@@ -34,6 +37,8 @@ from ..runtime import Scratch, maybe_in
 from .tokens import in_batches
 
 WIDTH, PERCENT, LIST = 5, 80, 32
+#: Hash ranges of a set's histogram.
+SLOT_BITS = 10
 #: Most entries of the list of frequent shingles, and the least count in one batch to be noted.
 FREQUENT, NOTED = 1 << 18, 6
 
@@ -242,8 +247,8 @@ def list_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, shared, na, nb of pairs(a, b), by their sets(class, shingles)."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    left = maybe_in(sets, "class", pairs, "a").select(F.col("class").alias("a"), F.col("shingles").alias("x"))
+    right = maybe_in(sets, "class", pairs, "b").select(F.col("class").alias("b"), F.col("shingles").alias("y"))
 
     def run(batches):
         import pyarrow as pa
@@ -263,6 +268,37 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, na long, nb long")
 
 
+def _histogram(h: np.ndarray) -> bytes | None:
+    """Shingles in each of SLOTS hash ranges; None where a count does not fit a byte."""
+    c = np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+    return None if c.max(initial=0) > 255 else c.astype(np.uint8).tobytes()
+
+
+def sieve(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose histograms leave room for enough shared shingles: |x & y| <= sum of minima.
+
+    Much less is moved than the sets themselves, and no pair that links is lost.
+    """
+    table = sets.select("class", "n", "histogram")
+    for side in ("a", "b"):
+        h = maybe_in(table, "class", pairs, side).select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("histogram").alias(f"h{side}"))
+        pairs = pairs.join(h, side)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ha, hb = batch.column("ha").to_pylist(), batch.column("hb").to_pylist()
+            need = _least(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+            keep = [
+                x is None or y is None or int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum()) >= k
+                for x, y, k in zip(ha, hb, need.tolist(), strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long")
+
+
 def relation_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """From rows (token, class, n, component, shared with the leader or null, leader's n) of long lists:
     pairs of different components that the leader's overlaps do not rule out; sure where they prove the link."""
@@ -321,7 +357,7 @@ def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     if not len(h):
         h, rank = np.array([0], np.uint64), np.array([0])
     by_hash = np.argsort(h)
-    listed = scratch.cut(list_pairs(index_rows(docs, width, percent, (h[by_hash], rank[by_hash])), percent, LIST), "set-lists")
+    listed = scratch.cut(list_pairs(index_rows(docs, width, percent, (h[by_hash], rank[by_hash])), percent, LIST), "set-lists", release=True)
     pairs = scratch.cut(listed.filter("kind = 0").select("a", "b").distinct(), "set-pairs")
     long = listed.filter("kind = 1").select("token", F.col("a").alias("class"), "n", F.col("b").alias("leader"))
 
@@ -336,14 +372,31 @@ def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
             texts = batch.column("text").to_pylist()
             for a, b in in_batches(texts):
                 s = shingle_sets(texts[a:b], width)
-                yield pa.RecordBatch.from_arrays([pa.array([_class(v) for v in s], pa.int64()), pa.array([v.tobytes() for v in s], pa.binary())], names=["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([_class(v) for v in s], pa.int64()), pa.array([len(v) for v in s], pa.int64()),
+                    pa.array([_histogram(v) for v in s], pa.binary()), pa.array([v.tobytes() for v in s], pa.binary()),
+                ], names=["class", "n", "histogram", "shingles"])
 
     few = maybe_in(docs.select("doc_id", "text"), "doc_id", need, "rep")
-    sets = few.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(to_sets, "class long, shingles binary")
-    sets = scratch.cut(sets, "sets")
+    sets = few.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(to_sets, "class long, n long, histogram binary, shingles binary")
+    sets = scratch.cut(sets, "sets", release=True)
 
-    met = scratch.cut(compare(pairs, sets, percent), "set-overlaps")
+    # first each set's pair with its least partner, and those with leaders of long lists; then what still crosses components
     linked = (100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))
+    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    to_leader = long.filter("class <> leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
+    step = scratch.cut(least.unionByName(to_leader.join(pairs, ["a", "b"], "left_semi")).distinct(), "set-first")
+    met = scratch.cut(compare(step, sets, percent), "set-overlaps", release=True)
+    links = met.filter(linked).select("a", "b")
+    comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
+    rest = pairs.join(step, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        of = comps.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        rest = rest.join(of, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    rest = scratch.cut(rest.filter("_a <> _b").select("a", "b"), "set-crossing")
+    rest = scratch.cut(sieve(rest, sets, percent), "set-sieved", release=True)
+    crossed = scratch.cut(compare(rest, sets, percent), "set-overlaps", release=True)
+    met = met.unionByName(crossed)
     links = met.filter(linked).select("a", "b")
     comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
 
@@ -359,8 +412,9 @@ def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
         "token", "class", "n", "component", "lead_n", F.when(F.col("class") == F.col("leader"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1))).alias("shared")
     )
     more = relation_pairs(rest, percent).groupBy("a", "b").agg(F.max("sure").alias("sure")).join(met.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.cut(more, "set-more")
-    met_more = compare(more.filter("not sure").select("a", "b"), sets, percent)
+    more = scratch.cut(more, "set-more", release=True)
+    unsure = scratch.cut(sieve(more.filter("not sure").select("a", "b"), sets, percent), "set-sieved", release=True)
+    met_more = compare(unsure, sets, percent)
     links = links.unionByName(met_more.filter(linked).select("a", "b")).unionByName(more.filter("sure").select("a", "b"))
     if more.take(1):
         links = scratch.cut(links, "set-links")
