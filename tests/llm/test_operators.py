@@ -75,6 +75,17 @@ def test_mix(docs):
     assert mixing.mix_rates(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.4, 1.8])
+def test_mix_with_a_very_long_document(spark, share):
+    short = spark.range(30000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("s").alias("source"))
+    long = spark.range(30000, 30001).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 5000).alias("text"), F.lit("s").alias("source"))
+    both = short.unionByName(long)
+    got = mixing.mix_rates(both, weights=(1,), share=share).agg(F.sum("taken"), F.sum(F.col("rate") * F.col("size"))).first()
+    assert got[1] == pytest.approx(share * 35000, rel=1e-6) and abs(got[0] - share * 35000) <= 1
+    with pytest.raises(RuntimeError, match="no mix"):
+        mixing.mix_rates(both, weights=(1,), share=share, newton_steps=2)
+
+
 def _components(sets, percent):
     parent = {i: i for i in sets}
 

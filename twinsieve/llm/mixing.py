@@ -4,9 +4,10 @@ Every document gets a rate, the expected number of its copies in the mix. Among
 between 0 and `cap` that give each source its target number of words, entropy balancing takes
 those that stray least from equal rates (Fermi-Dirac entropy, which keeps the bound `cap`):
 an exponential tilt, rate = cap * e^z / (1 + e^z) with z = lambda[source] * size / scale[source].
-The lambdas solve the convex dual, one equation a source, by damped Newton steps. A step is
-one grouped aggregation of a histogram (source, size, documents), which is all the dual depends
-on; documents are not read again.
+The lambdas solve the convex dual, one equation a source, by Newton steps kept inside a bracket:
+a step that leaves it, or gains too little, bisects it, and an open side is searched by doubling.
+A step is one grouped aggregation of a histogram (source, size, documents), which is all the dual
+depends on; documents are not read again. A source that misses its target after all steps raises.
 
 Rates become whole copies by systematic rounding along the sizes of a source, a distributed
 running sum, so that a source's words miss the target by about one document at most; two
@@ -69,7 +70,11 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, c
 
 
 def _solve(state: DataFrame, hist: DataFrame, cap: float, scratch: Scratch, most: int, tolerance: float) -> DataFrame:
-    """Newton steps until every source meets its target; state(source, ..., scale, lam)."""
+    """Safeguarded Newton steps until every source meets its target; state(source, ..., scale, lam).
+
+    The words got grow with lam, so each step closes the bracket (lo, hi) from one side.
+    """
+    state = state.withColumns({c: F.lit(None).cast("double") for c in ("lo", "hi", "last")})
     for _ in range(most):
         z = F.col("lam") * F.col("size") / F.col("scale")
         r = F.lit(cap) / (1 + F.exp(-z))
@@ -80,20 +85,26 @@ def _solve(state: DataFrame, hist: DataFrame, cap: float, scratch: Scratch, most
             .agg(F.sum(words * r).alias("got"), F.sum(words * r * (1 - r / cap) * F.col("size") / F.col("scale")).alias("slope"))
         )
         miss = F.col("target") - F.col("got")
-        step = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), miss / F.greatest("slope", F.lit(1e-300))))
-        live = F.col("open") & F.col("got").isNotNull() & (F.abs(miss) > F.col("target") * tolerance)
+        live = F.col("open") & F.col("got").isNotNull() & (F.abs(miss) > F.greatest(F.col("target") * tolerance, F.lit(1e-9)))
+        lo, hi = F.when(miss > 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss < 0, F.col("lam")).otherwise(F.col("hi"))
+        far = F.greatest(F.lit(3.0), F.abs("lam"))
+        step = F.greatest(-far, F.least(far, miss / F.greatest("slope", F.lit(1e-300))))
+        newton, closed = F.col("lam") + step, lo.isNotNull() & hi.isNotNull()
+        poor = (newton <= lo) | (newton >= hi) | F.coalesce(F.abs(miss) > F.col("last") / 2, F.lit(False))
+        lam = F.when(closed & poor, (lo + hi) / 2).otherwise(newton)
         new = scratch.cut(
             state.join(s, state["source"].eqNullSafe(s["of"]), "left").select(
-                "source", "source_size", "target", "scale", "full",
-                F.when(live, F.col("lam") + step).otherwise(F.col("lam")).alias("lam"), live.alias("open"),
+                "source", "source_size", "target", "scale", "full", F.when(live, lam).otherwise(F.col("lam")).alias("lam"), live.alias("open"),
+                lo.alias("lo"), hi.alias("hi"), F.abs(miss).alias("last"),
             ),
             "mix-state",
         )
         scratch.drop(state)
         state = new
         if not has_rows(state.filter("open")):
-            break
-    return state
+            return state
+    missed = [tuple(x) for x in state.filter("open").select("source", "target", "last").take(5)]
+    raise RuntimeError(f"no mix within {most} steps; (source, target, words missed): {missed}")
 
 
 def _ordinal() -> Column:
@@ -103,7 +114,7 @@ def _ordinal() -> Column:
 
 def mix_rates(
     docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2,
-    newton_steps: int = 60, tolerance: float = 1e-9, repairs: int = 2,
+    newton_steps: int = 300, tolerance: float = 1e-9, repairs: int = 2,
 ) -> DataFrame:
     """docs(doc_id, text, source): doc_id, ord, source, size, source_size, target, rate, copies, taken."""
     spark = docs.sparkSession
