@@ -139,6 +139,22 @@ def test_lines(docs, monkeypatch, most):
     assert lines.line_classes(empty(docs)).count() == 0
 
 
+def test_lines_with_one_changed_character(spark):
+    g = random.Random(5)
+    rows, like = [("Ab", 0), ("aB", 0)], {0}
+    for k in range(1, 150):
+        x = "".join(g.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(g.randint(20, 100))).strip().ljust(20, "z")
+        at = g.choice([0, len(x) - 1, g.randrange(len(x))])
+        y = x[:at] + "7" + x[at + 1 :]
+        a, b = ({z[i : i + 4] for i in range(len(z) - 3)} for z in (x, y))
+        like |= {k} if 100 * len(a & b) >= 80 * len(a | b) else set()
+        assert k in like or len(x) < 39
+        rows += [(x, k), (y, k)]
+    table = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string")
+    got = {rows[r.doc_id][1] for r in lines.line_classes(table).filter("not kept").collect()}
+    assert got <= like and len(got) >= 0.98 * len(like)
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunks_equal_the_library(name, spaced):
     g = random.Random(1)
