@@ -155,6 +155,18 @@ def test_lines_with_one_changed_character(spark):
     assert got <= like and len(got) >= 0.98 * len(like)
 
 
+def test_bands_of_short_lines(spark):
+    g = random.Random(6)
+    rows = []
+    for k in range(4000):  # 5 shingles in the union, 4 shared
+        x = "".join(chr(0x4E00 + g.randrange(20000)) for _ in range(8))
+        rows += [(k, 2 * k, x), (k, 2 * k + 1, x[:7])]
+    table = spark.createDataFrame(rows, "pair long, line_id long, line string")
+    keys = lines.band_rows(table).select(F.floor(F.col("line_id") / 2).alias("pair"), "key")
+    met = keys.groupBy("pair", "key").count().filter("count > 1").select("pair").distinct().count()
+    assert met >= 0.99 * 4000
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunks_equal_the_library(name, spaced):
     g = random.Random(1)
