@@ -167,6 +167,21 @@ def test_bands_of_short_lines(spark):
     assert met >= 0.99 * 4000
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    x, p, q, z, y, r, w, v = (c * 12 + f" line {c}" for c in "xpqzyrwv")
+    a, b = "\n".join([x, p, q, z]), "\n".join([y, z, r, w])
+    table = spark.createDataFrame([(None, a), (None, b), (7, v), (7, v), (7, x + "\n" + q + "!")], "doc_id long, text string").repartition(3)
+    out = [t.text for t in lines.dedup_lines(table).collect()]
+    assert len(out) == 5 and sorted(t for d in out for t in d.split("\n") if t) in (sorted([*(x, p, q, z, y, r, w, v)]), sorted([*(x, p, z, y, r, w, v), q + "!"]))
+    assert lines.line_classes(table).filter("kept").count() == 8
+    g = random.Random(8)
+    c = words(g, 80)
+    rows = [(None, c), (None, c + " ba"), (None, words(g, 60)), (None, words(g, 60)), (3, words(g, 50)), (3, words(g, 50)), (4, c + " ko"), (5, "one"), (5, "one")]
+    rows += [(None, d := words(g, 70)), (None, d + " sol")]
+    got = [tuple(t) for t in setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(got) == 7 and set(got) - set(rows[9:]) == set(rows[2:8]) and len(set(got) & set(rows[9:])) == 1
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunks_equal_the_library(name, spaced):
     g = random.Random(1)

@@ -22,7 +22,8 @@ The order comes from a bounded list of frequent shingles, which settles speed, n
 Shingles and classes are 64-bit hashes.
 
 Defined cases: null or blank text has an empty set and no links; fewer words than a shingle
-make one shingle of the whole sequence; repeated rows and copies share a class; an empty table
+make one shingle of the whole sequence; repeated rows and copies share a class;
+rows of equal or null doc_id are documents of their own, told apart by a hash of id and text; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import Scratch, maybe_in
+from ..runtime import Scratch, maybe_in, row_key
 from .tokens import in_batches
 
 WIDTH, PERCENT, LIST = 5, 80, 32
@@ -102,24 +103,24 @@ def _class(h: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, class, n of each document; kind 1: shingles (class column) frequent in a batch and their counts (n)."""
+    """kind 0: doc_id, key, class, n of each document; kind 1: shingles (class column) frequent in a batch and their counts (n)."""
 
     def run(batches):
         import pyarrow as pa
 
-        names, held, held_n, seen = ["kind", "doc_id", "class", "n"], [], 0, set()
+        names, held, held_n, seen = ["kind", "doc_id", "key", "class", "n"], [], 0, set()
 
         def frequent():
             h, c = np.unique(np.concatenate(held), return_counts=True)
             h, c = h[c >= NOTED], c[c >= NOTED]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int64)), pa.array(np.zeros(len(h), np.int64)), pa.array(_signed(h)), pa.array(c.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int64)), *[pa.array(np.zeros(len(h), np.int64))] * 2, pa.array(_signed(h)), pa.array(c.astype(np.int64))], names=names)
 
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            texts, ids, keys = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("key")
             for a, b in in_batches(texts):
                 sets = shingle_sets(texts[a:b], width)
                 cls = [_class(h) for h in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int64)), ids.slice(a, b - a), pa.array(cls, pa.int64()), pa.array([len(h) for h in sets], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int64)), ids.slice(a, b - a), keys.slice(a, b - a), pa.array(cls, pa.int64()), pa.array([len(h) for h in sets], pa.int64())], names=names)
                 for c, h in zip(cls, sets, strict=True):
                     if c not in seen:
                         seen.add(c)
@@ -131,7 +132,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind long, doc_id long, class long, n long")
+    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "kind long, doc_id long, key long, class long, n long")
 
 
 def index_rows(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -344,10 +345,15 @@ def relation_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), n_links of the set to other sets known so far."""
+    return _members(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, key, n_shingles, component_id and first_key, the key of the component's row that stays."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     both = scratch.cut(classes(docs, width), "set-classes")
-    nodes = both.filter("kind = 0").select("doc_id", "class", "n")
+    nodes = both.filter("kind = 0").select("doc_id", "key", "class", "n")
     often = (
         both.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).filter(F.col("n") >= 2 * NOTED)
         .orderBy(F.desc("n"), "class").limit(FREQUENT).collect()
@@ -361,9 +367,9 @@ def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     pairs = scratch.cut(listed.filter("kind = 0").select("a", "b").distinct(), "set-pairs")
     long = listed.filter("kind = 1").select("token", F.col("a").alias("class"), "n", F.col("b").alias("leader"))
 
-    reps = nodes.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    reps = nodes.filter("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"), F.first("n").alias("n"))
     need = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(long.select("class")).distinct()
-    need = scratch.cut(need.join(reps, "class"), "set-needed")
+    need = scratch.cut(need.join(reps, "class").select("class", F.col("rep.key").alias("rep")), "set-needed")
 
     def to_sets(batches):
         import pyarrow as pa
@@ -377,8 +383,9 @@ def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
                     pa.array([_histogram(v) for v in s], pa.binary()), pa.array([v.tobytes() for v in s], pa.binary()),
                 ], names=["class", "n", "histogram", "shingles"])
 
-    few = maybe_in(docs.select("doc_id", "text"), "doc_id", need, "rep")
-    sets = few.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(to_sets, "class long, n long, histogram binary, shingles binary")
+    few = maybe_in(docs.select(row_key().alias("key"), "text"), "key", need, "rep")
+    few = few.join(need.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    sets = few.select("text").mapInArrow(to_sets, "class long, n long, histogram binary, shingles binary")
     sets = scratch.cut(sets, "sets", release=True)
 
     # first each set's pair with its least partner, and those with leaders of long lists; then what still crosses components
@@ -421,15 +428,15 @@ def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
         comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
 
     whole = reps.join(comps, reps["class"] == comps["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
-    ids = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = whole.join(ids, "component").select(F.col("class").alias("_class"), "component_id")
+    ids = whole.groupBy("component").agg(F.min("rep").alias("first"))
+    ids = whole.join(ids, "component").select(F.col("class").alias("_class"), F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
     return nodes.join(ids, (F.col("class") == F.col("_class")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("first_key", "key").alias("first_key")
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that link to one of smaller doc_id; of repeated rows one stays."""
-    gone = similarity_classes(docs, **options).filter("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+def keep_one(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Of each component the row of least doc_id, null last; of exactly repeated rows one stays."""
+    gone = _members(docs, width, percent).filter("first_key <> key").select(F.col("key").alias("_key")).distinct()
+    kept = docs.withColumn("_key", row_key()).join(gone, "_key", "left_anti")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)

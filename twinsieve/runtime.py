@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Functions sent to executors carry this package's code with them: nothing to install there.
@@ -76,6 +76,11 @@ class Scratch:
                 drop_path(self.spark, path)
 
 
+def row_key() -> Column:
+    """Tells rows of equal or null doc_id apart by their texts; only exact repeats share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.take(1))
 
