@@ -344,7 +344,7 @@ def relation_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), n_links of the set to other sets known so far."""
+    """doc_id, n_shingles, component_id (least doc_id reachable by links); no pairs or link counts, as pairs inside a component are skipped."""
     return _members(docs, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
