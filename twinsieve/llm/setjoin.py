@@ -6,17 +6,21 @@ n - ceil(t * n) + 1 shingles of both, so only those go to the index lists. A lis
 set size, which cuts it into blocks: a set skips every block of sizes that cannot reach the
 threshold, and inside a block every entry whose position leaves too few shingles.
 
-Lists of up to `LIST` sets give their pairs at the least shingle the pair is known to share,
-as ids. Sets are fetched for one pair of each set first; the links so far are joined into
-components, and of the pairs that still cross components those are compared whose histograms
-of hash ranges leave room for enough shared shingles. Longer lists are not
-paired off: each set is first compared with the list's leader alone, and a long list within one
-component is done.
-In the others, the computed overlaps with the leader bound the overlap of any two members from
-both sides: |x & y| <= min(ox, oy) + min(nx - ox, ny - oy) and >= ox + oy - n(leader). Pairs
-of different components below the bound are skipped, pairs above it are answers without a
-further look at the sets, and only the rest is compared. No link between different sets is
-lost: components come out as if all pairs had been compared.
+A list of up to `LIST` sets gives its pairs, each at the least shingle the pair is known to
+share. A longer list is not paired off. Its smallest set r leads it: the others are compared with r
+alone (and with one more set, so that groups join early), and the answers of two members x and y
+follow from their answers with r. If they link, they share at least m = ceil(t * (nx + ny) / (1 + t))
+shingles, of which at most min(|x & r|, |y & r|) lie in r. As r is the smaller, min(|x & r|,
+|y & r|) >= m means that both link to r, so they are in one component already. Otherwise they share
+m - min(|x & r|, |y & r|) shingles outside r, hence one of the first n - ceil(t * n) + 1 of these
+shingles of both: only those, keyed by r, make the list's next, shorter lists. A list whose sets are
+in one component is done. The rounds end when no long list is open; each leaves its leader behind.
+What a boilerplate passage or a large group of copies has in common is so read once, with the leader.
+
+Pairs are fetched as ids. Sets are fetched for one pair of each set first; the links so far are joined
+into components, and of the pairs that still cross components those are compared whose histograms
+of hash ranges leave room for enough shared shingles. No link between different sets is lost:
+components come out as if all pairs had been compared.
 
 The order comes from a bounded list of frequent shingles, which settles speed, not results.
 Shingles and classes are 64-bit hashes.
@@ -34,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import Scratch, maybe_in, row_key
+from ..runtime import Scratch, has_rows, maybe_in, row_key
 from .tokens import in_batches
 
-WIDTH, PERCENT, LIST = 5, 80, 32
+WIDTH, PERCENT, LIST = 5, 80, 6
+#: Rounds of shorter lists before giving up with an error; two or three are usual.
+ROUNDS = 40
 #: Hash ranges of a set's histogram.
 SLOT_BITS = 10
 #: Most entries of the list of frequent shingles, and the least count in one batch to be noted.
@@ -135,6 +141,28 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "kind long, doc_id long, key long, class long, n long")
 
 
+def _among(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which of p are in q; q is sorted."""
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    return q[at] == p if len(q) else np.zeros(len(p), bool)
+
+
+class Order:
+    """The order of shingles in all sets: frequent ones last, by rank; the others by hash, as they come."""
+
+    def __init__(self, often: np.ndarray, rank: np.ndarray):
+        self.often, self.rank = often, rank
+        self.flags = np.zeros(1 << 22, bool)
+        self.flags[(often >> np.uint64(42)).astype(np.int64)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not self.flags[(h >> np.uint64(42)).astype(np.int64)].any():
+            return h
+        at = np.minimum(np.searchsorted(self.often, h), len(self.often) - 1)
+        hit = self.often[at] == h
+        return np.concatenate([h[~hit], h[hit][np.argsort(self.rank[at[hit]])]])
+
+
 def index_rows(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """token, class, n, pos, first (the set's first token) of the first shingles of each set."""
     spark = docs.sparkSession
@@ -143,9 +171,7 @@ def index_rows(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarra
     def run(batches):
         import pyarrow as pa
 
-        often, rank = sent.value
-        flags = np.zeros(1 << 22, bool)
-        flags[(often >> np.uint64(42)).astype(np.int64)] = True
+        put_last = Order(*sent.value)
         seen = set()
         names = ["token", "class", "n", "pos", "first"]
         for batch in batches:
@@ -158,12 +184,7 @@ def index_rows(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarra
                         continue
                     seen.add(c)
                     p = n - -(-percent * n // 100) + 1
-                    maybe = flags[(h >> np.uint64(42)).astype(np.int64)]
-                    if maybe.any():
-                        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                        hit = often[at] == h
-                        rest = h[hit]
-                        h = np.concatenate([h[~hit], rest[np.argsort(rank[at[hit]])]])
+                    h = put_last(h)
                     h = h[:p]
                     token.append(h)
                     cls.append(c)
@@ -186,21 +207,32 @@ def _least(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def list_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """From index rows: kind 0, pairs (a, b) to compare; kind 1, the rows of long lists with their leader (b)."""
+    """From index rows: kind 0, pairs (a, b) to compare; kind 1, the sets (a) of long lists with their leader (b).
+
+    Lists come sorted by token and size, so that a long one is streamed past its first rows.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["kind", "a", "b", "token", "n"]
+        names = ["kind", "a", "b", "token"]
+
+        def out(kind, a, b, token):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a), pa.array(b), pa.array(token)], names=names)
 
-        def out(kind, a, b, token, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a), pa.array(b), pa.array(token), pa.array(n)], names=names)
+        def long_rows(x: dict, lead: dict):
+            """Rows of one long list: its leader for each, and a pair with leader and hub where the sizes allow it."""
+            yield out(1, x["class"], np.full(len(x["class"]), lead["class"]), x["token"])
+            a, b = [], []
+            for mate in ("class", "hub"):
+                fit = (100 * np.minimum(x["n"], lead[f"{mate}_n"]) >= percent * np.maximum(x["n"], lead[f"{mate}_n"])) & (x["class"] != lead[mate])
+                a.append(x["class"][fit])
+                b.append(np.full(fit.sum(), lead[mate]))
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield out(2, np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))
 
         def lists(x: dict):
             """x: whole lists only, sorted by token, n, class."""
-            new = np.ones(len(x["token"]), bool)
-            new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["class"][1:] != x["class"][:-1])
-            x = {k: v[new] for k, v in x.items()}
             start = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
             size = np.diff(np.concatenate([start, [len(x["token"])]]))
             found = []
@@ -210,40 +242,96 @@ def list_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
                     for j in range(i + 1, m):
                         a, b = s + i, s + j
                         na, nb = x["n"][a], x["n"][b]
-                        room = 1 + np.minimum(na - x["pos"][a], nb - x["pos"][b]) - 1
+                        room = np.minimum(na - x["pos"][a], nb - x["pos"][b])
                         ok = (100 * na >= percent * nb) & (room >= _least(na, nb, percent))
                         ok &= (x["first"][a] != x["first"][b]) | (x["first"][a] == x["token"][a])
                         found.append((x["class"][a[ok]], x["class"][b[ok]]))
             for s, m in zip(start[size > most].tolist(), size[size > most].tolist(), strict=True):
-                e = slice(s, s + m)
-                cls, n = x["class"][e], x["n"][e]
-                lead = int(cls.argmin())
-                fit = (100 * np.minimum(n, n[lead]) >= percent * np.maximum(n, n[lead])) & (np.arange(m) != lead)
-                found.append((cls[fit], np.full(fit.sum(), cls[lead])))
-                yield out(1, cls, np.full(m, cls[lead]), x["token"][e], n)
+                part = {k: v[s : s + m] for k, v in x.items()}
+                yield from long_rows(part, leader(part))
             if found:
                 a, b = (np.concatenate(z) for z in zip(*found, strict=True))
                 if len(a):
                     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                    zero = np.zeros(len(pair), np.int64)
-                    yield out(0, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), zero, zero)
+                    yield out(0, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), np.zeros(len(pair), np.int64))
+
+        def leader(part: dict) -> dict:
+            mid = most // 2
+            return {"token": part["token"][0], "class": part["class"][0], "class_n": part["n"][0], "hub": part["class"][mid], "hub_n": part["n"][mid]}
+
+        def cut(x: dict, e: slice) -> dict:
+            return {k: v[e] for k, v in x.items()}
 
         held: list[dict] = []
-        held_n = 0
+        held_n, lead = 0, None
+
+        def advance(x: dict, end: bool):
+            """Rows out of x; what must wait for more rows stays held."""
+            nonlocal held, held_n, lead
+            new = np.ones(len(x["token"]), bool)
+            new[1:] = (x["token"][1:] != x["token"][:-1]) | (x["class"][1:] != x["class"][:-1])
+            x = {k: v[new] for k, v in x.items()}
+            if lead is not None:
+                same = int(np.searchsorted(x["token"], lead["token"], "right"))
+                if same:
+                    yield from long_rows(cut(x, slice(0, same)), lead)
+                if same == len(x["token"]) and not end:
+                    held, held_n = [], 0
+                    return
+                x, lead = cut(x, slice(same, None)), None
+            last = len(x["token"]) if end else int(np.searchsorted(x["token"], x["token"][-1]))
+            if last:
+                yield from lists(cut(x, slice(0, last)))
+            x = cut(x, slice(last, None))
+            if len(x["token"]) > most and not end:
+                lead = leader(x)
+                yield from long_rows(x, lead)
+                x = cut(x, slice(0, 0))
+            held, held_n = [x], len(x["token"])
+
         for batch in batches:
             held.append({k: batch.column(k).to_numpy() for k in ("token", "class", "n", "pos", "first")})
             held_n += batch.num_rows
-            if held_n < 100_000:
-                continue
-            x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            last = int(np.searchsorted(x["token"], x["token"][-1]))
-            if last:
-                yield from lists({k: v[:last] for k, v in x.items()})
-            held, held_n = [{k: v[last:] for k, v in x.items()}], held_n - last
+            if held_n >= 100_000:
+                yield from advance({k: np.concatenate([h[k] for h in held]) for k in held[0]}, False)
         if held_n:
-            yield from lists({k: np.concatenate([h[k] for h in held]) for k in held[0]})
+            yield from advance({k: np.concatenate([h[k] for h in held]) for k in held[0]}, True)
+
+    return rows.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "kind long, a long, b long, token long")
+
+
+def outside_rows(pairs: DataFrame, sets: DataFrame, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Index rows (token, class, n, pos, first) of sets (class) by their first shingles outside their leader.
+
+    pairs(class, leader, path): the new lists are keyed by path and shingle.
+    """
+    x = maybe_in(sets, "class", pairs, "class").select("class", F.col("shingles").alias("x"))
+    y = maybe_in(sets, "class", pairs, "leader").select(F.col("class").alias("leader"), F.col("shingles").alias("y"))
+    sent = pairs.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches):
+        import pyarrow as pa
+
+        put_last = Order(*sent.value)
+        names = ["token", "class", "n", "pos", "first"]
+        for batch in batches:
+            cls, path = (batch.column(c).to_pylist() for c in ("class", "path"))
+            xs, ys = batch.column("x"), batch.column("y")
+            cols: list[list] = [[], [], [], [], []]
+            for i in range(batch.num_rows):
+                p, q = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
+                d = p[~_among(p, q)]
+                n, s = len(p), len(p) - len(d)
+                d = put_last(d)[: max(0, len(d) - max(1, -(-percent * n // 100) - s) + 1)]
+                if len(d):
+                    token = _signed(_mix(d ^ _mix(np.array([path[i]], np.int64).view(np.uint64))))
+                    for c, v in zip(cols, (token, np.full(len(d), cls[i]), np.full(len(d), n), np.arange(len(d)), np.full(len(d), token[0])), strict=True):
+                        c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "kind long, a long, b long, token long, n long")
+    both = pairs.join(x, "class").join(y, "leader").select("class", "path", "x", "y")
+    return both.mapInArrow(run, "token long, class long, n long, pos long, first long")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -300,47 +388,55 @@ def sieve(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def relation_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """From rows (token, class, n, component, shared with the leader or null, leader's n) of long lists:
-    pairs of different components that the leader's overlaps do not rule out; sure where they prove the link."""
+def _packed(docs: DataFrame, width: int) -> DataFrame:
+    """class, n, histogram, shingles of docs(text)."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["a", "b", "sure"]
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in in_batches(texts):
+                s = shingle_sets(texts[a:b], width)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([_class(v) for v in s], pa.int64()), pa.array([len(v) for v in s], pa.int64()),
+                    pa.array([_histogram(v) for v in s], pa.binary()), pa.array([v.tobytes() for v in s], pa.binary()),
+                ], names=["class", "n", "histogram", "shingles"])
 
-        def pairs(x: dict):
-            start = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
-            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(x["token"])], strict=True):
-                cls, n, comp, o, lead_n = (x[k][s:e] for k in ("class", "n", "component", "shared", "lead_n"))
-                for i in range(len(cls) - 1):
-                    last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))  # blocks of larger sets are skipped
-                    j = slice(i + 1, max(i + 1, last))
-                    if comp[i] == comp[j].min(initial=comp[i]) and comp[i] == comp[j].max(initial=comp[i]):
-                        continue
-                    need = _least(n[i], n[j], percent)
-                    known = (o[j] >= 0) & (o[i] >= 0)
-                    most = np.where(known, np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j]), n[i])
-                    at = np.flatnonzero((comp[j] != comp[i]) & (most >= need))
-                    if len(at):
-                        sure = (known & (o[i] + o[j] - lead_n[j] >= need))[at]
-                        b = cls[j][at]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], b)), pa.array(np.maximum(cls[i], b)), pa.array(sure)], names=names)
+    return docs.select("text").mapInArrow(run, "class long, n long, histogram binary, shingles binary")
 
-        held: list[dict] = []
-        for batch in batches:
-            held.append({k: batch.column(k).to_numpy() for k in ("token", "class", "n", "component", "shared", "lead_n")})
-            if sum(len(h["token"]) for h in held) < 50_000:
-                continue
-            x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            last = int(np.searchsorted(x["token"], x["token"][-1]))
-            if last:
-                yield from pairs({k: v[:last] for k, v in x.items()})
-            held = [{k: v[last:] for k, v in x.items()}]
-        if held and len(held[0]["token"]):
-            yield from pairs({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "a long, b long, sure boolean")
+def _component_of(rows: DataFrame, comps: DataFrame | None, column: str) -> DataFrame:
+    """rows with `_column`, the component of the class in column."""
+    if comps is None:
+        return rows.withColumn(f"_{column}", F.col(column))
+    of = comps.select(F.col("node").alias(column), F.col("component").alias(f"_{column}"))
+    return rows.join(of, column, "left").withColumn(f"_{column}", F.coalesce(f"_{column}", column))
+
+
+def _join_lists(listed: DataFrame, links: DataFrame | None, comps: DataFrame | None, sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
+    """links and comps with what the pairs of these lists add: leaders' pairs and each set's least partner first."""
+    linked = (100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))
+    short = listed.filter("kind = 0").select("a", "b")
+    ahead = short.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(listed.filter("kind = 2").select("a", "b"))
+    for pairs, sift in ((ahead, False), (short, True)):
+        for side in ("a", "b"):
+            pairs = _component_of(pairs, comps, side)
+        pairs = scratch.cut(pairs.filter("_a <> _b").select("a", "b").distinct(), "set-pairs")
+        asked = scratch.cut(sieve(pairs, sets, percent), "set-sieved", release=True) if sift else pairs
+        new = scratch.cut(compare(asked, sets, percent).filter(linked).select("a", "b"), "set-links", release=True)
+        if comps is None or has_rows(new):
+            links = new if links is None else links.unionByName(new)
+            comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
+    return links, comps
+
+
+def _open_lists(listed: DataFrame, comps: DataFrame) -> DataFrame:
+    """token, class, leader of the long lists whose sets are of several components; leaders themselves left out."""
+    long = listed.filter("kind = 1").select("token", F.col("a").alias("class"), F.col("b").alias("leader"))
+    told = _component_of(long, comps, "class")
+    open_lists = told.groupBy("token").agg(F.min("_class").alias("lo"), F.max("_class").alias("hi")).filter("lo < hi").select("token")
+    return long.join(open_lists, "token", "left_semi").filter("class <> leader")
 
 
 def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -363,69 +459,30 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if not len(h):
         h, rank = np.array([0], np.uint64), np.array([0])
     by_hash = np.argsort(h)
-    listed = scratch.cut(list_pairs(index_rows(docs, width, percent, (h[by_hash], rank[by_hash])), percent, LIST), "set-lists", release=True)
-    pairs = scratch.cut(listed.filter("kind = 0").select("a", "b").distinct(), "set-pairs")
-    long = listed.filter("kind = 1").select("token", F.col("a").alias("class"), "n", F.col("b").alias("leader"))
-
-    reps = nodes.filter("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"), F.first("n").alias("n"))
-    need = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(long.select("class")).distinct()
+    order = (h[by_hash], rank[by_hash])
+    reps = nodes.filter("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"))
+    listed = scratch.cut(list_pairs(index_rows(docs, width, percent, order), percent, LIST), "set-lists", release=True)
+    need = listed.filter("kind < 2").select(F.col("a").alias("class")).unionByName(listed.filter("kind < 2").select(F.col("b").alias("class"))).distinct()
     need = scratch.cut(need.join(reps, "class").select("class", F.col("rep.key").alias("rep")), "set-needed")
-
-    def to_sets(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in in_batches(texts):
-                s = shingle_sets(texts[a:b], width)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([_class(v) for v in s], pa.int64()), pa.array([len(v) for v in s], pa.int64()),
-                    pa.array([_histogram(v) for v in s], pa.binary()), pa.array([v.tobytes() for v in s], pa.binary()),
-                ], names=["class", "n", "histogram", "shingles"])
-
     few = maybe_in(docs.select(row_key().alias("key"), "text"), "key", need, "rep")
     few = few.join(need.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    sets = few.select("text").mapInArrow(to_sets, "class long, n long, histogram binary, shingles binary")
-    sets = scratch.cut(sets, "sets", release=True)
-
-    # first each set's pair with its least partner, and those with leaders of long lists; then what still crosses components
-    linked = (100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))
-    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    to_leader = long.filter("class <> leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
-    step = scratch.cut(least.unionByName(to_leader.join(pairs, ["a", "b"], "left_semi")).distinct(), "set-first")
-    met = scratch.cut(compare(step, sets, percent), "set-overlaps", release=True)
-    links = met.filter(linked).select("a", "b")
-    comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
-    rest = pairs.join(step, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        of = comps.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-        rest = rest.join(of, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    rest = scratch.cut(rest.filter("_a <> _b").select("a", "b"), "set-crossing")
-    rest = scratch.cut(sieve(rest, sets, percent), "set-sieved", release=True)
-    crossed = scratch.cut(compare(rest, sets, percent), "set-overlaps", release=True)
-    met = met.unionByName(crossed)
-    links = met.filter(linked).select("a", "b")
-    comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
-
-    # second round: long lists that span components
-    left = long.join(comps, long["class"] == comps["node"], "left").select("token", "class", "n", "leader", F.coalesce("component", "class").alias("component"))
-    left = scratch.cut(left, "set-long")
-    open_lists = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    rest = left.join(open_lists, "token", "left_semi")
-    to_lead = met.select(F.col("a").alias("_x"), F.col("b").alias("_y"), "shared")
-    rest = rest.join(to_lead, (F.least("class", "leader") == F.col("_x")) & (F.greatest("class", "leader") == F.col("_y")), "left").drop("_x", "_y")
-    lead_n = reps.select(F.col("class").alias("leader"), F.col("n").alias("lead_n"))
-    rest = rest.join(lead_n, "leader").select(
-        "token", "class", "n", "component", "lead_n", F.when(F.col("class") == F.col("leader"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1))).alias("shared")
-    )
-    more = relation_pairs(rest, percent).groupBy("a", "b").agg(F.max("sure").alias("sure")).join(met.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.cut(more, "set-more", release=True)
-    unsure = scratch.cut(sieve(more.filter("not sure").select("a", "b"), sets, percent), "set-sieved", release=True)
-    met_more = compare(unsure, sets, percent)
-    links = links.unionByName(met_more.filter(linked).select("a", "b")).unionByName(more.filter("sure").select("a", "b"))
-    if more.take(1):
-        links = scratch.cut(links, "set-links")
-        comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
+    sets = scratch.cut(_packed(few, width), "sets", release=True)
+
+    links = comps = None
+    for _ in range(ROUNDS):
+        links, comps = _join_lists(listed, links, comps, sets, scratch, percent)
+        open_sets = scratch.cut(_open_lists(listed, comps), "set-open")
+        first_round = listed.columns[-1] != "path"
+        scratch.drop(listed)
+        if not has_rows(open_sets):
+            break
+        # at first the leader names the lists that follow, as all lists of a leader ask for the same
+        path = F.col("leader") if first_round else F.xxhash64("token", "leader")
+        rows = outside_rows(open_sets.select("class", "leader", path.alias("path")).distinct(), sets, percent, order)
+        listed = scratch.cut(list_pairs(rows, percent, LIST).withColumn("path", F.lit(True)), "set-lists", release=True)
+        scratch.drop(open_sets)
+    else:
+        raise RuntimeError(f"lists of sets are still open after {ROUNDS} rounds")
 
     whole = reps.join(comps, reps["class"] == comps["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     ids = whole.groupBy("component").agg(F.min("rep").alias("first"))
