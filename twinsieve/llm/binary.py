@@ -197,7 +197,9 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    spread = manifest.select("file", "base").repartition("file")
+    spread = manifest.select("part", "file", "base")
+    tasks = spread.agg(F.max("part")).first()[0]  # the manifest has a row a file
+    spread = spread.repartitionById((tasks or 0) + 1, F.col("part").cast("int")).select("file", "base")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
