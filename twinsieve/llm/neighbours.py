@@ -9,12 +9,13 @@ are counted) until `k` verified vectors lie within distance R, so that anything
 have collided often enough with high probability, or until R covers the unit sphere, when all
 rest is verified. Nothing caps windows or candidates.
 
-The queries go to the shards in blocks, as two kinds of packed rows joined by block number; a
-shard's answers are k rows a query, and the nearest over all shards are ranked per query.
+A shard stays in one task, to which all blocks of queries (a small share of the vectors) are sent; its
+answers are k rows a query, and the nearest over all shards are ranked per query.
 
 Defined cases: vectors null, zero, or with null or non-finite components take no part, as
 query or as candidate; vectors only meet vectors of their dimension; a query never finds rows
-of its own vec_id; copies tie and go by vec_id; an empty table gives no rows; further columns
+of its own vec_id; repeated query rows are one query, rows of one vec_id with different vectors
+several; copies tie and go by vec_id; an empty table gives no rows; further columns
 are ignored.
 """
 
@@ -89,7 +90,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each of queries(vec_id, embedding) its k nearest vectors: query_id, rank, vec_id, score."""
     scratch = Scratch(vectors.sparkSession)
-    rows, asked = usable(vectors), usable(queries)
+    rows, asked = usable(vectors), usable(queries).distinct()
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
 
@@ -99,10 +100,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
             raw = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             ids = pdf["vec_id"].fillna(np.iinfo(np.int64).min).astype(np.int64).to_numpy()
-            return pd.DataFrame({"dim": [int(key[0])], name: [int(key[1])], "ids": [ids.tobytes()], "matrix": [raw.tobytes()]})
+            nos = pdf["no"].to_numpy(np.int64)
+            return pd.DataFrame({"dim": [int(key[0])], name: [int(key[1])], "ids": [ids.tobytes()], "nos": [nos.tobytes()], "matrix": [raw.tobytes()]})
 
-        keyed = df.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).alias(name), "vec_id", "embedding")
-        return keyed.groupBy("dim", name).applyInPandas(pack, f"dim long, {name} long, ids binary, matrix binary")
+        keyed = df.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).alias(name), "vec_id", "embedding", F.xxhash64("embedding").alias("no"))
+        return keyed.groupBy("dim", name).applyInPandas(pack, f"dim long, {name} long, ids binary, nos binary, matrix binary")
 
     index = scratch.cut(packed(rows, shards, "shard"), "ann-index")
     ask = scratch.cut(packed(asked, blocks, "block"), "ann-queries")
@@ -111,30 +113,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         import pyarrow as pa
 
         shard, shard_key = None, None
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        none = np.iinfo(np.int64).min
+        schema = pa.schema([("query_id", pa.int64()), ("no", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             for r in batch.to_pylist():
+                ids, matrix = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["matrix"], np.float64).reshape(-1, r["dim"])
+                if r["block"] < 0:  # the shard comes before its blocks
+                    shard_key, shard = (r["dim"], r["shard"]), Shard(ids, matrix)
+                    continue
                 if shard_key != (r["dim"], r["shard"]):
-                    shard_key = (r["dim"], r["shard"])
-                    shard = Shard(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["matrix"], np.float64).reshape(-1, r["dim"]))
-                q, found, of, score = np.frombuffer(r["q_matrix"], np.float64).reshape(-1, r["dim"]), [], [], []
-                for own, v in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), q, strict=True):
+                    raise ValueError("a block of queries without its shard")
+                found, of, nos, score = [], [], [], []
+                for own, no, v in zip(ids.tolist(), np.frombuffer(r["nos"], np.int64).tolist(), matrix, strict=True):
                     at, s = shard.search(own, v, k)
                     found.append(shard.ids[at])
                     score.append(s)
                     of.append(np.full(len(at), own))
-                ids = np.concatenate(found)
+                    nos.append(np.full(len(at), no))
+                of, found = np.concatenate(of), np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(of)), pa.array(ids, mask=ids == np.iinfo(np.int64).min), pa.array(np.concatenate(score)),
+                    pa.array(of, mask=of == none), pa.array(np.concatenate(nos)), pa.array(found, mask=found == none), pa.array(np.concatenate(score)),
                 ], schema=schema)
 
-    pairs = (
-        index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        .join(ask.select("dim", "block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), ["dim", "block"])
-        .repartition(F.col("dim"), F.col("shard"), F.col("block"))
-        .sortWithinPartitions("dim", "shard")
-        .select("dim", "shard", "ids", "matrix", "q_ids", "q_matrix")
-    )
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
+    sent = ask.join(index.select("dim", "shard"), "dim").select("dim", "shard", "block", "ids", "nos", "matrix")
+    held = index.select("dim", "shard", F.lit(-1).cast("long").alias("block"), "ids", "nos", "matrix")
+    both = held.unionByName(sent).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block")
+    found = both.mapInArrow(search, "query_id long, no long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "no").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
