@@ -14,7 +14,7 @@ them by Adam with gradients through time. Embeddings start from the log odds of
 class of at most `TRAIN_CHARS` characters, chosen by hash; scoring has no bounds.
 
 Defined cases: texts without words, empty or null, get the training share of toxic texts
-(below one half); without labels of both classes every text gets that share; repeated rows
+(below one half); of contradicting labels of a document 1 counts, of several texts the last; without labels of both classes every text gets that share; repeated rows
 score alike; an empty table gives no rows; further columns are ignored.
 """
 
@@ -239,16 +239,16 @@ class Network:
 
 def train(documents: DataFrame, labels: DataFrame, fold: int = 5) -> Network:
     """Fit on a bounded sample of the labelled documents outside the held-out fold."""
-    kept = labels.filter((F.crc32(F.col("doc_id").cast("string")) % fold != 0) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    kept = labels.filter((F.crc32(F.col("doc_id").cast("string")) % fold != 0) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in kept.groupBy("toxic").count().collect()}  # two rows
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("toxic") == 1, F.lit(1.05 * TRAIN_DOCS / max(1, sizes.get(1, 1)))).otherwise(F.lit(1.05 * TRAIN_DOCS / max(1, sizes.get(0, 1))))
     chosen = kept.filter(draw < share)  # at most about 2 * TRAIN_DOCS rows, a few bytes each
     rows = (
         documents.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS)
-        .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+        .join(F.broadcast(chosen), "doc_id").collect()
     )
-    rows.sort(key=lambda r: r["doc_id"])
+    rows = [r for _, r in sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: r["text"])}.items())]  # the last text of an id
     net = Network()
     net.fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
     return net
@@ -258,14 +258,17 @@ def score_documents(documents: DataFrame, network: Network) -> DataFrame:
     """doc_id, score of every whole text."""
     from .tokens import in_batches
 
-    sent = documents.sparkSession.sparkContext.broadcast(network)  # fixed size, 1 MB
+    # plain arrays of fixed size, 1 MB: executors need no copy of the package to read them
+    sent = documents.sparkSession.sparkContext.broadcast((network.base, network.p))
 
     def score(batches):
         import pyarrow as pa
 
+        net = Network()
+        net.base, net.p = sent.value
         for batch in batches:
             ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
             for a, b in in_batches(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sent.value.score(texts[a:b]))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(net.score(texts[a:b]))], names=["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
