@@ -5,14 +5,16 @@ tempered to at most `EVIDENCE` trigrams' worth because neighbouring trigrams are
 independent), the language its markup declares, its address suffix, and its host. How far a
 declaration or a suffix can be trusted, and which languages a host serves, is learned from the
 rows themselves: grouped sums of the text-only posteriors, over all rows. Host priors are
-smoothed towards their domain's, and these towards the global one, by pseudo-counts.
+smoothed towards their domain's, and these towards the global one, by pseudo-counts; a row's own
+posterior is left out of its host's and domain's sums.
 
 Besides the languages of the labelled documents there is `und`, uniform over trigrams, for
 text of no known language. A row is rejected if it has no letters, if `und` wins, or if the
 winner's posterior is under one half.
 
 The trigram tables are fitted on a bounded sample of labelled documents (`sample` a language,
-those with the least hashes of doc_id by a threshold); everything else covers all rows.
+those with the least hashes of doc_id by a threshold), for every language that occurs: languages *
+SLOTS numbers. Everything else covers all rows.
 
 Defined cases: null or empty text or host or declaration is evidence of nothing; rows without
 any letters are rejected with score of their prior; repeated rows are scored alike; an empty
@@ -56,7 +58,7 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (languages + und, SLOTS), from documents(doc_id, text, lang)."""
     known = documents.filter("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(64).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((1, SLOTS))
@@ -149,24 +151,34 @@ def fuse(
         out = joined(out, table, key, key)
         evidence.append(F.coalesce(F.col(f"_{key}_ll"), F.array(*[F.lit(0.0)] * n)))
     if host:
-        prior = [F.lit(b) for b in base]
-        table = soft.groupBy(*dict.fromkeys([host, *([domain] if domain else [])])).agg(*sums)
+        # sums of the other rows of the host and of its domain: a row is no evidence of itself
+        table = soft.filter(F.col(host).isNotNull()).groupBy(*dict.fromkeys([host, *([domain] if domain else [])])).agg(*sums)
+        columns = [F.array(*cells).alias("_host_n")]
         if domain:
             up = table.groupBy(domain).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)])
-            m = reduce(lambda a, b: a + b, cells)
-            up = up.select(F.col(domain).alias("_up"), F.array(*[(cells[i] + domain_weight * prior[i]) / (m + domain_weight) for i in range(n)]).alias("_prior"))
-            table = table.join(up, F.col(domain).eqNullSafe(F.col("_up"))).drop("_up")
-            prior = [F.col("_prior")[i] for i in range(n)]
-        m = reduce(lambda a, b: a + b, cells)
-        logs = F.array(*[F.log((cells[i] + host_weight * prior[i]) / (m + host_weight)) - float(np.log(base[i])) for i in range(n)])
-        out = joined(out, table.select(host, logs.alias("_host_ll")), host, "host")
-        evidence.append(F.coalesce(F.col("_host_ll"), F.array(*[F.lit(0.0)] * n)))
+            up = up.select(F.col(domain).alias("_up"), F.array(*cells).alias("_domain_n"))
+            table = table.join(up, F.col(domain).eqNullSafe(F.col("_up")), "left").drop("_up")
+            columns.append(F.col("_domain_n"))
+        out = joined(out, table.select(host, *columns), host, "host")
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+        others = lambda c: F.zip_with(c, "_own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+        smooth = lambda c, p, w: F.zip_with(c, p, lambda x, y: (x + w * y) / (total(c) + w))
+        base_array, flat = F.array(*[F.lit(float(b)) for b in base]), F.array(*[F.lit(0.0)] * n)
+        own = F.when(F.col("n_trigrams") > 0, _posterior(F.zip_with("ll", start, lambda a, b: a + b), n)).otherwise(flat)
+        out = out.withColumn("_own", own).withColumn("_host_n", others("_host_n"))
+        prior = base_array
+        if domain:
+            out = out.withColumn("_domain_n", others("_domain_n"))
+            prior = F.coalesce(smooth(F.col("_domain_n"), base_array, domain_weight), base_array)
+        out = out.withColumn("_host_prior", smooth(F.col("_host_n"), prior, host_weight))
+        logs = F.zip_with("_host_prior", base_array, lambda a, b: F.log(a) - F.log(b))
+        evidence.append(F.when(F.col("_host_n").isNull(), flat).otherwise(logs))
     ll = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), evidence)
     out = out.withColumn("_post", _posterior(ll, n)).withColumn("score", F.array_max("_post"))
     best = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("_post", F.col("score")).cast("int"))
     out = out.withColumn("detected", best)
     rejected = (F.col("n_trigrams") == 0) | (F.col("detected") == UND) | (F.col("score") < 0.5)
-    return out.withColumn("rejected", rejected).drop("_post", "_host_ll", *[f"_{k}_ll" for k in (declared, suffix) if k])
+    return out.withColumn("rejected", rejected).drop("_post", "_own", "_host_n", "_domain_n", "_host_prior", *[f"_{k}_ll" for k in (declared, suffix) if k])
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
