@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
 
     Every round contracts the edges towards least neighbours (two grouped minima and two joins,
     whose hot keys AQE can split) and writes the new edges as a table; a chain of n nodes takes
-    O(log^2 n) rounds, a star two. Loops and repeated edges are fine; no edges give no rows.
+    O(log^2 n) rounds, a star two; not to converge within `rounds` is an error. Loops and repeated
+    edges are fine; no edges give no rows.
     """
     scratch = Scratch(edges.sparkSession)
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u > v").distinct()
@@ -33,6 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -21,12 +22,15 @@ BITMAP_BITS = 24
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a local folder is made and set.
+    Only where that is unset and the master is local (tests, a laptop) a local folder is made and
+    set; on a cluster executors could not see it, so an unset folder is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="twinsieve-")
         spark.sparkContext.setCheckpointDir(root)
