@@ -7,20 +7,21 @@ set size, which cuts it into blocks: a set skips every block of sizes that canno
 threshold, and inside a block every entry whose position leaves too few shingles.
 
 A list of up to `LIST` sets gives its pairs, each at the least shingle the pair is known to
-share. A longer list is not paired off. Its smallest set r leads it: the others are compared with r
-alone (and with one more set, so that groups join early), and the answers of two members x and y
-follow from their answers with r. If they link, they share at least m = ceil(t * (nx + ny) / (1 + t))
-shingles, of which at most min(|x & r|, |y & r|) lie in r. As r is the smaller, min(|x & r|,
-|y & r|) >= m means that both link to r, so they are in one component already. Otherwise they share
-m - min(|x & r|, |y & r|) shingles outside r, hence one of the first n - ceil(t * n) + 1 of these
-shingles of both: only those, keyed by r, make the list's next, shorter lists. A list whose sets are
-in one component is done. The rounds end when no long list is open; each leaves its leader behind.
-What a boilerplate passage or a large group of copies has in common is so read once, with the leader.
+share. A longer list is not paired off as rows: its smallest set leads it, the others are compared
+with the leader alone (and with one more set, so that groups join early), and a list whose sets
+are in one component by then is done. The sets of open lists meet once a leader, whatever the number
+of lists. There, sorted by size, a set skips the blocks of sizes out of reach and its own component.
+For the others the answer follows from the computed answers of the leader r, both ways:
+|x & y| >= |x & r| + |y & r| - |r| proves a link, and |x & y| <= min(|x & r|, |y & r|) +
+min(|x - r|, |y - r|) rules one out; so do histograms of hash ranges, |x & y| <= the sum of their
+minima, which for sets of a thousand shingles leave little open. Only pairs that remain become rows
+and are compared. A leader's sets are cut into blocks of `BLOCK`, and pairs of blocks are dealt out, so
+that no task holds a whole group.
 
 Pairs are fetched as ids. Sets are fetched for one pair of each set first; the links so far are joined
 into components, and of the pairs that still cross components those are compared whose histograms
-of hash ranges leave room for enough shared shingles. No link between different sets is lost:
-components come out as if all pairs had been compared.
+leave room for enough shared shingles. No link between different sets is lost: components come out as
+if all pairs had been compared.
 
 The order comes from a bounded list of frequent shingles, which settles speed, not results.
 Shingles and classes are 64-bit hashes.
@@ -34,16 +35,16 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import Scratch, has_rows, maybe_in, row_key
+from ..runtime import Scratch, maybe_in, row_key
 from .tokens import in_batches
 
 WIDTH, PERCENT, LIST = 5, 80, 6
-#: Rounds of shorter lists before giving up with an error; two or three are usual.
-ROUNDS = 40
+#: Sets of one leader that a task holds beside as many others.
+BLOCK = 2048
 #: Hash ranges of a set's histogram.
 SLOT_BITS = 10
 #: Most entries of the list of frequent shingles, and the least count in one batch to be noted.
@@ -141,12 +142,6 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "kind long, doc_id long, key long, class long, n long")
 
 
-def _among(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Which of p are in q; q is sorted."""
-    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-    return q[at] == p if len(q) else np.zeros(len(p), bool)
-
-
 class Order:
     """The order of shingles in all sets: frequent ones last, by rank; the others by hash, as they come."""
 
@@ -207,7 +202,7 @@ def _least(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def list_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """From index rows: kind 0, pairs (a, b) to compare; kind 1, the sets (a) of long lists with their leader (b).
+    """From index rows: kind 0, pairs (a, b) to compare; kind 1, the sets (a, of size n) of long lists with their leader (b); kind 2, pairs with leaders.
 
     Lists come sorted by token and size, so that a long one is streamed past its first rows.
     """
@@ -215,21 +210,22 @@ def list_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        names = ["kind", "a", "b", "token"]
+        names = ["kind", "a", "b", "token", "n"]
 
-        def out(kind, a, b, token):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a), pa.array(b), pa.array(token)], names=names)
+        def out(kind, a, b, token=None, n=None):
+            zero = np.zeros(len(a), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(zero + kind), pa.array(a), pa.array(b), pa.array(zero if token is None else token), pa.array(zero if n is None else n)], names=names)
 
         def long_rows(x: dict, lead: dict):
             """Rows of one long list: its leader for each, and a pair with leader and hub where the sizes allow it."""
-            yield out(1, x["class"], np.full(len(x["class"]), lead["class"]), x["token"])
+            yield out(1, x["class"], np.full(len(x["class"]), lead["class"]), x["token"], x["n"])
             a, b = [], []
             for mate in ("class", "hub"):
                 fit = (100 * np.minimum(x["n"], lead[f"{mate}_n"]) >= percent * np.maximum(x["n"], lead[f"{mate}_n"])) & (x["class"] != lead[mate])
                 a.append(x["class"][fit])
                 b.append(np.full(fit.sum(), lead[mate]))
             a, b = np.concatenate(a), np.concatenate(b)
-            yield out(2, np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))
+            yield out(2, np.minimum(a, b), np.maximum(a, b))
 
         def lists(x: dict):
             """x: whole lists only, sorted by token, n, class."""
@@ -253,7 +249,7 @@ def list_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
                 a, b = (np.concatenate(z) for z in zip(*found, strict=True))
                 if len(a):
                     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                    yield out(0, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), np.zeros(len(pair), np.int64))
+                    yield out(0, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
 
         def leader(part: dict) -> dict:
             mid = most // 2
@@ -297,41 +293,73 @@ def list_pairs(rows: DataFrame, percent: int, most: int) -> DataFrame:
         if held_n:
             yield from advance({k: np.concatenate([h[k] for h in held]) for k in held[0]}, True)
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "kind long, a long, b long, token long")
+    return rows.repartition("token").sortWithinPartitions("token", "n", "class").mapInArrow(run, "kind long, a long, b long, token long, n long")
 
 
-def outside_rows(pairs: DataFrame, sets: DataFrame, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Index rows (token, class, n, pos, first) of sets (class) by their first shingles outside their leader.
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """rows(leader, class, n, ...) with left, right: the pair of blocks, once for every pair of blocks that a row is in."""
+    by_size = Window.partitionBy("leader").orderBy("n", "class")
+    cut = rows.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
+    cut = cut.withColumn("last", F.max("block").over(Window.partitionBy("leader")))
+    cut = cut.withColumn("mate", F.explode(F.sequence(F.lit(0), "last")))
+    return cut.withColumn("left", F.least("block", "mate")).withColumn("right", F.greatest("block", "mate")).drop("last", "mate")
 
-    pairs(class, leader, path): the new lists are keyed by path and shingle.
-    """
-    x = maybe_in(sets, "class", pairs, "class").select("class", F.col("shingles").alias("x"))
-    y = maybe_in(sets, "class", pairs, "leader").select(F.col("class").alias("leader"), F.col("shingles").alias("y"))
-    sent = pairs.sparkSession.sparkContext.broadcast(order)
+
+def group_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, sure: from rows (leader, left, right, block, class, n, component, shared with the leader or -1,
+    lead_n, histogram) the pairs of different components that may link; sure where the leader proves it."""
 
     def run(batches):
         import pyarrow as pa
 
-        put_last = Order(*sent.value)
-        names = ["token", "class", "n", "pos", "first"]
+        names = ["a", "b", "sure"]
+
+        def one(x: dict):
+            """The rows of one pair of blocks."""
+            order = np.lexsort((x["class"], x["n"]))
+            block, n, comp, o, cls = (x[k][order] for k in ("block", "n", "component", "shared", "class"))
+            alone, lead_n = x["left"][0] == x["right"][0], int(x["lead_n"][0])
+            counts = [x["histogram"][i] for i in order]
+            whole = np.array([h is not None for h in counts])
+            table = np.stack([np.frombuffer(h, np.uint8) if h is not None else np.zeros(1 << SLOT_BITS, np.uint8) for h in counts])
+            for i in range(len(cls) - 1):
+                last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))  # larger sets are out of reach
+                j = np.arange(i + 1, max(i + 1, last))
+                j = j[(comp[j] != comp[i]) & (alone | (block[j] != block[i]))]
+                need = _least(n[i], n[j], percent)
+                known = (o[j] >= 0) & (o[i] >= 0)
+                most = np.where(known, np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j]), n[i])
+                j, need, known = (v[most >= need] for v in (j, need, known))
+                if not len(j):
+                    continue
+                sure = known & (o[i] + o[j] - lead_n >= need)
+                room = np.minimum(table[j], table[i]).sum(axis=1, dtype=np.int64) if len(j) else need
+                keep = sure | (room >= need) | ~whole[j] | ~whole[i]
+                if keep.any():
+                    b = cls[j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], b)), pa.array(np.maximum(cls[i], b)), pa.array(sure[keep])], names=names)
+
+        kinds = ("leader", "left", "right", "block", "class", "n", "component", "shared", "lead_n")
+        held: list[dict] = []
+
+        def flush():
+            yield from one({k: [h for x in held for h in x[k]] if k == "histogram" else np.concatenate([x[k] for x in held]) for k in held[0]})
+
+        key = None
         for batch in batches:
-            cls, path = (batch.column(c).to_pylist() for c in ("class", "path"))
-            xs, ys = batch.column("x"), batch.column("y")
-            cols: list[list] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
-                d = p[~_among(p, q)]
-                n, s = len(p), len(p) - len(d)
-                d = put_last(d)[: max(0, len(d) - max(1, -(-percent * n // 100) - s) + 1)]
-                if len(d):
-                    token = _signed(_mix(d ^ _mix(np.array([path[i]], np.int64).view(np.uint64))))
-                    for c, v in zip(cols, (token, np.full(len(d), cls[i]), np.full(len(d), n), np.arange(len(d)), np.full(len(d), token[0])), strict=True):
-                        c.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+            x = {k: batch.column(k).to_numpy() for k in kinds} | {"histogram": batch.column("histogram").to_pylist()}
+            new = np.flatnonzero(np.concatenate([[True], (x["leader"][1:] != x["leader"][:-1]) | (x["left"][1:] != x["left"][:-1]) | (x["right"][1:] != x["right"][:-1])]))
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows], strict=True):
+                now = (x["leader"][a], x["left"][a], x["right"][a])
+                if held and now != key:
+                    yield from flush()
+                    held = []
+                key = now
+                held.append({k: v[a:b] for k, v in x.items()})
+        if held:
+            yield from flush()
 
-    both = pairs.join(x, "class").join(y, "leader").select("class", "path", "x", "y")
-    return both.mapInArrow(run, "token long, class long, n long, pos long, first long")
+    return rows.repartition("leader", "left", "right").sortWithinPartitions("leader", "left", "right").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -406,37 +434,28 @@ def _packed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class long, n long, histogram binary, shingles binary")
 
 
-def _component_of(rows: DataFrame, comps: DataFrame | None, column: str) -> DataFrame:
+def _component_of(rows: DataFrame, comps: DataFrame, column: str) -> DataFrame:
     """rows with `_column`, the component of the class in column."""
-    if comps is None:
-        return rows.withColumn(f"_{column}", F.col(column))
     of = comps.select(F.col("node").alias(column), F.col("component").alias(f"_{column}"))
     return rows.join(of, column, "left").withColumn(f"_{column}", F.coalesce(f"_{column}", column))
 
 
-def _join_lists(listed: DataFrame, links: DataFrame | None, comps: DataFrame | None, sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
-    """links and comps with what the pairs of these lists add: leaders' pairs and each set's least partner first."""
-    linked = (100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))
-    short = listed.filter("kind = 0").select("a", "b")
-    ahead = short.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(listed.filter("kind = 2").select("a", "b"))
-    for pairs, sift in ((ahead, False), (short, True)):
-        for side in ("a", "b"):
-            pairs = _component_of(pairs, comps, side)
-        pairs = scratch.cut(pairs.filter("_a <> _b").select("a", "b").distinct(), "set-pairs")
-        asked = scratch.cut(sieve(pairs, sets, percent), "set-sieved", release=True) if sift else pairs
-        new = scratch.cut(compare(asked, sets, percent).filter(linked).select("a", "b"), "set-links", release=True)
-        if comps is None or has_rows(new):
-            links = new if links is None else links.unionByName(new)
-            comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
-    return links, comps
-
-
-def _open_lists(listed: DataFrame, comps: DataFrame) -> DataFrame:
-    """token, class, leader of the long lists whose sets are of several components; leaders themselves left out."""
-    long = listed.filter("kind = 1").select("token", F.col("a").alias("class"), F.col("b").alias("leader"))
-    told = _component_of(long, comps, "class")
-    open_lists = told.groupBy("token").agg(F.min("_class").alias("lo"), F.max("_class").alias("hi")).filter("lo < hi").select("token")
-    return long.join(open_lists, "token", "left_semi").filter("class <> leader")
+def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs(a, b) of different components."""
+    return _component_of(_component_of(pairs, comps, "a"), comps, "b").filter("_a <> _b").select("a", "b")
+
+
+def _open_groups(listed: DataFrame, comps: DataFrame, met: DataFrame) -> DataFrame:
+    """leader, class, n, component, shared (with the leader, -1 if not known), lead_n: the sets of long lists
+    that are of several components, once for each leader."""
+    long = _component_of(listed.filter("kind = 1").select("token", "n", F.col("a").alias("class"), F.col("b").alias("leader")), comps, "class")
+    ends = long.groupBy("token").agg(F.min("_class").alias("lo"), F.max("_class").alias("hi")).filter("lo < hi").select("token")
+    rows = long.join(ends, "token", "left_semi").select("leader", "class", "n", F.col("_class").alias("component")).distinct()
+    lead_n = rows.filter("class = leader").select("leader", F.col("n").alias("lead_n"))
+    seen = met.select(F.col("a").alias("_x"), F.col("b").alias("_y"), F.col("shared").alias("_s"))
+    rows = rows.join(seen, (F.least("class", "leader") == F.col("_x")) & (F.greatest("class", "leader") == F.col("_y")), "left")
+    shared = F.when(F.col("class") == F.col("leader"), F.col("n")).otherwise(F.coalesce("_s", F.lit(-1)))
+    return rows.join(lead_n, "leader").select("leader", "class", "n", "component", shared.alias("shared"), "lead_n")
 
 
 def similarity_classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -468,21 +487,26 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     few = few.join(need.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     sets = scratch.cut(_packed(few, width), "sets", release=True)
 
-    links = comps = None
-    for _ in range(ROUNDS):
-        links, comps = _join_lists(listed, links, comps, sets, scratch, percent)
-        open_sets = scratch.cut(_open_lists(listed, comps), "set-open")
-        first_round = listed.columns[-1] != "path"
-        scratch.drop(listed)
-        if not has_rows(open_sets):
-            break
-        # at first the leader names the lists that follow, as all lists of a leader ask for the same
-        path = F.col("leader") if first_round else F.xxhash64("token", "leader")
-        rows = outside_rows(open_sets.select("class", "leader", path.alias("path")).distinct(), sets, percent, order)
-        listed = scratch.cut(list_pairs(rows, percent, LIST).withColumn("path", F.lit(True)), "set-lists", release=True)
-        scratch.drop(open_sets)
-    else:
-        raise RuntimeError(f"lists of sets are still open after {ROUNDS} rounds")
+    # leaders' pairs and each set's least partner first, then what short lists leave open, then long lists
+    linked = (100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))
+    short = listed.filter("kind = 0").select("a", "b")
+    step = short.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(listed.filter("kind = 2").select("a", "b")).distinct()
+    step = scratch.cut(step, "set-first")
+    met = scratch.cut(compare(step, sets, percent), "set-overlaps", release=True)
+    links = met.filter(linked).select("a", "b")
+    comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
+    rest = _crossing(short, comps).distinct().join(step, ["a", "b"], "left_anti")
+    rest = scratch.cut(sieve(scratch.cut(rest, "set-crossing"), sets, percent), "set-sieved", release=True)
+    links = links.unionByName(scratch.cut(compare(rest, sets, percent).filter(linked).select("a", "b"), "set-links", release=True))
+    comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
+
+    groups = scratch.cut(_open_groups(listed, comps, met), "set-open")
+    groups = blocks_of(groups).join(sets.select("class", "histogram"), "class")
+    more = group_pairs(groups, percent).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    more = scratch.cut(more.join(step, ["a", "b"], "left_anti"), "set-more", release=True)
+    unsure = compare(more.filter("not sure").select("a", "b"), sets, percent).filter(linked).select("a", "b")
+    links = links.unionByName(scratch.cut(unsure, "set-links", release=True)).unionByName(more.filter("sure").select("a", "b"))
+    comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
 
     whole = reps.join(comps, reps["class"] == comps["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     ids = whole.groupBy("component").agg(F.min("rep").alias("first"))
