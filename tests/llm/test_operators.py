@@ -103,9 +103,10 @@ def _components(sets, percent):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("most", [4, 1000])
-def test_set_join(docs, monkeypatch, most):
+@pytest.mark.parametrize(("most", "block"), [(2, 3), (4, 2048), (1000, 2048)])
+def test_set_join(docs, monkeypatch, most, block):
     monkeypatch.setattr(setjoin, "LIST", most)
+    monkeypatch.setattr(setjoin, "BLOCK", block)
     sets = {}
     for r in docs.collect():
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
@@ -118,20 +119,20 @@ def test_set_join(docs, monkeypatch, most):
     assert setjoin.similarity_classes(empty(docs)).count() == 0
 
 
-@pytest.mark.parametrize("most", [2, 16])
-def test_lines(docs, monkeypatch, most):
-    monkeypatch.setattr(lines, "BUCKET", most)
-    at = {(r.doc_id, k): x for r in docs.collect() for k, x in enumerate((r.text or "").split("\n")) if r.text and x.strip(" ")}
+def test_lines(docs):
+    at = {(r.doc_id, k): x for r in docs.collect() for k, x in enumerate((r.text or "").split("\n")) if r.text and x.strip(" \t\n\x0b\x0c\r")}
     n = lines.SHINGLE
     distinct = sorted(set(at.values()))
-    sets = {i: {x.lower()[k : k + n] for k in range(len(x) - n + 1)} for i, x in enumerate(distinct)}
+    sets = {i: {x.lower()[k : k + n] for k in range(max(1, len(x) - n + 1))} for i, x in enumerate(distinct)}
     of = _components(sets, 80)
     number = {x: of[i] for i, x in enumerate(distinct)}
     first = {}
     for p in sorted(at):
         first.setdefault(number[at[p]], p)
     got = {(r.doc_id, r.line_no): ((r.first_doc_id, r.first_line_no), r.kept) for r in lines.line_classes(docs).collect()}
-    assert got == {p: (first[number[x]], first[number[x]] == p) for p, x in at.items()}
+    assert set(got) == set(at) and all((got[p][0] == p) == got[p][1] for p in at)
+    assert all(number[at[got[p][0]]] == number[x] for p, x in at.items())  # nothing joined that is not alike
+    assert sum(got[p][0] == first[number[x]] for p, x in at.items()) >= 0.98 * len(at)
     out = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
     for r in docs.collect():
         keep = None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, k) not in got or got[r.doc_id, k][1])
@@ -139,6 +140,30 @@ def test_lines(docs, monkeypatch, most):
     assert lines.line_classes(empty(docs)).count() == 0
 
 
+def test_blank_lines_stay(spark):
+    t = spark.createDataFrame([(1, "a line\n\t\n \n\t"), (2, "\t\nA LINE\n")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(t).collect()} == {1: "a line\n\t\n \n\t", 2: "\t\n"}
+
+
+def test_many_variants_of_a_line(spark):
+    """Groups whose lines are about as alike as the threshold: pivots rule pairs out, no link is lost."""
+    g = random.Random(12)
+    rows = []
+    for _ in range(3):
+        base = words(g, 40).split(" ")
+        for _ in range(60):
+            v = list(base)
+            for _ in range(g.randint(1, 8)):
+                v[g.randrange(len(v))] = words(g, 1)
+            rows.append(" ".join(v))
+    n = lines.SHINGLE
+    sets = {i: {x[k : k + n] for k in range(len(x) - n + 1)} for i, x in enumerate(rows)}
+    of = _components(sets, 80)
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.first_doc_id for r in lines.line_classes(table).collect()}
+    assert all(of[got[i]] == of[i] for i in of) and sum(got[i] == of[i] for i in of) >= 0.97 * len(of)
+
+
 def test_lines_with_one_changed_character(spark):
     g = random.Random(5)
     rows, like = [("Ab", 0), ("aB", 0)], {0}
@@ -146,9 +171,9 @@ def test_lines_with_one_changed_character(spark):
         x = "".join(g.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(g.randint(20, 100))).strip().ljust(20, "z")
         at = g.choice([0, len(x) - 1, g.randrange(len(x))])
         y = x[:at] + "7" + x[at + 1 :]
-        a, b = ({z[i : i + 4] for i in range(len(z) - 3)} for z in (x, y))
+        a, b = ({z[i : i + 5] for i in range(len(z) - 4)} for z in (x, y))
         like |= {k} if 100 * len(a & b) >= 80 * len(a | b) else set()
-        assert k in like or len(x) < 39
+        assert k in like or len(x) < 49
         rows += [(x, k), (y, k)]
     table = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string")
     got = {rows[r.doc_id][1] for r in lines.line_classes(table).filter("not kept").collect()}
@@ -159,12 +184,13 @@ def test_bands_of_short_lines(spark):
     g = random.Random(6)
     rows = []
     for k in range(4000):  # 5 shingles in the union, 4 shared
-        x = "".join(chr(0x4E00 + g.randrange(20000)) for _ in range(8))
-        rows += [(k, 2 * k, x), (k, 2 * k + 1, x[:7])]
+        x = "".join(chr(0x4E00 + g.randrange(20000)) for _ in range(9))
+        rows += [(k, 2 * k, x), (k, 2 * k + 1, x[:8])]
     table = spark.createDataFrame(rows, "pair long, line_id long, line string")
-    keys = lines.band_rows(table).select(F.floor(F.col("line_id") / 2).alias("pair"), "key")
+    signs = lines.signatures(table)
+    keys = signs.select(F.floor(F.col("line_id") / 2).alias("pair"), F.explode(F.array(*[f"k{b}" for b in range(lines.BANDS)])).alias("key"))
     met = keys.groupBy("pair", "key").count().filter("count > 1").select("pair").distinct().count()
-    assert met >= 0.99 * 4000
+    assert met >= 0.98 * 4000
 
 
 def test_rows_without_an_id_of_their_own(spark):
@@ -252,6 +278,9 @@ def test_neighbours(spark):
         assert len(found) == 5 and all(abs(s - c[i]) < 1e-12 for i, s in found)
     assert hit >= 0.9 * 5 * len(got)
     assert neighbours.nearest(t.filter("vec_id < 0"), t.filter("vec_id < 0")).count() == 0
+    q = t.filter("vec_id = 50")
+    again = neighbours.nearest(t.unionByName(q), q.unionByName(q).unionByName(t.filter("vec_id = 0").withColumn("vec_id", F.lit(50).cast("long")))).collect()
+    assert len(again) == 10 and len({(r["rank"], r.vec_id) for r in again}) == 10  # one query repeated, and another one of its id
 
 
 def test_syncmers(docs):
@@ -270,10 +299,23 @@ def test_syncmers(docs):
         h = [int(x) for x in syncmers._rolling(code + np.uint64(1), s)]
         want = [i for i in range(200 - k + 1) if min(h[i : i + k - s + 1]) in (h[i], h[i + k - s])]
         text = "".join(map(chr, code.tolist()))
-        f = syncmers._fingerprints([text], k, s, 10_000)[0]
+        f = syncmers.fingerprints([text], None, k, s)[0]
         whole = syncmers._rolling(code + np.uint64(1), k) >> np.uint64(24)
         assert {e.split(":")[0] for e in f.split(",")} == {f"{int(whole[i]):010x}" for i in want}
     assert syncmers.fingerprint_pairs(empty(docs)).count() == 0
+    g = random.Random(4)
+    for n in (200, 255, 257, 300):  # near copies on both sides of any length
+        a = "".join(g.choice("abcdefghij ") for _ in range(n))
+        b = a[: n // 2] + a[n // 2 + 10 :]
+        x, y = syncmers.fingerprints([a, b])
+        assert syncmers.likeness(x, y, len(a), len(b)) > 0.5
+
+
+def test_syncmers_of_repeated_and_null_ids(spark):
+    rows = [(None, "one two three " * 9), (None, ""), (3, "four five six " * 9), (3, "four five six " * 9), (5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = syncmers.fingerprint_pairs(table).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in got) == sorted((i is None, i or 0, len(t or "")) for i, t in rows)
 
 
 def test_chat(spark):
@@ -325,6 +367,32 @@ def test_toxicity(spark):
     assert index.shape[1] == toxicity.SPAN and (index >= 0).any(axis=1).all() and sum((index >= 0).sum(axis=1)) >= 90
 
 
+def test_gradients():
+    """Each weight's gradient against a central difference, through both directions and the attention."""
+    g = np.random.default_rng(0)
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    said = toxicity.Words(["one two three four five", "six seven one"])
+    index, _ = said.windows()
+    y, weight = np.array([1.0, 0.0]), np.ones(2)
+
+    def loss():
+        logit = net.forward(net.inputs(said)[0], index)
+        return float((np.logaddexp(0, logit) - y * logit).mean())
+
+    grad = net.gradients(said, index, y, weight)
+    for k, d in grad.items():
+        flat, seen = net.p[k].reshape(-1), np.flatnonzero(np.abs(d.reshape(-1)) > 1e-6)
+        for i in g.choice(seen, min(4, len(seen)), replace=False):
+            old, step = flat[i], 1e-4
+            flat[i] = old + step
+            up = loss()
+            flat[i] = old - step
+            down = loss()
+            flat[i] = old
+            assert (up - down) / (2 * step) == pytest.approx(d.reshape(-1)[i], rel=0.02, abs=2e-6), k
+
+
 def test_language(spark, docs):
     g = random.Random(9)
     make = {"en": "the of and to in is that it was for".split(), "de": "der die und zu den das nicht von sie ist".split()}
@@ -338,6 +406,12 @@ def test_language(spark, docs):
     kept = language.keep_known(known.unionByName(known.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(999).cast("long"))))
     assert kept.columns == known.columns and {r.doc_id for r in kept.collect()} == set(range(80))
     assert language.keep_known(known.filter("doc_id < 0")).count() == 0
+    plain = [(i, None if i % 2 else f"http://x{i}.y{i}.org/p", f"<p>{say('de', 12)}</p>") for i in range(20)]
+    scores = {r.page_id: (r.lang, round(r.score, 9)) for r in language.identify_pages(spark.createDataFrame([(i, u, "<p>a</p>" if i < 2 else h) for i, u, h in plain], "page_id long, url string, html string"), known).collect()}
+    assert scores[0] == scores[1]  # a host that no other row has is evidence of nothing, and so is none
+    many = spark.createDataFrame([(i, f"{chr(0x100 + i)}{chr(0x180 + i)}{chr(0x200 + i)} " * 30, f"l{i:02d}") for i in range(70)], "doc_id long, text string, lang string")
+    assert len(language.fit(many)[0]) == 70
+    assert language.identify_pages(spark.createDataFrame([], "page_id long, url string, html string"), known).count() == 0
     assert language.keep_known(docs).count() <= docs.count()
 
 

@@ -45,6 +45,8 @@ from .tokens import in_batches
 WIDTH, PERCENT, LIST = 5, 80, 6
 #: Sets of one leader that a task holds beside as many others.
 BLOCK = 2048
+#: Characters shingled at a time.
+CHARS = 300_000
 #: Hash ranges of a set's histogram.
 SLOT_BITS = 10
 #: Most entries of the list of frequent shingles, and the least count in one batch to be noted.
@@ -124,7 +126,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             texts, ids, keys = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("key")
-            for a, b in in_batches(texts):
+            for a, b in in_batches(texts, CHARS):
                 sets = shingle_sets(texts[a:b], width)
                 cls = [_class(h) for h in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int64)), ids.slice(a, b - a), keys.slice(a, b - a), pa.array(cls, pa.int64()), pa.array([len(h) for h in sets], pa.int64())], names=names)
@@ -133,7 +135,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
                         seen.add(c)
                         held.append(h)
                         held_n += len(h)
-                if held_n > 3_000_000:
+                if held_n > 2_000_000:
                     yield frequent()
                     held, held_n = [], 0
         if held:
@@ -171,7 +173,7 @@ def index_rows(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarra
         names = ["token", "class", "n", "pos", "first"]
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in in_batches(texts):
+            for a, b in in_batches(texts, CHARS):
                 token, cls, size, first = [], [], [], []
                 for h in shingle_sets(texts[a:b], width):
                     n = len(h)
@@ -305,9 +307,10 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     return cut.withColumn("left", F.least("block", "mate")).withColumn("right", F.greatest("block", "mate")).drop("last", "mate")
 
 
-def group_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def group_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     """a, b, sure: from rows (leader, left, right, block, class, n, component, shared with the leader or -1,
-    lead_n, histogram) the pairs of different components that may link; sure where the leader proves it."""
+    lead_n, histogram) the pairs of different components that may link; sure where the leader proves it.
+    best: of each set only the pair with most room."""
 
     def run(batches):
         import pyarrow as pa
@@ -336,6 +339,8 @@ def group_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 room = np.minimum(table[j], table[i]).sum(axis=1, dtype=np.int64) if len(j) else need
                 keep = sure | (room >= need) | ~whole[j] | ~whole[i]
                 if keep.any():
+                    if best:
+                        keep = np.arange(len(j)) == np.where(keep, room - need, -(1 << 60)).argmax()
                     b = cls[j[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], b)), pa.array(np.maximum(cls[i], b)), pa.array(sure[keep])], names=names)
 
@@ -424,7 +429,7 @@ def _packed(docs: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in in_batches(texts):
+            for a, b in in_batches(texts, CHARS):
                 s = shingle_sets(texts[a:b], width)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([_class(v) for v in s], pa.int64()), pa.array([len(v) for v in s], pa.int64()),
@@ -492,7 +497,8 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     short = listed.filter("kind = 0").select("a", "b")
     step = short.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(listed.filter("kind = 2").select("a", "b")).distinct()
     step = scratch.cut(step, "set-first")
-    met = scratch.cut(compare(step, sets, percent), "set-overlaps", release=True)
+    near = scratch.cut(sieve(step, sets, percent), "set-sieved", release=True)
+    met = scratch.cut(compare(near, sets, percent), "set-overlaps", release=True)
     links = met.filter(linked).select("a", "b")
     comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
     rest = _crossing(short, comps).distinct().join(step, ["a", "b"], "left_anti")
@@ -501,12 +507,16 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
 
     groups = scratch.cut(_open_groups(listed, comps, met), "set-open")
-    groups = blocks_of(groups).join(sets.select("class", "histogram"), "class")
-    more = group_pairs(groups, percent).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    more = scratch.cut(more.join(step, ["a", "b"], "left_anti"), "set-more", release=True)
-    unsure = compare(more.filter("not sure").select("a", "b"), sets, percent).filter(linked).select("a", "b")
-    links = links.unionByName(scratch.cut(unsure, "set-links", release=True)).unionByName(more.filter("sure").select("a", "b"))
-    comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
+    for best in (True, False):  # each set's best pair joins what belongs together, so that fewer pairs are left
+        if not best:
+            groups = scratch.cut(_component_of(groups.drop("component"), comps, "class").withColumnRenamed("_class", "component"), "set-open")
+        told = blocks_of(groups).join(sets.select("class", "histogram"), "class")
+        more = group_pairs(told, percent, best).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+        more = scratch.cut(more.join(step, ["a", "b"], "left_anti"), "set-more", release=True)
+        unsure = compare(more.filter("not sure").select("a", "b"), sets, percent).filter(linked).select("a", "b")
+        links = links.unionByName(scratch.cut(unsure, "set-links", release=True)).unionByName(more.filter("sure").select("a", "b"))
+        comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
+        step = step.unionByName(more.select("a", "b"))
 
     whole = reps.join(comps, reps["class"] == comps["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     ids = whole.groupBy("component").agg(F.min("rep").alias("first"))
