@@ -28,9 +28,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _middle(bits: Column, n: int) -> Column:
-    s = F.sort_array(bits)
-    return (s[(n - 1) // 2] + s[n // 2]) / F.lit(2.0)
+def median_of(bits: Column) -> Column:
+    """Median of an array that is not empty; of an even number the mean of the two in the middle."""
+    s, n = F.sort_array(bits), F.size(bits)
+    at = lambda i: F.try_element_at(s, F.floor(i).cast("int") + 1)
+    return (at((n - 1) / 2) + at(n / 2)) / F.lit(2.0)
 
 
 def _distances(a: Column, b: Column) -> Column:
@@ -38,29 +40,31 @@ def _distances(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, hamming)
 
 
-def _twelve(a: Column, b: Column) -> Column:
-    return (F.size(a) == 12) & (F.size(b) == 12)
+def _inner(hashes: Column) -> Column:
+    """The elements 2 to 9, as many as there are."""
+    return F.slice(hashes, 3, 8)
 
 
 def full_distance(a: Column, b: Column) -> Column:
-    return F.when(_twelve(a, b), _middle(_distances(a, b), 12) / 64.0).otherwise(F.lit(1.0))
+    """Median of differing bits over 64; 1 for arrays of unequal length or none."""
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), median_of(_distances(a, b)) / 64.0).otherwise(F.lit(1.0))
 
 
 def inner_distance(a: Column, b: Column) -> Column:
-    return F.when(_twelve(a, b), _middle(F.slice(_distances(a, b), 3, 8), 8) / 64.0).otherwise(F.lit(1.0))
-
-
-def _three(a: Column, b: Column, positions: tuple[int, int, int]) -> Column:
-    x, y, z = (hamming(a[i], b[i]) for i in positions)
-    return F.when(_twelve(a, b), (F.greatest(F.least(x, y), F.least(F.greatest(x, y), z))).cast("double")).otherwise(F.lit(64.0))
+    return full_distance(_inner(a), _inner(b))
 
 
 def prefilter_full(a: Column, b: Column) -> Column:
-    return _three(a, b, (0, 6, 11))
+    """Median of differing bits at the first, the middle and the last common place; 64 if there is none."""
+    n = F.least(F.size(a), F.size(b))
+    at = lambda i: hamming(F.try_element_at(a, i + 1), F.try_element_at(b, i + 1))
+    x, y, z = at(F.lit(0)), at(F.floor(n / 2).cast("int")), at(n - 1)
+    three = F.greatest(F.least(x, y), F.least(F.greatest(x, y), z)).cast("double")
+    return F.when(n > 2, three).when(n == 2, (x + z) / F.lit(2.0)).when(n == 1, x.cast("double")).otherwise(F.lit(64.0))
 
 
 def prefilter_inner(a: Column, b: Column) -> Column:
-    return _three(a, b, (2, 6, 9))
+    return prefilter_full(_inner(a), _inner(b))
 
 
 def duration_bucket(seconds: Column) -> Column:
@@ -71,8 +75,8 @@ def aspect_bin(width: Column, height: Column) -> Column:
     return F.when(height <= 0, F.lit(0.0)).otherwise(F.bround(width / height * 4) / 4)
 
 
-def threshold(profile: str, custom: float | None = None) -> float:
-    if profile == "custom" and custom is not None:
+def threshold(profile: str, custom: float = 0.18) -> float:
+    if profile.strip().lower() == "custom":
         return min(0.30, max(0.01, custom))
     return PROFILE_THRESHOLDS.get(profile, PROFILE_THRESHOLDS["balanced"])
 
@@ -127,10 +131,14 @@ def sample_offsets(size: Column, block: int, a: int, b: int) -> Column:
     return F.array_sort(F.array_distinct(F.array(F.lit(0).cast("bigint"), span, at(a), at(b))))
 
 
-def alpha_label(index: Column) -> Column:
-    """Bijective base 26 of an index from 0: a .. z, aa .. zz."""
-    letter = lambda i: F.char(i + 97)
-    return F.when(index < 26, letter(index)).otherwise(F.concat(letter(F.floor(index / 26) - 1), letter(index % 26)))
+def alpha_label(index: Column, letters: int = 13) -> Column:
+    """Bijective base 26 of an index from 0: a .. z, aa .. zz, aaa ..; 13 letters name more than 2^61 indexes."""
+    out, below = F.lit(None).cast("string"), lambda n: (26**n - 26) // 25  # noqa: E731  labels of fewer than n letters
+    for n in range(letters, 0, -1):
+        rest = index - below(n)
+        digit = lambda k, r=rest: F.char(F.call_function("div", r, F.lit(26**k)) % 26 + 97)
+        out = F.when(index < below(n + 1), F.concat(*[digit(k) for k in range(n - 1, -1, -1)])).otherwise(out)
+    return out
 
 
 def rational(text: Column) -> Column:
@@ -139,14 +147,25 @@ def rational(text: Column) -> Column:
     return F.when(F.size(parts) == 1, F.coalesce(a, F.lit(0.0))).otherwise(F.coalesce(F.try_divide(a, b), F.lit(0.0)))
 
 
+def positive(text: Column) -> Column:
+    """A number of 0 or more; 0 where there is none."""
+    return F.greatest(F.lit(0.0), F.coalesce(F.trim(text).try_cast("double"), F.lit(0.0)))
+
+
 def bit_depth(raw: Column, pix_fmt: Column) -> Column:
-    n = F.coalesce(raw.try_cast("int"), F.regexp_extract(pix_fmt, r"p0?(10|12|14|16)(?:le|be)?$", 1).try_cast("int"), F.lit(8))
+    """From the sample's bits if they are told, else from the pixel format's name; 8, 10, 12, 14 or 16."""
+    own, name = positive(raw).cast("int"), F.lower(F.trim(pix_fmt))
+    told = [F.regexp_extract(name, p, 1).try_cast("int") for p in (r"p0?(10|12|14|16)(?:le|be)?$", r"(10|12|14|16)(?:le|be)?$")]
+    n = F.when(own > 0, own).otherwise(F.coalesce(*told, F.lit(8)))
     return F.when(n >= 16, 16).when(n >= 14, 14).when(n >= 12, 12).when(n >= 10, 10).otherwise(8)
 
 
 def level_text(level: Column) -> Column:
-    n = level.try_cast("int")
-    return F.when(n.isNull() | (n <= 0), "").when(n < 10, n.cast("string")).otherwise(F.concat_ws(".", F.floor(n / 10).cast("string"), (n % 10).cast("string")))
+    """41 as 4.1, 5 as 5, 0 as nothing; text that is no whole number stays."""
+    text = F.trim(F.coalesce(level, F.lit("")))
+    n = F.when(text.rlike(r"^\d+$"), text.try_cast("bigint"))
+    spelt = F.when(n <= 0, "").when(n < 10, n.cast("string")).otherwise(F.concat_ws(".", F.floor(n / 10).cast("string"), (n % 10).cast("string")))
+    return F.when(n.isNull(), text).otherwise(spelt)
 
 
 def languages(values: Column) -> Column:
@@ -159,3 +178,135 @@ def bytes_text(size: Column) -> Column:
     for unit, p in (("TB", 4), ("GB", 3), ("MB", 2), ("KB", 1)):
         out = F.when(size < 1024.0 ** (p + 1), F.format_string(f"%.1f {unit}", size / 1024.0**p)).otherwise(out)
     return F.when(size < 1024, F.format_string("%d B", size.cast("bigint"))).otherwise(out)
+
+
+def normal_pair(a: Column, b: Column, default_a: int = 23, default_b: int = 78) -> Column:
+    """Two percentages within 0 to 100, distinct and in order, as an array."""
+    clamp = lambda c, d: F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(c.try_cast("int"), F.lit(d))))
+    x, y = clamp(a, default_a), clamp(b, default_b)
+    same = x == y
+    x, y = F.when(same & (y >= 100), F.greatest(F.lit(0), x - 1)).otherwise(x), F.when(same & (y < 100), y + 1).otherwise(y)
+    return F.array(F.least(x, y), F.greatest(x, y))
+
+
+def even_pick(values: Column, count: int) -> Column:
+    """count values spread evenly over an array; null where it has fewer."""
+    n = F.size(values)
+    at = lambda i: F.try_element_at(values, F.floor(i * (n - 1) / F.lit(max(1, count - 1))).cast("int") + 1)
+    return F.when(n >= count, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), at))
+
+
+def scene_times(log: Column, duration: Column) -> Column:
+    """The distinct times that a scene filter's log tells, within the duration, in order of appearance."""
+    found = F.transform(F.regexp_extract_all(log, F.lit(r"pts_time:([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda t: t.cast("double"))
+    return F.filter(F.array_distinct(found), lambda t: (t > 0) & (t < F.greatest(F.lit(0.0), duration)))
+
+
+def sample_times(duration: Column) -> Column:
+    return F.transform(F.array(*[F.lit(p) for p in SAMPLE_PERCENTS]), lambda p: p * F.greatest(F.lit(0.0), duration))
+
+
+def audio_text(output: Column) -> Column:
+    """The fingerprint that an audio tool's JSON output holds; null where it is missing or blank."""
+    text = F.trim(F.get_json_object(output, "$.fingerprint"))
+    return F.when(text != "", text)
+
+
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def grid_hash(pixels: Column, width: int = 9, height: int = 8) -> Column:
+    """64 bits, row by row: whether a pixel is brighter than the one to its left; pixels row by row."""
+    i = F.sequence(F.lit(0), F.lit((width - 1) * height - 1))
+    place = lambda k: F.floor(k / (width - 1)).cast("int") * width + k % (width - 1)
+    bit = lambda p, k: (F.get(p, place(k) + 1) > F.get(p, place(k))).cast("bigint")
+    return bound(pixels, lambda p: F.aggregate(i, F.lit(0).cast("bigint"), lambda h, k: F.shiftleft(h, 1).bitwiseOR(bit(p, k))))
+
+
+def nearest_grid(pixels: Column, width: Column, height: Column, to_width: int, to_height: int) -> Column:
+    """Pixels of a smaller or larger frame, each the one at the evenly spaced place; zeros of an empty frame."""
+    at = lambda i, size, to: F.floor(i * (size - 1) / F.lit(max(1, to - 1))).cast("int")
+    cell = lambda p, k: F.get(p, at(F.floor(k / to_width), height, to_height) * width + at(k % to_width, width, to_width))
+    zero = F.lit(0).cast("int")
+    cells = F.sequence(F.lit(0), F.lit(to_width * to_height - 1))
+    return bound(pixels, lambda p: F.transform(cells, lambda k: F.when((width > 0) & (height > 0), cell(p, k).cast("int")).otherwise(zero)))
+
+
+def hashes_valid(hashes: Column) -> Column:
+    """Whether any frame was decoded: a missing frame counts as 0, and all zeros is an error."""
+    return F.exists(F.coalesce(hashes, F.array().cast("array<bigint>")), lambda h: F.coalesce(h, F.lit(0)) != 0)
+
+
+def text_list(json: Column) -> Column:
+    """The trimmed texts of a JSON list, blank ones left out; no list gives none."""
+    parsed = F.from_json(json, "array<string>")
+    trimmed = F.transform(F.coalesce(parsed, F.array().cast("array<string>")), lambda t: F.trim(F.coalesce(t, F.lit(""))))
+    return F.filter(trimmed, lambda t: t != "")
+
+
+def extension_list(values: Column) -> Column:
+    """Trimmed, lower-cased, without leading dots, each once, in order of appearance."""
+    clean = F.transform(values, lambda e: F.regexp_replace(F.lower(F.trim(e)), r"^\.+", ""))
+    return F.array_distinct(F.filter(clean, lambda e: e != ""))
+
+
+def root_list(values: Column) -> Column:
+    """Roots for comparison: trimmed, lower-cased, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda r: F.lower(F.trim(r))), lambda r: r != "")))
+
+
+# The names each kind of setting may have, the default first.
+SETTINGS = {
+    "profile": ("balanced", "conservative", "aggressive", "custom"),
+    "mode": ("off", "same_aspect", "any_aspect"),
+    "action": ("keep", "rename", "delete"),
+    "reason": ("perceptual", "trimmed_match", "audio_match"),
+    "backend": ("pyav", "ffprobe"),
+}
+
+
+def setting(kind: str, value: Column) -> Column:
+    """The value, trimmed and lower-cased, if the kind has it; else the kind's default."""
+    low = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
+    return F.when(low.isin(*SETTINGS[kind]), low).otherwise(F.lit(SETTINGS[kind][0]))
+
+
+def custom_threshold(value: Column) -> Column:
+    n = F.trim(value.cast("string")).try_cast("double")
+    return F.when(n.isNull(), F.lit(0.18)).otherwise(F.greatest(F.lit(0.01), F.least(F.lit(0.30), n)))
+
+
+def scan_set_key(roots: Column, extensions: Column, profile: Column, threshold: Column, scenes: Column, audio: Column, mode: Column) -> Column:
+    """The identity of a set of scans: its normalised definition as JSON with keys in order."""
+    return F.to_json(F.struct(
+        audio.alias("audio_fingerprint_enabled"), setting("mode", mode).alias("cross_resolution_mode"), custom_threshold(threshold).alias("custom_similarity_threshold"),
+        F.array_sort(extension_list(extensions)).alias("extensions"), root_list(roots).alias("roots"), scenes.alias("scene_aware_sampling"), setting("profile", profile).alias("similarity_profile"),
+    ))
+
+
+def mib_rate(size: Column, seconds: Column) -> Column:
+    return F.when(seconds > 0, F.greatest(F.lit(0), size) / F.lit(1048576.0) / seconds).otherwise(F.lit(0.0))
+
+
+def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
+    """Time left at the rate so far; null before three are done or five seconds are over."""
+    return F.when((done >= 3) & (elapsed >= 5), F.greatest(F.lit(0), total - done) * elapsed / done)
+
+
+def first_chars(text: Column, n: int = 500) -> Column:
+    return F.left(text, F.lit(n))
+
+
+def last_chars(text: Column, n: int = 400) -> Column:
+    return F.right(text, F.lit(n))
+
+
+def parent(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def stem(path: Column) -> Column:
+    """The name without its last suffix; a name of a leading dot alone stays whole."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=[^.])\.[^.]+$", "")

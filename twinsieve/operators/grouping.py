@@ -113,20 +113,3 @@ def summary(members: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("total_size_bytes") - F.col("largest")), F.lit(0)).alias("save_min"), F.max("members").alias("largest_group"),
         F.round(F.avg("members"), 6).alias("mean_group"), F.median("members").alias("median_group"), F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("extra_files"),
     )
-
-
-def export_rows(members: DataFrame) -> DataFrame:
-    """The rows of duplicates.csv."""
-    return members.select(
-        "group_id", F.col("path").alias("file_path"), F.col("duration_s").alias("duration"), F.col("ext").alias("container"), "width", "height",
-        F.col("is_interlaced").cast("int").alias("interlaced"), "bit_depth", "hdr_format", "bitrate", "codec", "codec_profile", "codec_level",
-        F.round("similarity_score", 6).alias("similarity_score"), F.col("keep_default").cast("int").alias("is_keep_default"), "selected_action",
-    )
-
-
-def export_nested(members: DataFrame) -> DataFrame:
-    """One JSON document a group, its items in order of file_id."""
-    item = F.struct("file_id", "path", "size", "similarity_score", "keep_default", "selected_action")
-    return members.groupBy("group_id").agg(
-        F.avg("similarity_score").alias("average_confidence"), F.sort_array(F.collect_list(item)).alias("items")
-    ).select("group_id", F.to_json(F.struct("group_id", "average_confidence", "items")).alias("json"))

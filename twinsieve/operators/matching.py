@@ -1,9 +1,10 @@
 """Blocking, the cascade of predicates, edges and counters.
 
 The pairs of a duration tolerance come from an equi-join: every item is dealt to the bucket
-centres within reach, and pairs meet at occupied centres. At scale, popular durations make
-popular centres; the join is a plain shuffled one, which AQE can split, and its rows carry only
-keys until the pairs are distinct.
+centres within reach, and pairs meet at occupied centres. A pair comes out at the least centre that
+both reach, so nothing has to be made distinct. The gate is a condition of that join, whose rows
+carry the few numbers it needs; only pairs that pass it fetch their hashes. At scale, popular
+durations make popular centres; the join is a plain shuffled one, which AQE can split.
 """
 
 from __future__ import annotations
@@ -20,15 +21,24 @@ def bucketed(items: DataFrame) -> DataFrame:
     return items.withColumn("bucket", X.duration_bucket(F.col("duration_s"))).withColumn("aspect", X.aspect_bin(F.col("width"), F.col("height")))
 
 
-def block_pairs(items: DataFrame, tolerance: float = 8.0, mode: str = "off") -> DataFrame:
-    """file_a < file_b of all pairs that share an occupied bucket centre (and, in mode off, the aspect bin)."""
+def block_pairs(items: DataFrame, tolerance: float = 8.0, mode: str = "off", gated: bool = False) -> DataFrame:
+    """file_a < file_b of all pairs that share an occupied bucket centre (and, in mode off, the aspect bin); gated: that pass the gate too."""
     reach = max(0, math.ceil(tolerance / X.BUCKET_SECONDS) - 1)
     keys = ["centre", "aspect"] if mode == "off" else ["centre"]
-    b = bucketed(items).select("file_id", "bucket", "aspect")
-    occupied = b.select(F.col("bucket").alias("centre"), "aspect").select(*keys).distinct()
-    dealt = b.withColumn("centre", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket") + reach))).join(occupied, keys, "left_semi").select("file_id", *keys)
-    left, right = dealt.withColumnRenamed("file_id", "file_a"), dealt.withColumnRenamed("file_id", "file_b")
-    return left.join(right, keys).filter("file_a < file_b").select("file_a", "file_b").distinct()
+    b = bucketed(items).select("file_id", "bucket", "aspect", *(["duration_s", "width", "height"] if gated else []))
+    # every occupied centre with the nearest occupied one before it, as far as two items can share it
+    taken = b.select(F.col("bucket").alias("of"), "aspect").distinct()
+    near = taken.withColumn("centre", F.explode(F.sequence(F.col("of"), F.col("of") + 2 * reach)))
+    occupied = near.groupBy(*keys).agg(F.max(F.when(F.col("of") < F.col("centre"), F.col("of"))).alias("before"), F.bool_or(F.col("of") == F.col("centre")).alias("here"))
+    occupied = occupied.filter("here").drop("here")
+    dealt = b.withColumn("centre", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket") + reach))).join(occupied, keys)
+    left, right = dealt.alias("a"), dealt.alias("b")
+    first = F.coalesce(F.col("a.before") < F.greatest("a.bucket", "b.bucket") - reach, F.lit(True))
+    on = (F.col("a.file_id") < F.col("b.file_id")) & first
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    pairs = left.join(right, on & gate(tolerance, mode) if gated else on)
+    return pairs.select(F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"))
 
 
 def with_sides(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -42,17 +52,19 @@ def gate(tolerance: float, mode: str) -> Column:
     da, db = F.col("a.duration_s"), F.col("b.duration_s")
     longest, shortest = F.greatest(da, db), F.least(da, db)
     ratio = F.greatest(F.lit(0.70), 1 - tolerance / F.greatest(F.lit(1.0), longest))
-    ra, rb = F.col("a.width") / F.col("a.height"), F.col("b.width") / F.col("b.height")
-    ok = (F.abs(da - db) <= tolerance) & (longest > 0) & (shortest / longest >= ratio) & (F.col("a.height") > 0) & (F.col("b.height") > 0)
+    ra, rb = (F.coalesce(F.try_divide(F.col(f"{s}.width"), F.col(f"{s}.height")), F.lit(0.0)) for s in ("a", "b"))
+    ok = (F.abs(da - db) <= tolerance) & (longest > 0) & (F.try_divide(shortest, longest) >= ratio) & (ra > 0) & (rb > 0)
     if mode == "any_aspect":
         return ok
-    return ok & (F.abs(F.log2(ra / rb)) <= (X.ASPECT_SAME if mode == "same_aspect" else X.ASPECT_OFF))
+    return ok & (F.abs(F.log2(F.try_divide(ra, rb))) <= (X.ASPECT_SAME if mode == "same_aspect" else X.ASPECT_OFF))
 
 
-def cascade(items: DataFrame, profile: str = "balanced", custom: float | None = None, tolerance: float = 8.0, mode: str = "off", audio: bool = True) -> DataFrame:
-    """Every blocked pair with gated, inner, rejected, distance, match_reason and score."""
+def cascade(
+    items: DataFrame, profile: str = "balanced", custom: float = 0.18, tolerance: float = 8.0, mode: str = "off", audio: bool = True, every: bool = True,
+) -> DataFrame:
+    """Every blocked pair (or, not every, those that pass the gate) with gated, inner, rejected, distance, match_reason and score."""
     limit = X.threshold(profile, custom)
-    p = with_sides(block_pairs(items, tolerance, mode), items)
+    p = with_sides(block_pairs(items, tolerance, mode, gated=not every), items)
     ha, hb = F.col("a.hashes"), F.col("b.hashes")
     same_audio = F.lit(audio) & (F.col("a.audio_fingerprint") != "") & (F.col("a.audio_fingerprint") == F.col("b.audio_fingerprint"))
     p = p.withColumn("gated", gate(tolerance, mode)).withColumn("inner", F.abs(F.col("a.duration_s") - F.col("b.duration_s")) > X.INNER_GAP)
@@ -64,7 +76,7 @@ def cascade(items: DataFrame, profile: str = "balanced", custom: float | None =
 
 
 def edges(items: DataFrame, **options) -> DataFrame:
-    p = cascade(items, **options).filter(F.col("match_reason").isNotNull())
+    p = cascade(items, every=False, **options).filter(F.col("match_reason").isNotNull())
     return p.select("file_a", "file_b", "score", "match_reason", F.abs(F.col("a.duration_s") - F.col("b.duration_s")).alias("gap_s"))
 
 

@@ -17,13 +17,20 @@ def sampled_digest(rows: DataFrame, text: str, size: str, block: int, a: int = 2
     return rows.withColumn("offsets", offsets).withColumn("digest", F.sha2(F.unhex(F.concat(be(F.col(size)), parts)), 256))
 
 
-def exact_clusters(rows: DataFrame, path: str) -> DataFrame:
-    """Rows of equal (size, digest), two or more, with a label by order of first path."""
-    c = rows.groupBy("size", "digest").agg(F.count("*").alias("members"), F.min(F.lower(path)).alias("first_path")).filter("members >= 2")
-    n = F.row_number().over(Window.orderBy("first_path", "digest")) - 1
+def exact_clusters(rows: DataFrame, path: str, group: str = "group_id") -> DataFrame:
+    """Rows of one group and of equal (size, digest), two or more, with a label by order of first path within the group."""
+    keys = [group, "size", "digest"]
+    c = rows.groupBy(*keys).agg(F.count("*").alias("members"), F.min(F.lower(path)).alias("first_path")).filter("members >= 2")
+    n = F.row_number().over(Window.partitionBy(group).orderBy("first_path", "digest")) - 1
     marks = F.array(*[F.lit(m) for m in "●■♥♦"])
     label = F.when(n < 4, F.try_element_at(marks, n + 1)).otherwise(X.alpha_label(n - 4))
-    return c.select("size", "digest", "members", "first_path", n.alias("cluster"), label.alias("label"))
+    return c.select(*keys, "members", "first_path", n.alias("cluster"), label.alias("label"))
+
+
+def cluster_members(rows: DataFrame, path: str, group: str = "group_id") -> DataFrame:
+    """rows with the label of their exact cluster; rows that equal no other one are left out."""
+    labels = exact_clusters(rows, path, group).select(group, "size", "digest", "label")
+    return rows.join(labels, [group, "size", "digest"])
 
 
 def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -61,19 +68,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new, keys, "left_anti").unionByName(new)
 
 
-def purge(tables: dict[str, DataFrame], scans: DataFrame, key: str = "scan_id") -> dict[str, DataFrame]:
-    """The tables without the rows of scans: deletes do not cascade here, so each child is rewritten."""
-    return {name: t.join(scans, key, "left_anti") for name, t in tables.items()}
-
-
 def missing(known: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     return known.join(present, keys, "left_anti")
 
 
 def hardlinks(files: DataFrame, identity: list[str], path: str) -> DataFrame:
-    """kind: canonical for the first path of an identity, hardlink for the others; target is the canonical path."""
+    """kind: canonical for the first path of an identity, hardlink for the others; target is the canonical path.
+
+    An identity with a part that is null or 0 tells nothing: such files stay on their own.
+    """
+    told = F.lit(True)
+    for c in identity:
+        told = told & F.coalesce(F.col(c).cast("string") != "0", F.lit(False))
     w = Window.partitionBy(*identity).orderBy(F.lower(path), path)
-    return files.withColumn("kind", F.when(F.row_number().over(w) == 1, "canonical").otherwise("hardlink")).withColumn("target", F.first(path).over(w))
+    known = files.filter(told).withColumn("kind", F.when(F.row_number().over(w) == 1, "canonical").otherwise("hardlink")).withColumn("target", F.first(path).over(w))
+    return known.unionByName(files.filter(~told).withColumn("kind", F.lit("canonical")).withColumn("target", F.col(path)))
 
 
 def lane_metrics(results: DataFrame, lane: str = "lane") -> DataFrame:
@@ -88,19 +97,16 @@ def guidance(metrics: DataFrame, worker_limit: int) -> DataFrame:
     m = metrics.agg(F.greatest(F.lit(1), F.count("*")).alias("lanes"), F.sum("failures").alias("failures"), F.sum("timeouts").alias("timeouts"), F.sum("fallbacks").alias("fallbacks"))
     held = F.least(F.lit(worker_limit), F.col("lanes"))
     slow = (F.col("timeouts") > 0) | (F.col("fallbacks") >= F.col("lanes"))
-    return m.withColumn("workers", F.when((F.col("failures") > 0) | slow, held).otherwise(F.lit(worker_limit)))
+    reason = F.when(F.col("failures") > 0, "failures").when(slow, "pressure").otherwise("healthy")
+    return m.withColumn("workers", F.when((F.col("failures") > 0) | slow, held).otherwise(F.lit(worker_limit))).withColumn("reason", reason)
 
 
 def quota_sample(files: DataFrame, root: str, path: str, risky: int = 80, normal: int = 40, total: int = 240) -> DataFrame:
     """Up to so many risky and normal files a root, cut at total and filled up in path order."""
     is_risky = X.suffix(F.col(path)).isin(*X.RISKY_SUFFIXES)
-    w = Window.partitionBy(root, "risky").orderBy(F.lower(path), path)
+    w = Window.partitionBy(root, "risky").orderBy(F.lower(path), path)  # a root's files lie on one drive
     f = files.withColumn("risky", is_risky).withColumn("in_root", F.row_number().over(w))
     tier = F.when(F.col("risky") & (F.col("in_root") <= risky), 0).when(~F.col("risky") & (F.col("in_root") <= normal), 1).otherwise(2)
-    order = Window.orderBy("tier", F.lower(root), F.lower(path), path)
-    return f.withColumn("tier", tier).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= total)
-
-
-def lane_plan(roots: DataFrame) -> DataFrame:
-    """lane, cap (least override, at least 1) of roots(lane, override)."""
-    return roots.groupBy("lane").agg(F.count("*").alias("roots"), F.greatest(F.lit(1), F.coalesce(F.min("override"), F.lit(1))).alias("cap"))
+    order = ["tier", F.lower(root), F.lower(path), path]
+    first = f.withColumn("tier", tier).orderBy(*order).limit(total)  # the sample is the feature; only its rows are numbered
+    return first.withColumn("position", F.row_number().over(Window.orderBy(*order)))

@@ -8,19 +8,22 @@ _PCTS = ", ".join(map(repr, SAMPLE_PERCENTS))
 _BIT = "CASE WHEN ascii(substr(f, i + 1, 1)) > ascii(substr(f, i, 1)) THEN '1' ELSE '0' END"
 ASSETS = f"""assets AS (
   SELECT doc_id AS file_id, '/lib/' || source || '/' || lang || '/doc_' || doc_id || '.' || ext AS path, n_chars AS size, n_chars / 10.0::DOUBLE AS duration_s,
-    ext, source, [1920, 1280, 1920, 640][doc_id % 4 + 1] AS width, [1080, 720, 800, 480][doc_id % 4 + 1] AS height,
+    ext, source, CASE WHEN doc_id % 29 = 0 THEN 0 ELSE [1920, 1280, 1920, 640][doc_id % 4 + 1] END AS width, [1080, 720, 800, 480][doc_id % 4 + 1] AS height,
     ['hevc', 'h264', 'vp9', 'mpeg4'][(doc_id // 4) % 4 + 1] AS codec, ['Main', 'High', 'Main 10', ''][(doc_id // 16) % 4 + 1] AS codec_profile,
     ['4.1', '5.1', '', 'x'][(doc_id // 2) % 4 + 1] AS codec_level, [8, 10, 12][doc_id % 3 + 1] AS bit_depth, doc_id % 13 = 0 AS is_interlaced,
     ['', 'HDR10', '', 'HLG', 'DV'][(doc_id // 3) % 5 + 1] AS hdr_format, 500000 + (doc_id * 7919 % 7500) * 1000 AS bitrate,
     1700000000000000000 + (doc_id * 104729 % 1000003) * 1000 AS mtime_ns, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE '' END AS audio_fingerprint,
     list_transform(list_transform([{_PCTS}]::DOUBLE[], lambda p: substr(text, floor(n_chars * p)::INT + 1, 65)),
-      lambda f: CAST(CAST(array_to_string(list_transform(range(1, 65), lambda i: {_BIT}), '') AS BIT) AS BIGINT)) AS hashes
-  FROM (SELECT *, ['mp4', 'mkv', 'avi', 'mov', 'webm'][doc_id % 5 + 1] AS ext FROM documents) WHERE n_chars >= 200)"""
-ITEMS = f"""{ASSETS}, items AS (
-  SELECT * FROM assets
+      lambda f: CAST(CAST(array_to_string(list_transform(range(1, 65), lambda i: {_BIT}), '') AS BIT) AS BIGINT)) AS hashes,
+    [24.0, 25.0, 29.97][doc_id % 3 + 1]::DOUBLE AS fps, ['mov', 'matroska', 'avi', 'mov', 'matroska'][doc_id % 5 + 1] AS container, (doc_id % 3)::INT AS audio_stream_count,
+    CASE WHEN doc_id % 3 > 0 THEN ['aac', 'opus'][doc_id % 2 + 1] ELSE '' END AS audio_codec, doc_id % 3 * 96000 AS audio_bitrate
+  FROM (SELECT * REPLACE (coalesce(text, '') AS text, coalesce(n_chars, 0) AS n_chars), ['mp4', 'mkv', 'avi', 'mov', 'webm'][doc_id % 5 + 1] AS ext FROM documents))"""
+ITEMS = f"""{ASSETS}, decoded AS (SELECT * FROM assets WHERE len(list_filter(hashes, lambda h: h <> 0)) > 0), items AS (
+  SELECT * FROM decoded
   UNION ALL SELECT * REPLACE (file_id + 10000000 AS file_id, duration_s + 5 AS duration_s, list_transform(hashes, lambda h, k: CASE WHEN k IN (1, 2, 11, 12) THEN ~h ELSE h END) AS hashes)
-    FROM assets WHERE file_id % 7 = 3
-  UNION ALL SELECT * REPLACE (file_id + 20000000 AS file_id, list_transform(hashes, lambda h: ~h) AS hashes) FROM assets WHERE file_id % 11 = 5)"""
+    FROM decoded WHERE file_id % 7 = 3
+  UNION ALL SELECT * REPLACE (file_id + 20000000 AS file_id, list_transform(hashes, lambda h: ~h) AS hashes) FROM decoded WHERE file_id % 11 = 5
+  UNION ALL SELECT * REPLACE (file_id + 30000000 AS file_id, '' AS audio_fingerprint, list_transform(hashes, lambda h: xor(h, (1::BIGINT << (file_id % 17 + 4)::INT) - 1)) AS hashes) FROM decoded WHERE file_id % 5 = 2)"""
 
 
 def blocked(of: str, reach: int, mode: str) -> str:
@@ -37,7 +40,7 @@ def _gate(mode: str) -> str:
     aspect = {"off": 0.2, "same_aspect": 0.5}.get(mode)
     return f"""abs(a.duration_s - b.duration_s) <= 8 AND greatest(a.duration_s, b.duration_s) > 0
     AND least(a.duration_s, b.duration_s) / greatest(a.duration_s, b.duration_s) >= greatest(0.7, 1 - 8 / greatest(1, greatest(a.duration_s, b.duration_s)))
-    AND a.height > 0 AND b.height > 0""" + (f" AND abs(log2((a.width / a.height) / (b.width / b.height))) <= {aspect}" if aspect else "")
+    AND a.height > 0 AND b.height > 0 AND a.width > 0 AND b.width > 0""" + (f" AND CASE WHEN a.width > 0 AND b.width > 0 AND a.height > 0 AND b.height > 0 THEN abs(log2((a.width / a.height) / (b.width / b.height))) <= {aspect} ELSE false END" if aspect else "")
 
 
 def _median(positions) -> str:
@@ -120,7 +123,7 @@ ORACLES: dict[str, str] = {
     "group_items": f"""{members()} SELECT group_id, file_id, round(similarity_score, 6) AS similarity_score, match_reason, round(match_duration_delta_s, 6) AS match_duration_delta_s, keep_default,
       CASE WHEN keep_default THEN 'keep' ELSE 'rename' END AS selected_action FROM members""",
     "group_metrics": f"{members()} SELECT group_id, members, total_size_bytes, reclaimable_bytes, round(average_confidence, 6) AS average_confidence FROM metrics",
-    "quality_score": f"WITH {ASSETS} SELECT file_id, round({QUALITY}, 6) AS quality, {LEVEL} AS level FROM assets",
+    "quality_score": f"WITH {ASSETS} SELECT file_id, floor({QUALITY} * 1000 + 0.123)::BIGINT AS quality, {LEVEL} AS level FROM assets",
     "filter_text": filtered("contains(lower(path), '/en/') OR contains(lower(path), 'doc_1')", f"contains(lower({_NAME}), '.webm')"),
     "filter_match_all": filtered("contains(lower(path), '/en/')", match_all=True),
     "filter_structured": filtered("size >= 500 AND duration_s >= 60 AND similarity_score >= 0.95 AND width >= 1280 AND ext IN ('mp4', 'mkv', 'avi') AND codec IN ('hevc', 'h264', 'vp9')"),
@@ -128,24 +131,41 @@ ORACLES: dict[str, str] = {
     "filter_options": f"{members()} SELECT DISTINCT ext, codec FROM members",
     "dup_stats": f"""{members()} SELECT count(*) AS groups, sum(members)::BIGINT AS files, sum(total_size_bytes)::BIGINT AS total_bytes, sum(total_size_bytes - smallest)::BIGINT AS save_max,
       sum(total_size_bytes - largest)::BIGINT AS save_min, max(members) AS largest_group, round(avg(members), 6) AS mean_group, median(members)::DOUBLE AS median_group, sum(members - 1)::BIGINT AS extra_files FROM metrics""",
-    "export_duplicates": f"""{members()} SELECT group_id, path AS file_path, duration_s AS duration, ext AS container, width, height, is_interlaced::INT AS interlaced, bit_depth, hdr_format, bitrate, codec,
-      codec_profile, codec_level, round(similarity_score, 6) AS similarity_score, keep_default::INT AS is_keep_default, CASE WHEN keep_default THEN 'keep' ELSE 'rename' END AS selected_action FROM members""",
-    "exact_clusters": """WITH r AS (SELECT '/lib/' || source || '/doc_' || doc_id AS path, n_chars AS size, sha256(text) AS digest FROM documents),
-      c AS (SELECT size, digest, count(*) AS members, min(lower(path)) AS first_path FROM r GROUP BY size, digest HAVING count(*) >= 2),
-      n AS (SELECT *, (row_number() OVER (ORDER BY first_path, digest) - 1)::INT AS cluster FROM c)
+    "export_duplicates": f"""{members()} SELECT group_id, path AS file_path, duration_s AS duration, container, width, height, fps, is_interlaced::INT AS interlaced, bit_depth, hdr_format, bitrate, codec,
+      codec_profile, codec_level, audio_stream_count, audio_codec, audio_bitrate, round(similarity_score, 6) AS similarity_score, keep_default::INT AS is_keep_default,
+      CASE WHEN keep_default THEN 'keep' ELSE 'rename' END AS selected_action FROM members""",
+    "export_nested_json": f"""{members()} SELECT 7::BIGINT AS scan_id, 'balanced' AS profile, group_id, sum(size)::BIGINT AS total_size_bytes, round(avg(similarity_score), 6) AS average_confidence,
+      greatest(0, sum(size) - sum(CASE WHEN keep_default THEN size ELSE 0 END))::BIGINT AS reclaimable_bytes,
+      string_agg(file_id || ':' || keep_default || ':' || path, ',' ORDER BY keep_default DESC, width * height DESC, bitrate DESC, file_id) AS items FROM members GROUP BY group_id""",
+    "load_groups": f"""{members()} SELECT group_id, file_id, row_number() OVER (PARTITION BY group_id ORDER BY keep_default DESC, width * height DESC, bitrate DESC, file_id)::INT AS position
+      FROM members WHERE file_id % 5 > 0""",
+    "display_rows": f"""{members()} SELECT group_id, file_id, list_last(string_split(path, '/')) AS name, ext AS extension, format('{{:,}}', size) AS size, width || 'x' || height AS resolution, printf('%.3f', fps) AS fps,
+      CASE WHEN is_interlaced THEN 'Yes' ELSE '' END AS interlaced, bit_depth || '-bit' AS bit_depth, printf('%.1fs', duration_s) AS duration, printf('%.3f', similarity_score) AS similarity,
+      CASE match_reason WHEN 'trimmed_match' THEN 'Trimmed' WHEN 'audio_match' THEN 'Audio' ELSE 'Perceptual' END AS match, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM members""",
+    "exact_clusters": """WITH r AS (SELECT n_chars % 2 AS group_id, '/lib/' || source || '/doc_' || doc_id AS path, n_chars AS size, sha256(text) AS digest FROM documents),
+      c AS (SELECT group_id, size, digest, count(*) AS members, min(lower(path)) AS first_path FROM r GROUP BY ALL HAVING count(*) >= 2),
+      n AS (SELECT *, (row_number() OVER (PARTITION BY group_id ORDER BY first_path, digest) - 1)::INT AS cluster FROM c)
       SELECT *, CASE WHEN cluster < 4 THEN ['●', '■', '♥', '♦'][cluster + 1] WHEN cluster < 30 THEN chr(cluster - 4 + 97)
         ELSE chr((cluster - 4) // 26 - 1 + 97) || chr((cluster - 4) % 26 + 97) END AS label FROM n""",
     "sampled_digest": """WITH s AS (SELECT page_id, html, length(html) AS size, greatest(0, length(html) - 64) AS span FROM pages),
       o AS (SELECT *, list_sort(list_distinct([0, span, round_even(span * (23 / 100), 0)::BIGINT, round_even(span * (78 / 100), 0)::BIGINT])) AS offs FROM s)
       SELECT page_id, size::INT AS size, array_to_string(offs, ',') AS offsets, sha256(unhex(upper(printf('%016x', size)) || array_to_string(list_transform(offs, lambda p:
         upper(printf('%016x', p)) || upper(printf('%016x', length(substr(html, p + 1, 64)))) || hex(encode(substr(html, p + 1, 64)))), ''))) AS digest FROM o""",
-    "hardlink_canonical": """WITH d AS (SELECT sha256(text) AS i, source || '/' || doc_id AS path FROM documents)
+    "hardlink_canonical": """WITH d AS (SELECT CASE WHEN doc_id % 10 = 0 OR doc_id % 11 = 0 THEN 'only ' || doc_id ELSE sha256(text) END AS i, source || '/' || doc_id AS path FROM documents)
       SELECT path, CASE WHEN row_number() OVER w = 1 THEN 'canonical' ELSE 'hardlink' END AS kind, first_value(path) OVER w AS target FROM d WINDOW w AS (PARTITION BY i ORDER BY lower(path), path)""",
+    "scan_links": """WITH d AS (SELECT doc_id, sha256(text) AS i, source || '/' || doc_id AS path FROM documents),
+      h AS (SELECT path, row_number() OVER w AS n, first_value(path) OVER w AS target FROM d WINDOW w AS (PARTITION BY i ORDER BY lower(path), path))
+      SELECT 7 AS scan_id, 'hardlink' AS link_kind, path AS link_path, target AS target_original_path, 1 AS target_exists, '/lib' AS source_root FROM h WHERE n > 1
+      UNION ALL SELECT 7, 'symlink', path || '.lnk', path, (doc_id % 2 = 0)::INT, '/lib' FROM d WHERE doc_id % 9 = 4""",
     "latest_scan": "SELECT o_orderkey AS scan_id, o_custkey AS scan_set, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'paused' ELSE 'running' END AS status FROM orders ORDER BY scan_id DESC LIMIT 1",
-    "lane_plan": "SELECT s_nationkey AS lane, count(*) AS roots, greatest(1, coalesce(min(CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 5 END), 1)) AS cap FROM supplier GROUP BY ALL",
-    "filter_terms": """SELECT item_id, array_to_string(list_filter(list_transform(string_split(' A |' || substr(text, 1, 20) || '| |B', '|'), lambda t: lower(trim(t))), lambda t: t <> ''), '#') AS terms FROM benchmark""",
-    "scan_set_key": """SELECT doc_id, '{"extensions":[' || array_to_string(list_transform(list_sort(list_distinct(list_transform(string_split(source || ',MKV, .mp4 ,mkv,' || lang, ','),
-      lambda e: lower(trim(regexp_replace(trim(e), '^\\.+', '')))))), lambda e: '"' || e || '"'), ',') || '],"profile":"balanced"}' AS scan_set_key FROM documents""",
+    "lane_plan": """WITH l AS (SELECT s_nationkey AS lane, count(*) AS roots, greatest(1, coalesce(min(CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 5 END), 1)) AS cap FROM supplier GROUP BY ALL)
+      SELECT *, (SELECT sum(cap) FROM l)::BIGINT AS effective, greatest(16, (SELECT sum(cap) FROM l))::BIGINT AS requested FROM l""",
+    "filter_terms": """SELECT item_id, array_to_string(list_filter(list_transform(string_split(' A |' || replace(text, ',', '|') || '| |B', '|'), lambda t: lower(trim(t))), lambda t: t <> ''), '#') AS terms FROM benchmark""",
+    "scan_set_key": """WITH k AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(source || ',MKV, .mp4 ,mkv,' || lang, ','), lambda e: regexp_replace(lower(trim(e)), '^\\.+', '')), lambda e: e <> ''))) AS e,
+      list_sort(list_distinct(['/lib/b', lower(trim('/lib/' || source))])) AS r FROM documents)
+      SELECT doc_id, '{"audio_fingerprint_enabled":' || (doc_id % 3 = 0) || ',"cross_resolution_mode":"' || ['any_aspect', 'off', 'off'][doc_id % 3 + 1] || '","custom_similarity_threshold":' || ['0.3', '0.18', '0.2'][doc_id % 3 + 1]
+      || ',"extensions":["' || array_to_string(e, '","') || '"],"roots":["' || array_to_string(r, '","') || '"],"scene_aware_sampling":' || (doc_id % 2 = 0)
+      || ',"similarity_profile":"' || ['balanced', 'custom', 'balanced'][doc_id % 3 + 1] || '"}' AS scan_set_key FROM k""",
     "thumb_key": f"WITH {ASSETS} SELECT file_id, sha1(concat_ws('|', path, size, mtime_ns, '160x90', '50', 'left', 'v2')) AS key FROM assets",
     "bench_quota": f"""WITH {ASSETS}, f AS (SELECT path, source AS root, regexp_extract(lower(path), '(\\.[^./]+)$', 1) IN {RISKY_SUFFIXES} AS risky FROM assets),
       n AS (SELECT *, row_number() OVER (PARTITION BY root, risky ORDER BY lower(path), path) AS k FROM f),
@@ -174,7 +194,7 @@ for _way, _sign in (("down", " DESC"), ("up", "")):
 _SCANS = "scans AS (SELECT o_orderkey AS scan_id, o_custkey AS scan_set, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'paused' ELSE 'running' END AS status FROM orders)"
 _FILES = "files AS (SELECT l_orderkey AS scan_id, l_partkey AS file_id, sum(l_quantity)::BIGINT AS size, bool_or(l_shipdate < TIMESTAMP '1998-01-01') AS alive FROM lineitem GROUP BY ALL)"
 _HALF = """old AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
-  new AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)"""
+  new AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 5 <> 3 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)"""
 _LANES = """lanes AS (SELECT user_id % 7 AS lane, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'success' END AS status, value AS elapsed_s, (event_id % 5 = 0)::BIGINT AS f, (event_id % 97 = 0)::BIGINT AS t FROM events),
   m AS (SELECT lane, count(*) AS files, count_if(status = 'success')::BIGINT AS successes, count_if(status <> 'success')::BIGINT AS failures, sum(f)::BIGINT AS fallbacks, sum(t)::BIGINT AS timeouts,
     round(avg(elapsed_s), 6) AS avg_service_s, max(elapsed_s) AS peak_service_s FROM lanes GROUP BY lane)"""
@@ -202,12 +222,14 @@ ORACLES |= {
       FROM scans s LEFT JOIN files f ON f.scan_id = s.scan_id GROUP BY s.scan_id, s.status""",
     "match_ready": f"""WITH {_SCANS}, {_FILES} SELECT f.scan_id, f.file_id, f.size, p.p_brand, coalesce(a.s_name, '') AS audio FROM files f JOIN scans USING (scan_id) JOIN part p ON p.p_partkey = f.file_id
       LEFT JOIN supplier a ON a.s_suppkey = f.file_id WHERE f.alive AND NOT EXISTS (SELECT 1 FROM part x WHERE x.p_size > 40 AND x.p_partkey = f.file_id)""",
-    "purge_counts": f"""WITH {_SCANS}, {_FILES} SELECT 'scans' AS name, count(*) AS rows FROM scans WHERE scan_set % 10 <> 3
-      UNION ALL SELECT 'files', count(*) FROM files WHERE scan_id NOT IN (SELECT scan_id FROM scans WHERE scan_set % 10 = 3)""",
-    "prune_groups": f"WITH {_FILES} SELECT scan_id, count_if(alive)::BIGINT AS alive FROM files GROUP BY scan_id HAVING count_if(alive) < 2",
+    "purge_counts": f"""WITH {_SCANS}, {_FILES}, gone AS (SELECT scan_id FROM scans WHERE scan_set % 50 = 3 UNION SELECT scan_id FROM files WHERE file_id % 37 = 5)
+      SELECT (SELECT count(*) FROM scans WHERE scan_id IN (FROM gone)) AS deleted_scans, (SELECT count(*) FROM files WHERE scan_id IN (FROM gone)) AS deleted_files,
+      (SELECT count(*) FROM scans WHERE scan_id % 4 <> 1 AND scan_id IN (FROM gone)) AS deleted_groups, (SELECT count(*) FROM scans WHERE scan_id % 9 = 2 AND scan_id IN (FROM gone)) AS deleted_actions""",
+    "prune_groups": f"""WITH {_SCANS}, {_FILES} SELECT s.scan_id AS group_id, coalesce(count_if(f.alive), 0)::BIGINT AS alive FROM scans s LEFT JOIN files f ON f.scan_id = s.scan_id AND f.file_id % 3 > 0
+      WHERE s.scan_id % 4 <> 1 GROUP BY s.scan_id HAVING coalesce(count_if(f.alive), 0) < 2""",
     "lane_metrics": f"WITH {_LANES} SELECT * FROM m",
     "guidance": f"""WITH {_LANES}, g AS (SELECT greatest(1, count(*)) AS lanes, sum(failures)::BIGINT AS failures, sum(timeouts)::BIGINT AS timeouts, sum(fallbacks)::BIGINT AS fallbacks FROM m)
-      SELECT *, CASE WHEN failures > 0 OR timeouts > 0 OR fallbacks >= lanes THEN least(16, lanes) ELSE 16 END AS workers FROM g""",
+      SELECT *, CASE WHEN failures > 0 OR timeouts > 0 OR fallbacks >= lanes THEN least(16, lanes) ELSE 16 END AS workers, CASE WHEN failures > 0 THEN 'failures' WHEN timeouts > 0 OR fallbacks >= lanes THEN 'pressure' ELSE 'healthy' END AS reason FROM g""",
     "path_parts": f"""WITH p AS (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '/Clip.MKV' ELSE '/.hidden' END AS path FROM pages)
       SELECT page_id, lower(replace(path, chr(92), '/')) AS key, {_NAME} AS name, lower(regexp_extract({_NAME}, '[^.](\\.[^.]+)$', 1)) AS suffix,
       lower(regexp_extract({_NAME}, '[^.](\\.[^.]+)$', 1)) IN {RISKY_SUFFIXES} AS risky FROM p""",
@@ -215,11 +237,80 @@ ORACLES |= {
       SELECT n AS id, round_even(n / 2 / 5, 0)::INT AS bucket, CASE WHEN n % 7 <= 0 THEN 0 ELSE round_even((n % 50 + 1) / (n % 7) * 4, 0) / 4 END::DOUBLE AS aspect,
       CASE WHEN n % 60 <= 0 THEN '' WHEN n % 60 < 10 THEN (n % 60)::VARCHAR ELSE ((n % 60) // 10) || '.' || ((n % 60) % 10) END AS level,
       CASE WHEN n % 3 = 0 THEN 0 ELSE (n % 9) / (n % 3) END::DOUBLE AS fps,
-      CASE WHEN n % 700 < 26 THEN chr((n % 700)::INT + 97) ELSE chr(((n % 700) // 26)::INT - 1 + 97) || chr(((n % 700) % 26)::INT + 97) END AS alpha,
+      CASE WHEN n < 26 THEN chr((n + 97)::INT) WHEN n < 702 THEN chr((((n - 26) // 26) + 97)::INT) || chr((((n - 26) % 26) + 97)::INT)
+        WHEN n < 18278 THEN chr((((n - 702) // 676) + 97)::INT) || chr((((n - 702) // 26 % 26) + 97)::INT) || chr((((n - 702) % 26) + 97)::INT)
+        ELSE chr((((n - 18278) // 17576) + 97)::INT) || chr((((n - 18278) // 676 % 26) + 97)::INT) || chr((((n - 18278) // 26 % 26) + 97)::INT) || chr((((n - 18278) % 26) + 97)::INT) END AS alpha,
       CASE WHEN z < 1024 THEN printf('%d B', z::BIGINT) WHEN z < 1048576 THEN printf('%.1f KB', z / 1024) WHEN z < 1073741824 THEN printf('%.1f MB', z / 1048576) ELSE printf('%.1f GB', z / 1073741824) END AS size_text,
       CASE n % 4 WHEN 0 THEN 10 WHEN 1 THEN 12 ELSE 8 END::INT AS bit_depth FROM o""",
-    "probe_parse": """SELECT p_partkey, p_partkey / 4 AS duration_s, 1920 AS width, 1080 AS height, round(30000 / 1001, 6) AS fps, CASE WHEN p_partkey % 2 = 0 THEN 'h264' ELSE 'hevc' END AS codec, 123456::BIGINT AS bitrate,
-      2 AS audio_stream_count, 'aac' AS audio_codec, 64000::BIGINT AS audio_bitrate, 'deu,eng' AS audio_languages, '' AS subtitle_languages, CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 8 END AS bit_depth,
-      CASE WHEN p_partkey % 7 = 0 THEN 'HDR10' WHEN p_partkey % 7 = 1 THEN 'HLG' ELSE '' END AS hdr_format, 'mov' AS container, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'High' END AS codec_profile,
-      '4.1' AS codec_level, p_partkey % 4 = 0 AS is_interlaced FROM part""",
+    "probe_parse": """WITH p AS (SELECT p_partkey, p_partkey % 3 AS m3, p_partkey % 4 AS m4, p_partkey % 5 AS m5, p_partkey % 6 AS m6, p_partkey % 11 AS m11, p_partkey % 13 AS m13, p_partkey % 17 AS m17 FROM part)
+      SELECT p_partkey, m17 / 4 AS duration_s, CASE WHEN m13 = 0 THEN 0 ELSE 1920 END AS width, 1080 AS height, round([30000 / 1001, 25, 0, 24][m4 + 1], 6)::DOUBLE AS fps,
+      CASE WHEN p_partkey % 2 = 0 THEN 'h264' ELSE 'hevc' END AS codec, 123456::BIGINT AS bitrate, m3::INT AS audio_stream_count, CASE WHEN m3 > 0 THEN 'aac' ELSE '' END AS audio_codec,
+      [0, 64000, 96000][m3 + 1]::BIGINT AS audio_bitrate, ['', 'eng', 'deu,eng'][m3 + 1] AS audio_languages, CASE WHEN m4 = 0 THEN 'pol' ELSE '' END AS subtitle_languages,
+      CASE m4 WHEN 1 THEN 8 WHEN 3 THEN 16 ELSE [10, 8, 10, 12, 8][m5 + 1] END::INT AS bit_depth,
+      CASE WHEN m11 IN (0, 3) THEN 'DV' WHEN m11 = 1 THEN 'HDR10+' WHEN m5 IN (0, 3) THEN 'HDR10' WHEN m5 = 1 THEN 'HLG' WHEN m11 = 2 AND m3 IN (0, 2) THEN 'HDR10' ELSE '' END AS hdr_format,
+      'mov' AS container, ['', 'High', '-99', 'Main', ''][m5 + 1] AS codec_profile, ['4.1', '5', '', '4.1', 'x'][m5 + 1] AS codec_level, m6 IN (0, 2, 3) AS is_interlaced,
+      CASE WHEN m17 = 0 OR m13 = 0 THEN 'Invalid video metadata' ELSE '' END AS probe_error FROM p""",
+}
+
+
+def _bits(a: str, b: str, at: str) -> str:
+    return f"list_transform({at}, lambda i: bit_count(xor({a}[i], {b}[i]))::DOUBLE)"
+
+
+def _distance(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = len({b}) AND len({a}) > 0 THEN list_median({_bits(a, b, f'range(1, len({a}) + 1)')}) / 64 ELSE 1 END::DOUBLE"
+
+
+def _prefilter(a: str, b: str) -> str:
+    n = f"least(len({a}), len({b}))"
+    return f"CASE WHEN {n} > 0 THEN list_median({_bits(a, b, f'list_distinct([1, {n} // 2 + 1, {n}])')}) ELSE 64 END::DOUBLE"
+
+
+def _named(kind: str, default: str, names: tuple[str, ...]) -> str:
+    return f"CASE WHEN v IN {names} THEN v ELSE '{default}' END AS {kind}"
+
+
+_FAILED = """fail AS (SELECT event_id % 4 AS scan_id, 'd:/lib/' || event_type || '/' || user_id AS key, ['probe', 'enumerate', 'fingerprint', 'analyze'][event_id % 4 + 1] AS stage, event_id FROM events)"""
+ORACLES |= {
+    "median_distances": f"""WITH p AS (SELECT p_partkey, list_transform(range(1, p_partkey % 13 + 1), lambda i: p_partkey * i * 2654435761) AS a,
+      list_transform(range(1, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 13 ELSE p_partkey % 11 END + 1), lambda i: (p_partkey + 7) * i * 2654404609) AS b FROM part),
+      q AS (SELECT *, a[3:10] AS ia, b[3:10] AS ib FROM p) SELECT p_partkey, {_distance("a", "b")} AS full_distance, {_distance("ia", "ib")} AS inner_distance,
+      {_prefilter("a", "b")} AS prefilter_full, {_prefilter("ia", "ib")} AS prefilter_inner FROM q""",
+    "setting_names": f"""WITH o AS (SELECT o_orderkey AS n, ['balanced', 'custom', 'none', 'any_aspect', 'rename', 'trimmed_match', 'ffprobe'][o_orderkey % 7 + 1] AS v, greatest(0, least(100, o_orderkey % 130 - 10)) AS a, o_orderkey % 103 AS b FROM orders),
+      q AS (SELECT *, least(100, b) AS c FROM o), r AS (SELECT *, CASE WHEN a = c AND c >= 100 THEN a - 1 ELSE a END AS x, CASE WHEN a = c AND c < 100 THEN c + 1 ELSE c END AS y FROM q)
+      SELECT n AS id, {_named("profile", "balanced", ("balanced", "conservative", "aggressive", "custom"))}, {_named("mode", "off", ("off", "same_aspect", "any_aspect"))}, {_named("action", "keep", ("keep", "rename", "delete"))},
+      {_named("reason", "perceptual", ("perceptual", "trimmed_match", "audio_match"))}, {_named("backend", "pyav", ("pyav", "ffprobe"))}, [0.3, 0.18, 0.2, 0.01][n % 4 + 1]::DOUBLE AS threshold,
+      least(x, y) || ',' || greatest(x, y) AS pair, CASE WHEN n % 9 >= 3 AND n % 31 >= 5 THEN (20 - n % 9) * (n % 31)::DOUBLE / (n % 9) ELSE -1 END::DOUBLE AS eta, CASE WHEN n % 4 > 0 THEN n / (n % 4) ELSE 0 END::DOUBLE AS rate FROM r""",
+    "scene_samples": """WITH e AS (SELECT event_id, list_filter(list_transform(range(0, event_id % 9 + 1), lambda i: i * (event_id % 3) + 0.5), lambda t: t < event_id % 13) AS raw FROM events),
+      t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN raw[1:1] ELSE raw END AS ts FROM e), x AS (SELECT event_id, ts, len(ts) AS n FROM t)
+      SELECT event_id, array_to_string(list_transform(ts, lambda t: t::DOUBLE::VARCHAR), ',') AS times,
+      CASE WHEN n >= 4 THEN array_to_string(list_transform([0, 1, 2, 3], lambda i: ts[(i * (n - 1)) // 3 + 1]::DOUBLE::VARCHAR), ',') ELSE 'none' END AS picked, CASE WHEN event_id % 3 = 0 THEN 'AQ' ELSE 'none' END AS audio FROM x""",
+    "frame_grids": """WITH p AS (SELECT p_partkey AS n, (p_partkey % 5 + 9)::INT AS w, (p_partkey % 3 + 8)::INT AS h, list_transform(range(0, 140), lambda i: (p_partkey * 31 + i * i * 7 + i * p_partkey) % 251) AS px FROM part),
+      g AS (SELECT n, list_transform(range(0, 72), lambda k: px[((k // 9) * (h - 1)) // 7 * w + ((k % 9) * (w - 1)) // 8 + 1]) AS s FROM p)
+      SELECT n AS p_partkey, CAST(CAST(array_to_string(list_transform(range(0, 64), lambda k: CASE WHEN s[k // 8 * 9 + k % 8 + 2] > s[k // 8 * 9 + k % 8 + 1] THEN '1' ELSE '0' END), '') AS BIT) AS BIGINT) AS hash,
+      list_sum(s)::INT AS sum, n % 4 <> 0 AS valid FROM g""",
+    "valid_artifacts": """WITH e AS (SELECT event_id AS i FROM events), f AS (SELECT i, i % 2 > 0 AND i % 7 > 0 AND i % 9 > 0 AND i % 13 <> 0 AS meta_ok, i % 3 > 0 AND i % 11 > 0 AND i % 5 > 0 AS hashes_ok, i % 4 > 0 AND i % 6 > 0 AND i % 8 > 0 AS audio_ok FROM e)
+      SELECT i AS event_id, meta_ok, hashes_ok, audio_ok, CASE WHEN meta_ok AND hashes_ok THEN 'cache_hit' WHEN meta_ok THEN 'fingerprint_only' ELSE 'probe_and_fingerprint' END AS decision FROM f""",
+    "clone_failed": f"""WITH {_FAILED}, m AS (SELECT scan_id, key AS path, max(event_id) AS event_id FROM fail GROUP BY ALL), w AS (SELECT DISTINCT 'd:/lib/' || event_type || '/' || user_id AS path FROM events WHERE event_id % 3 = 0),
+      c AS (SELECT 2::BIGINT AS scan_id, path, event_id FROM m WHERE scan_id = 1 AND path IN (FROM w))
+      SELECT * FROM c UNION ALL SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.scan_id = m.scan_id AND c.path = m.path)""",
+    "to_analyze": f"""WITH {_FAILED}, b AS (SELECT scan_id, key FROM fail WHERE event_id % 97 = 0 AND stage <> 'enumerate')
+      SELECT event_id FROM fail f WHERE event_id % 5 > 0 AND NOT EXISTS (SELECT 1 FROM b WHERE b.scan_id = f.scan_id AND b.key = f.key)""",
+    "failed_files": f"""WITH {_FAILED}, x AS (SELECT scan_id, key, event_id AS "at", event_id % 3 = 0 AS bad FROM fail WHERE event_id % 3 = 0 OR event_id % 2 = 0)
+      SELECT scan_id, key, "at" FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY scan_id, key ORDER BY "at" DESC) = 1) WHERE bad""",
+    "provenance_metrics": """WITH e AS (SELECT event_id AS i, ['pyav', 'ffmpeg', 'opencv'][event_id % 3 + 1] AS one, ['ffmpeg', 'pyav'][event_id % 2 + 1] AS used, event_id % 17 = 0 AS broken FROM events)
+      SELECT i AS event_id, CASE WHEN broken THEN 0 WHEN i % 5 > 0 THEN (one <> used)::INT WHEN i % 2 = 0 THEN ('ffmpeg' <> used)::INT ELSE 0 END::BIGINT AS fallbacks,
+      CASE WHEN broken THEN 0 ELSE (i % 5 > 0 AND i % 4 IN (0, 3))::INT + (i % 2 = 0)::INT END::BIGINT AS timeouts FROM e""",
+    "decoder_mix": """SELECT user_id % 7 AS lane, ['pyav', 'ffmpeg'][floor(value)::BIGINT % 3 + 1] AS decoder, count(*) AS files FROM events WHERE event_id % 11 <> 0 AND floor(value)::BIGINT % 3 IN (0, 1) GROUP BY ALL""",
+    "run_summary": """SELECT count(*) AS analyzed, count_if(event_id % 11 <> 0)::BIGINT AS successes, count_if(event_id % 11 = 0)::BIGINT AS failures, count_if(event_id % 5 = 0)::BIGINT AS fallbacks, count_if(event_id % 97 = 0)::BIGINT AS timeouts FROM events""",
+    "named_sample": f"WITH {ASSETS} SELECT path, source AS root FROM assets WHERE contains(lower(path), 'doc_1') ORDER BY lower(source), lower(path), path LIMIT 24",
+    "incomplete_sample": f"WITH {ASSETS} SELECT path, source AS root FROM assets ORDER BY lower(source), lower(path), path LIMIT 120",
+    "profile_status": f"""WITH {_SCANS}, l AS (SELECT * FROM scans QUALIFY row_number() OVER (PARTITION BY scan_set ORDER BY scan_id DESC) = 1), n AS (SELECT DISTINCT scan_set FROM scans WHERE scan_set % 3 = 0 UNION ALL SELECT -1)
+      SELECT 'named' AS kind, n.scan_set, 'p' || n.scan_set AS name, scan_id, status FROM n LEFT JOIN l ON l.scan_set = n.scan_set UNION ALL SELECT 'auto', scan_set, '', scan_id, status FROM l WHERE scan_set % 3 <> 0""",
+    "may_resume": """SELECT c_custkey AS scan_set, c_custkey % 7 > 0 AND c_custkey % 3 > 0 AND (c_custkey % 2 = 0 OR c_custkey % 5 = c_custkey % 4) AS may_resume FROM customer""",
+    "progress": """SELECT count(*) AS files, round(avg((event_id % 3 = 0)::INT), 6) AS hit_share, round(sum(event_id * 1000) / 1048576, 6)::DOUBLE AS mib, round(sum(event_id * 1000) / 1048576 / max(event_id / 10), 6)::DOUBLE AS mib_per_s FROM events""",
+    "delete_plan": f"""WITH {ASSETS} SELECT CASE WHEN file_id % 50 = 0 THEN -file_id ELSE file_id END AS file_id, 'rename' AS mode, path AS source, CASE WHEN file_id % 50 = 0 THEN NULL
+      ELSE path || '.z_dele' || CASE WHEN file_id % 6 = 0 THEN '.2' WHEN file_id % 2 = 0 THEN '.1' ELSE '' END END AS target,
+      CASE WHEN file_id % 50 = 0 THEN 'Delete target is missing a valid file_id' ELSE '' END AS error FROM assets""",
+    "json_lists": """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'a|B' ELSE '' END AS items, left(html, 50) AS head, right(html, 40) AS tail, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, ['a.b', '.hidden', 'c'][page_id % 3 + 1] AS stem FROM pages""",
 }

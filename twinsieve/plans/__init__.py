@@ -1 +1 @@
-"""Near-duplicate analytics on Spark."""
+"""Plans of actions: rows that say what would be done. Nothing here touches a file."""

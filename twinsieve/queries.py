@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
+from .operators import catalogue as C
 from .operators import grouping as G
 from .operators import matching as M
 from .operators import tables as T
 from .operators.components import connected_components
 from .operators.probe import parse_probe
-from .runtime import Scratch
-from .sources.assets import assets, items
+from .plans import actions as P
+from .runtime import Scratch, scratch_path
+from .sinks import exports as E
+from .sources.assets import assets, items, pick
 from .streaming.microbatch import deduped_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +65,7 @@ def block_pairs_any(s, d):
 
 def _gated(mode: str) -> Query:
     def f(s, d):
-        i = assets(_t(s, d, "documents"))
-        return M.with_sides(M.block_pairs(i, 8.0, mode), i).filter(M.gate(8.0, mode)).select("file_a", "file_b")
+        return M.block_pairs(assets(_t(s, d, "documents")), 8.0, mode, gated=True)
 
     return f
 
@@ -139,7 +141,7 @@ def group_metrics(s, d):
 
 @query
 def quality_score(s, d):
-    return G.with_quality(assets(_t(s, d, "documents"))).select("file_id", F.round("quality", 6).alias("quality"), "level")
+    return G.with_quality(assets(_t(s, d, "documents"))).select("file_id", F.floor(F.col("quality") * 1000 + 0.123).alias("quality"), "level")
 
 
 for _name in ("best", "worst", "larger", "smaller", "newer", "older"):
@@ -184,18 +186,30 @@ def dup_stats(s, d):
 
 @query
 def export_duplicates(s, d):
-    return G.export_rows(_members(s, d))
+    """Written as CSV and read back."""
+    rows = E.duplicate_rows(_members(s, d))
+    folder = scratch_path(s, "duplicates.csv")
+    E.write_csv(rows, folder)
+    back = s.read.option("header", True).schema(rows.schema).csv(folder)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) if t == "string" else c for c, t in back.dtypes])
 
 
 @query
 def export_nested_json(s, d):
-    return G.export_nested(_members(s, d))
+    """The sums and the items' order that each group's JSON holds."""
+    scan = {"scan_id": 7, "created_at": "2024-01-01T00:00:00", "profile": "balanced"}
+    kind = "struct<scan_id:long,profile:string,group_id:long,total_size_bytes:long,average_confidence:double,reclaimable_bytes:long,items:array<struct<file_id:long,file_path:string,is_keep_default:boolean,fps:double>>>"
+    j = E.duplicate_documents(_members(s, d), scan).select(F.from_json("json", kind).alias("j")).select("j.*")
+    return j.select(
+        "scan_id", "profile", "group_id", "total_size_bytes", F.round("average_confidence", 6).alias("average_confidence"), "reclaimable_bytes",
+        F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["file_id"].cast("string"), x["is_keep_default"].cast("string"), x["file_path"])), ",").alias("items"),
+    )
 
 
 @query
 def exact_clusters(s, d):
     docs = _t(s, d, "documents").withColumn("path", F.concat(F.lit("/lib/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string")))
-    return T.exact_clusters(docs.select("path", F.col("n_chars").alias("size"), F.sha2("text", 256).alias("digest")), "path")
+    return T.exact_clusters(docs.select((F.col("n_chars") % 2).alias("group_id"), "path", F.col("n_chars").alias("size"), F.sha2("text", 256).alias("digest")), "path")
 
 
 @query
@@ -206,14 +220,15 @@ def sampled_digest(s, d):
 
 @query
 def hardlink_canonical(s, d):
-    docs = _t(s, d, "documents").select(F.sha2("text", 256).alias("identity"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    identity = F.when(F.col("doc_id") % 10 == 0, "0").when(F.col("doc_id") % 11 > 0, F.sha2("text", 256))
+    docs = _t(s, d, "documents").select(identity.alias("identity"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
     return T.hardlinks(docs, ["identity"], "path").select("path", "kind", "target")
 
 
 def _halves(s, d) -> tuple[DataFrame, DataFrame]:
     e = _t(s, d, "events")
     last = lambda x: T.latest(x, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id"))
-    return last(e.filter("ts < timestamp'2024-01-16'")), last(e.filter("ts >= timestamp'2024-01-16'"))
+    return last(e.filter("ts < timestamp'2024-01-16'")), last(e.filter("ts >= timestamp'2024-01-16' and user_id % 5 <> 3"))
 
 
 @query
@@ -292,17 +307,35 @@ def match_ready(s, d):
     return f.select("scan_id", "file_id", "size", "p_brand", F.coalesce("s_name", F.lit("")).alias("audio"))
 
 
+def _catalogue(s, d) -> dict[str, DataFrame]:
+    """scans, files with paths, stored groups with items, and action runs, out of orders and lineitem."""
+    files = _files(s, d).withColumn("path", F.concat(F.lit("/Lib/R"), (F.col("file_id") % 37).cast("string"), F.lit("/f"), F.col("file_id").cast("string")))
+    scans = _scans(s, d).withColumn("scan_set", F.concat(F.lit("set"), (F.col("scan_set") % 50).cast("string")))
+    groups = scans.filter("scan_id % 4 <> 1").select("scan_id", F.col("scan_id").alias("group_id"))
+    return {"scans": scans, "files": files, "groups": groups, "actions": scans.filter("scan_id % 9 = 2").select("scan_id")}
+
+
 @query
 def purge_counts(s, d):
-    gone = _scans(s, d).filter("scan_set % 10 = 3").select("scan_id")
-    left = T.purge({"scans": _scans(s, d), "files": _files(s, d)}, gone)
-    counts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, t in left.items()]
-    return counts[0].unionByName(counts[1])
+    c = _catalogue(s, d)
+    return C.purge_counts(C.purged_scans(c["scans"], c["files"], "set3", ["/lib/r5/", "/nowhere"]), c)
 
 
 @query
 def prune_groups(s, d):
-    return _files(s, d).groupBy("scan_id").agg(F.count_if("alive").alias("alive")).filter("alive < 2")
+    c = _catalogue(s, d)
+    items = c["files"].filter("file_id % 3 > 0").select(F.col("scan_id").alias("group_id"), F.concat_ws("-", "scan_id", "file_id").alias("file_id"))
+    there = c["files"].select(F.concat_ws("-", "scan_id", "file_id").alias("file_id"), "alive")
+    return C.pruned(c["groups"], items, there).select("group_id", "alive")
+
+
+@query
+def load_groups(s, d):
+    """Stored members in load order; of every fifth file nothing is left."""
+    m = _members(s, d)
+    items = m.select("group_id", "file_id", "keep_default")
+    files = m.select("file_id", "width", "height", "bitrate", (F.col("file_id") % 5 > 0).alias("alive"))
+    return C.stored_groups(m.select("group_id").distinct(), items, files).select("group_id", "file_id", "position")
 
 
 @query
@@ -328,7 +361,7 @@ def guidance(s, d):
 
 @query
 def lane_plan(s, d):
-    return T.lane_plan(_t(s, d, "supplier").select(F.col("s_nationkey").alias("lane"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 5).alias("override")))
+    return P.worker_plan(_t(s, d, "supplier").select(F.col("s_nationkey").alias("lane"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 5).alias("override")), 16)
 
 
 @query
@@ -339,13 +372,16 @@ def path_parts(s, d):
 
 @query
 def filter_terms(s, d):
-    return _t(s, d, "benchmark").select("item_id", F.array_join(X.terms(F.concat(F.lit(" A |"), F.substring("text", 1, 20), F.lit("| |B"))), "#").alias("terms"))
+    return _t(s, d, "benchmark").select("item_id", F.array_join(X.terms(F.concat(F.lit(" A |"), F.replace("text", F.lit(","), F.lit("|")), F.lit("| |B"))), "#").alias("terms"))
 
 
 @query
 def scan_set_key(s, d):
-    lists = F.array_sort(F.array_distinct(F.transform(F.split(F.concat("source", F.lit(",MKV, .mp4 ,mkv,"), "lang"), ","), lambda e: F.lower(F.trim(F.regexp_replace(F.trim(e), r"^\.+", ""))))))
-    return _t(s, d, "documents").select("doc_id", F.to_json(F.struct(lists.alias("extensions"), F.lit("balanced").alias("profile"))).alias("scan_set_key"))
+    i = F.col("doc_id")
+    roots = F.array(F.lit("/Lib/B"), F.concat(F.lit("/lib/"), "source"), F.lit(" /lib/b "))
+    ext = F.split(F.concat("source", F.lit(",MKV, .mp4 ,mkv,"), "lang"), ",")
+    key = X.scan_set_key(roots, ext, pick(i % 3, " Balanced", "custom", "none"), pick(i % 3, "0.5", "x", "0.2"), i % 2 == 0, i % 3 == 0, pick(i % 3, "any_aspect", "OFF", ""))
+    return _t(s, d, "documents").select("doc_id", key.alias("scan_set_key"))
 
 
 @query
@@ -354,7 +390,7 @@ def scalar_functions(s, d):
     n = F.col("o_orderkey")
     return o.select(
         n.alias("id"), X.duration_bucket(n / 2.0).alias("bucket"), X.aspect_bin(n % 50 + 1, n % 7).alias("aspect"), X.level_text((n % 60).cast("string")).alias("level"),
-        X.rational(F.concat((n % 9).cast("string"), F.lit("/"), (n % 3).cast("string"))).alias("fps"), X.alpha_label(n % 700).alias("alpha"), X.bytes_text(n * 977 * (n % 13 + 1)).alias("size_text"),
+        X.rational(F.concat((n % 9).cast("string"), F.lit("/"), (n % 3).cast("string"))).alias("fps"), X.alpha_label(n).alias("alpha"), X.bytes_text(n * 977 * (n % 13 + 1)).alias("size_text"),
         X.bit_depth(F.lit(None).cast("string"), F.concat(F.lit("yuv420p"), F.when(n % 4 == 0, "10le").when(n % 4 == 1, "12be").otherwise(""))).alias("bit_depth"),
     )
 
@@ -367,18 +403,178 @@ def thumb_key(s, d):
 @query
 def probe_parse(s, d):
     n = F.col("p_partkey")
+    of = lambda m, *values: pick(n % m, *values)
+    side = F.array(F.when(n % 11 == 0, F.to_json(F.struct(F.lit("DOVI configuration record").alias("side_data_type"), F.lit(8).alias("dv_profile")))), F.when(n % 11 == 1, F.lit('{"side_data_type":"HDR Dynamic Metadata HDR10+"}')), F.when(n % 11 == 2, F.lit('{"side_data_type":"Mastering display metadata"}')), F.when(n % 11 == 3, F.lit('{"side_data_type":"DV"}')))
     video = F.struct(
-        F.lit("video").alias("codec_type"), F.when(n % 2 == 0, "h264").otherwise("hevc").alias("codec_name"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit("30000/1001").alias("r_frame_rate"),
-        F.when(n % 3 == 0, "yuv420p10le").otherwise("yuv420p").alias("pix_fmt"), F.when(n % 5 == 0, "unknown").otherwise("High").alias("profile"), F.lit(41).alias("level"),
-        F.when(n % 4 == 0, "tt").otherwise("progressive").alias("field_order"), F.when(n % 7 == 0, "smpte2084").when(n % 7 == 1, "arib-std-b67").otherwise("bt709").alias("color_transfer"),
+        F.lit("video").alias("codec_type"), of(2, "H264", "hevc").alias("codec_name"), of(13, 0, *[1920] * 12).alias("width"), F.lit(1080).alias("height"), of(4, "30000/1001", "25", "0/0", "24/1").alias("r_frame_rate"),
+        of(5, "yuv420p10le", "yuv420p", "gray10le", "yuv422p12be", "").alias("pix_fmt"), of(4, "0", "8", None, "16").alias("bits_per_raw_sample"), of(5, "unknown", "High", "-99", " Main ", "N/A").alias("profile"),
+        of(5, "41", "5", "0", "4.1", "x").alias("level"), of(6, "tt", "progressive", "top_field_first", "Interlaced", "unknown", "").alias("field_order"),
+        of(5, "SMPTE2084", "arib-std-b67", "bt709", "bt2020-10", "").alias("color_transfer"), of(3, "bt2020nc", "bt709", "bt2020").alias("color_primaries"),
     )
-    sound = lambda lang: F.struct(F.lit("audio").alias("codec_type"), F.lit("aac").alias("codec_name"), F.lit("64000").alias("bit_rate"), F.struct(F.lit(lang).alias("language")).alias("tags"))
-    kinds = F.concat(F.lit("["), F.to_json(video), F.lit(","), F.to_json(sound("ENG")), F.lit(","), F.to_json(sound("deu")), F.lit("]"))
-    text = F.concat(F.lit('{"format":{"duration":"'), (n / 4.0).cast("string"), F.lit('","bit_rate":"123456","format_name":"MOV,mp4"},"streams":'), kinds, F.lit("}"))
+    sound = lambda lang, rate: F.to_json(F.struct(F.lit("audio").alias("codec_type"), F.lit("AAC").alias("codec_name"), F.lit(rate).alias("bit_rate"), F.struct(F.lit(lang).alias("language")).alias("tags")))
+    picture = F.concat(F.regexp_replace(F.to_json(video), "}$", ""), F.lit(',"side_data_list":['), F.concat_ws(",", side), F.lit("]}"))
+    sounds = F.when(n % 3 > 0, F.concat_ws(",", sound("ENG", "64000"), F.when(n % 3 == 2, sound("deu ", "32000.5"))))
+    streams = F.concat(F.lit("["), F.concat_ws(",", picture, sounds, F.when(n % 4 == 0, F.lit('{"codec_type":"subtitle","tags":{"language":"pol"}}'))), F.lit("]"))
+    text = F.concat(F.lit('{"format":{"duration":"'), (n % 17 / 4.0).cast("string"), F.lit('","bit_rate":123456,"format_name":"MOV,mp4"},"streams":'), streams, F.lit("}"))
     out = parse_probe(_t(s, d, "part").select("p_partkey", text.alias("probe_json")), "probe_json").drop("probe_json")
     return out.withColumn("fps", F.round("fps", 6))
 
 
+@query
+def median_distances(s, d):
+    """Arrays of 0 to 12 hashes, of equal and unequal length."""
+    n = F.col("p_partkey")
+    twelve = F.sequence(F.lit(1), F.lit(12))
+    a = F.slice(F.transform(twelve, lambda i: n * i * 2654435761), F.lit(1), (n % 13).cast("int"))
+    b = F.slice(F.transform(twelve, lambda i: (n + 7) * i * 2654404609), F.lit(1), F.when(n % 3 == 0, n % 13).otherwise(n % 11).cast("int"))
+    rows = _t(s, d, "part").select("p_partkey", a.alias("a"), b.alias("b"))
+    x, y = F.col("a"), F.col("b")
+    return rows.select("p_partkey", X.full_distance(x, y).alias("full_distance"), X.inner_distance(x, y).alias("inner_distance"), X.prefilter_full(x, y).alias("prefilter_full"), X.prefilter_inner(x, y).alias("prefilter_inner"))
+
+
+@query
+def setting_names(s, d):
+    n = F.col("o_orderkey")
+    raw = pick(n % 7, " Balanced ", "CUSTOM", "none", "any_aspect", "Rename", "trimmed_match", "FFPROBE")
+    return _t(s, d, "orders").select(
+        n.alias("id"), *[X.setting(kind, raw).alias(kind) for kind in X.SETTINGS], X.custom_threshold(pick(n % 4, "0.5", "x", " 0.2 ", "0")).alias("threshold"),
+        F.array_join(F.transform(X.normal_pair((n % 130 - 10).cast("string"), (n % 103).cast("string")), lambda v: v.cast("string")), ",").alias("pair"),
+        F.coalesce(X.eta_seconds(n % 9, F.lit(20), (n % 31).cast("double")), F.lit(-1.0)).alias("eta"), X.mib_rate(n * 1048576, n % 4).alias("rate"),
+    )
+
+
+@query
+def scene_samples(s, d):
+    """Times told by a log, and four of them spread evenly."""
+    n = F.col("event_id")
+    log = F.array_join(F.transform(F.sequence(F.lit(0), (n % 9).cast("int")), lambda i: F.concat(F.lit("n:0 pts_time:"), (i * (n % 3)).cast("string"), F.lit(".5 x"))), " ")
+    times = X.scene_times(log, (n % 13).cast("double"))
+    text = lambda a: F.coalesce(F.array_join(F.transform(a, lambda t: t.cast("string")), ","), F.lit("none"))
+    return _t(s, d, "events").select("event_id", text(times).alias("times"), text(X.even_pick(times, 4)).alias("picked"), F.coalesce(X.audio_text(pick(n % 3, '{"fingerprint":" AQ "}', '{"fingerprint":" "}', "x")), F.lit("none")).alias("audio"))
+
+
+@query
+def frame_grids(s, d):
+    """Hashes of 9 by 8 pixels taken from frames of other sizes."""
+    n = F.col("p_partkey")
+    w, h = (n % 5 + 9).cast("int"), (n % 3 + 8).cast("int")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(139)), lambda i: ((n * 31 + i * i * 7 + i * n) % 251).cast("int"))
+    small = X.nearest_grid(pixels, w, h, 9, 8)
+    return _t(s, d, "part").select("p_partkey", X.grid_hash(small).alias("hash"), F.aggregate(small, F.lit(0), lambda a, b: a + b).alias("sum"), X.hashes_valid(F.array(F.lit(None).cast("bigint"), (n % 4).cast("bigint"))).alias("valid"))
+
+
+@query
+def valid_artifacts(s, d):
+    i = F.col("event_id")
+    size, at = i % 50, i % 70
+    kinds = {"meta": (2, 7, 9), "hashes": (3, 11, 5), "audio": (4, 6, 8)}
+    cols = [c for k, (m, a, b) in kinds.items() for c in (F.when(i % m > 0, "x").alias(k), F.when(i % a > 0, size).otherwise(size + 1).alias(f"{k}_size"), F.when(i % b > 0, at).alias(f"{k}_mtime_ns"))]
+    rows = _t(s, d, "events").select("event_id", size.alias("size"), at.alias("mtime_ns"), *cols, F.when(i % 13 == 0, " broken ").alias("probe_error"))
+    return C.valid_artifacts(rows).select("event_id", "meta_ok", "hashes_ok", "audio_ok", "decision")
+
+
+def _failed(s, d) -> DataFrame:
+    i = F.col("event_id")
+    return _t(s, d, "events").select((i % 4).alias("scan_id"), F.concat(pick(i % 2, "D:\\Lib/", "d:/lib\\"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("path"), pick(i % 4, "probe", "enumerate", "fingerprint", "analyze").alias("stage"), "event_id")
+
+
+@query
+def clone_failed(s, d):
+    """Marks of scan 1 carried over to scan 2 for the files that are unchanged."""
+    marks = _failed(s, d).groupBy("scan_id", X.path_key(F.col("path")).alias("path")).agg(F.max("event_id").alias("event_id"))
+    same = _t(s, d, "events").filter("event_id % 3 = 0").select(F.concat(F.lit("d:/LIB/"), "event_type", F.lit("/"), F.col("user_id").cast("string")).alias("path"))
+    return C.cloned(marks, same, 1, 2)
+
+
+@query
+def to_analyze(s, d):
+    files = _failed(s, d).select("scan_id", "path", "event_id").filter("event_id % 5 > 0")
+    return C.to_analyze(files, C.retryable(_failed(s, d).filter("event_id % 97 = 0")), retry=False).select("event_id")
+
+
+@query
+def failed_files(s, d):
+    """Marks that no later success cleared, the newest of each file."""
+    f = _failed(s, d).withColumnRenamed("event_id", "at")
+    return C.failed_state(f.filter("at % 3 = 0"), f.filter("at % 3 > 0 and at % 2 = 0")).select("scan_id", X.path_key(F.col("path")).alias("key"), "at")
+
+
+@query
+def provenance_metrics(s, d):
+    i = F.col("event_id")
+    tries = F.concat(F.lit('{"attempts":['), F.concat_ws(",", F.when(i % 5 > 0, F.concat(F.lit('{"decoder_backend":"'), pick(i % 3, "PyAV", "ffmpeg", " opencv"), F.lit('","status":"'), pick(i % 4, "TIMEOUT ", "success", "error", "timeout"), F.lit('"}'))), F.when(i % 2 == 0, F.lit('{"decoder_backend":"ffmpeg","status":"timeout"}'))), F.lit("]}"))
+    rows = _t(s, d, "events").select("event_id", F.when(i % 17 == 0, "broken").otherwise(tries).alias("provenance"), pick(i % 2, "ffmpeg", "pyav").alias("used"))
+    return C.provenance(rows, "provenance", "used").select("event_id", "fallbacks", "timeouts")
+
+
+@query
+def decoder_mix(s, d):
+    return C.decoder_mix(_lanes(s, d).withColumn("decoder", pick(F.floor("elapsed_s") % 3, "pyav", "ffmpeg", None)))
+
+
+@query
+def run_summary(s, d):
+    return C.run_summary(_lanes(s, d))
+
+
+@query
+def named_sample(s, d):
+    return C.named_sample(assets(_t(s, d, "documents")).select("path", F.col("source").alias("root")), "doc_1", 24)
+
+
+@query
+def incomplete_sample(s, d):
+    return C.named_sample(assets(_t(s, d, "documents")).select("path", F.col("source").alias("root")), "incomplete", 120, else_all=True)
+
+
+@query
+def display_rows(s, d):
+    return C.display_rows(_members(s, d))
+
+
+@query
+def profile_status(s, d):
+    sets = _scans(s, d).select("scan_set").distinct().filter("scan_set % 3 = 0").unionByName(s.sql("SELECT -1L AS scan_set"))
+    return C.profile_status(sets.withColumn("name", F.concat(F.lit("p"), F.col("scan_set").cast("string"))), _scans(s, d))
+
+
+@query
+def may_resume(s, d):
+    k = F.col("c_custkey")
+    paused = _t(s, d, "customer").select(k.alias("scan_set"), F.array(F.lit("/A"), F.concat(F.lit("/b"), (k % 3).cast("string"))).alias("roots"), (k % 5).alias("definition"))
+    now = _t(s, d, "customer").filter(k % 7 > 0).select(k.alias("scan_set"), F.array(F.lit("/a "), F.lit("/B1"), F.lit("/b2")).alias("roots"), F.when(k % 2 == 0, k % 5).otherwise(k % 4).alias("definition"))
+    return C.may_resume(paused, now)
+
+
+@query
+def progress(s, d):
+    return C.progress(_t(s, d, "events").select((F.col("event_id") % 3 == 0).alias("cached"), (F.col("event_id") * 1000).alias("size"), (F.col("event_id") / 10.0).alias("elapsed_s")))
+
+
+@query
+def delete_plan(s, d):
+    """Renames beside names that are taken; every 50th target has no id."""
+    a = assets(_t(s, d, "documents")).select("file_id", "path")
+    taken = a.filter("file_id % 2 = 0").select(F.concat("path", F.lit(".z_dele")).alias("path")).unionByName(a.filter("file_id % 6 = 0").select(F.concat("path", F.lit(".z_dele.1")).alias("path")))
+    return P.delete_plan(a.withColumn("file_id", F.when(F.col("file_id") % 50 == 0, -F.col("file_id")).otherwise(F.col("file_id"))), taken, "rename")
+
+
+@query
+def scan_links(s, d):
+    """Symlinks and further names of one file together, in order of path."""
+    docs = _t(s, d, "documents").select(F.sha2("text", 256).alias("identity"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "doc_id")
+    hard = T.hardlinks(docs, ["identity"], "path").filter("kind = 'hardlink'").select(F.col("kind").alias("link_kind"), F.col("path").alias("link_path"), F.col("target").alias("target_original_path"), F.lit(True).alias("target_exists"))
+    soft = docs.filter("doc_id % 9 = 4").select(F.lit("symlink").alias("link_kind"), F.concat("path", F.lit(".lnk")).alias("link_path"), F.col("path").alias("target_original_path"), (F.col("doc_id") % 2 == 0).alias("target_exists"))
+    return E.link_rows(soft.unionByName(hard).withColumn("scan_id", F.lit(7)).withColumn("source_root", F.lit("/lib"))).orderBy("link_path")
+
+
+@query
+def json_lists(s, d):
+    i = F.col("page_id")
+    text = pick(i % 5, '[" a ","","B"]', "[]", "broken", '{"a":1}', None)
+    return _t(s, d, "pages").select("page_id", F.array_join(X.text_list(text), "|").alias("items"), X.first_chars(F.col("html"), 50).alias("head"), X.last_chars(F.col("html"), 40).alias("tail"), X.parent(F.col("url")).alias("parent"), X.stem(F.concat("url", pick(i % 3, "/a.b.mkv", "/.hidden", "/c"))).alias("stem"))
+
+
 @query
 def stream_microbatch(s, d):
     return deduped_events(s, d)

@@ -16,32 +16,41 @@ def pick(index, *values):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def assets(documents: DataFrame, least_chars: int = 200) -> DataFrame:
+def assets(documents: DataFrame) -> DataFrame:
+    """An asset for every document; an empty text has frames of zeros, a null text and null n_chars count as empty."""
+    documents = documents.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
     i = F.col("doc_id")
     div = lambda n: F.floor(i / n)
     frames = F.transform(F.array(*[F.lit(p) for p in X.SAMPLE_PERCENTS]), lambda p: F.substring(F.col("text"), F.floor(F.col("n_chars") * p).cast("int") + 1, F.lit(65)))
-    d = documents.filter(F.col("n_chars") >= least_chars).withColumn("frames", frames)
+    d = documents.withColumn("frames", frames)
     ext = pick(i % 5, "mp4", "mkv", "avi", "mov", "webm")
     return d.select(
         i.alias("file_id"), F.concat(F.lit("/lib/"), "source", F.lit("/"), "lang", F.lit("/doc_"), i.cast("string"), F.lit("."), ext).alias("path"),
         F.col("n_chars").alias("size"), (F.col("n_chars") / 10.0).alias("duration_s"), ext.alias("ext"), "source",
-        pick(i % 4, 1920, 1280, 1920, 640).alias("width"), pick(i % 4, 1080, 720, 800, 480).alias("height"),
+        F.when(i % 29 == 0, 0).otherwise(pick(i % 4, 1920, 1280, 1920, 640)).alias("width"), pick(i % 4, 1080, 720, 800, 480).alias("height"),
         pick(div(4) % 4, "hevc", "h264", "vp9", "mpeg4").alias("codec"), pick(div(16) % 4, "Main", "High", "Main 10", "").alias("codec_profile"),
         pick(div(2) % 4, "4.1", "5.1", "", "x").alias("codec_level"), pick(i % 3, 8, 10, 12).alias("bit_depth"), (i % 13 == 0).alias("is_interlaced"),
         pick(div(3) % 5, "", "HDR10", "", "HLG", "DV").alias("hdr_format"), (500000 + (i * 7919 % 7500) * 1000).alias("bitrate"),
         (F.lit(1700000000000000000) + (i * 104729 % 1000003) * 1000).alias("mtime_ns"),
         F.when(i % 2 == 0, F.sha2(F.col("text"), 256)).otherwise(F.lit("")).alias("audio_fingerprint"),
-        F.transform("frames", X.adjacent_hash).alias("hashes"),
+        F.transform("frames", X.adjacent_hash).alias("hashes"), pick(i % 3, 24.0, 25.0, 29.97).alias("fps"), pick(i % 5, "mov", "matroska", "avi", "mov", "matroska").alias("container"),
+        (i % 3).cast("int").alias("audio_stream_count"), F.when(i % 3 > 0, pick(i % 2, "aac", "opus")).otherwise("").alias("audio_codec"),
+        (i % 3 * 96000).cast("bigint").alias("audio_bitrate"),
     )
 
 
 def items(documents: DataFrame) -> DataFrame:
-    """Assets with trimmed and audio variants, so that every kind of match occurs."""
-    base = assets(documents)
+    """Assets of which a frame was decoded, with trimmed, audio and blurred variants, so that every kind of match occurs.
+
+    Blurred ones differ in 4 to 20 bits of every frame, which tells the profiles' thresholds apart.
+    """
+    base = assets(documents).filter(X.hashes_valid(F.col("hashes")))
     flip = lambda h, all_frames: F.transform(h, lambda x, k: F.when(F.lit(all_frames) | k.isin(0, 1, 10, 11), F.bitwise_not(x)).otherwise(x))
     trimmed = (
         base.filter("file_id % 7 = 3").withColumn("file_id", F.col("file_id") + 10_000_000)
         .withColumn("duration_s", F.col("duration_s") + 5.0).withColumn("hashes", flip(F.col("hashes"), False))
     )
     audio = base.filter("file_id % 11 = 5").withColumn("file_id", F.col("file_id") + 20_000_000).withColumn("hashes", flip(F.col("hashes"), True))
-    return base.unionByName(trimmed).unionByName(audio)
+    bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("file_id") % 17 + 4).cast("int")) - 1
+    blurred = base.filter("file_id % 5 = 2").withColumn("hashes", F.transform("hashes", lambda h: h.bitwiseXOR(bits))).withColumn("file_id", F.col("file_id") + 30_000_000)
+    return base.unionByName(trimmed).unionByName(audio).unionByName(blurred.withColumn("audio_fingerprint", F.lit("")))
