@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import Scratch, maybe_in, row_key
+from ..runtime import Scratch, has_rows, maybe_in, row_key
 from .tokens import in_batches
 
 WIDTH, PERCENT, LIST = 5, 80, 6
@@ -508,6 +508,8 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     groups = scratch.cut(_open_groups(listed, comps, met), "set-open")
     for best in (True, False):  # each set's best pair joins what belongs together, so that fewer pairs are left
+        if not has_rows(groups):
+            break
         if not best:
             groups = scratch.cut(_component_of(groups.drop("component"), comps, "class").withColumnRenamed("_class", "component"), "set-open")
         told = blocks_of(groups).join(sets.select("class", "histogram"), "class")
