@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator over its whole table, reduced to its contract's columns."""
+"""The queries op1 to op13: each operator over its whole table, reduced to its contract's columns."""
 
 from __future__ import annotations
 
@@ -101,6 +101,31 @@ def op10_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two vocabularies: groups of ids over the same bytes, and how common their links are."""
+    from .alignment import align_documents
+
+    out = align_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"), hashed=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the 16 first whitened components, a row a component."""
+    from .whitening import fit_whitening, whiten
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    names = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    model = fit_whitening(vectors, components=16)
+    if model is None:
+        return spark.createDataFrame([], names)
+    rows = whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.get(F.array(*[F.lit(float(x)) for x in model.explained]), F.col("at")) if len(model.explained) else F.lit(None).cast("double")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
+        explained.alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
