@@ -126,9 +126,18 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of every whole text, as counts, places and labels."""
+    from .licenses import license_digest, license_spans
+
+    return license_digest(license_spans(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .licenses import oracle
+
+    return {"op13_license_rules": oracle()}
