@@ -6,8 +6,9 @@ give the list of B tokens it overlaps (its links). An A token spans the gaps bet
 of its list; gaps that no A token spans are the boundaries of groups.
 
 Neither tokenizer joins anything across the gap in front of a run of white space that starts with a
-plain space or newline, so texts are cut there and each distinct chunk is encoded and aligned once
-a task. Texts with rare separators, for which that is not certain, go whole.
+plain space or newline, nor between a letter and the full stops and commas that end a word, so texts
+are cut there and each distinct chunk is encoded and aligned once a task. Texts with rare
+separators, for which that is not certain, go whole.
 
 Counts: a task writes blocks of documents (about BLOCK_CHARS characters, or one longer document)
 with a dictionary of their chunks and of the id pairs these link. Pair counts are summed by pair
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,8 +36,12 @@ from .tokens import ChunkEncoder, in_batches
 BLOCK_CHARS, CACHE_CHUNKS, CACHE_CHARS = 2_000_000, 400_000, 30_000_000
 #: White space other than the plain space and newline on which both tokenizers agree.
 _WHITE = r"\t\x0b\x0c\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of white space that starts with a space or newline, and all up to the next such run.
-_CHUNK = re.compile(rf"[ \n][ \n{_WHITE}]*[^ \n]*(?:(?<=[{_WHITE}])[ \n][ \n{_WHITE}]*[^ \n]*)*").findall
+_LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: A run of white space that starts with a space or newline and a plain word; the stops behind one; else all up to the next such run.
+_CHUNK = re.compile(
+    rf"[ \n]+[{_LETTER}]+(?=[.,]*(?:[ \n]|\Z))|(?<=[{_LETTER}])[.,]+(?=[ \n]|\Z)"
+    rf"|[ \n][ \n{_WHITE}]*[^ \n]*(?:(?<=[{_WHITE}])[ \n][ \n{_WHITE}]*[^ \n]*)*"
+).findall
 _UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
 
 _BLOCK = (
@@ -73,6 +79,7 @@ class ChunkAligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := hexed(p)) else p.replace("▁", " ").encode() for p in pieces]
         self.space = self.b.piece_to_id("▁")
+        self.spelt = [b"%d%c" % (i, c) for i in range(max(size, len(pieces))) for c in b",|;"]  # an id before another, before B's, before the next group
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.clear()
 
@@ -86,71 +93,88 @@ class ChunkAligner:
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.chars = 0
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.groups: list[bytes | None] = []  # None: the bytes differ
-        self.codes: list[np.ndarray] = []
+        self.groups: list[bytes] = []  # of each chunk, every id followed by its separator
+        self.strange: set[int] = set()  # chunks whose bytes differ
+        self.counts = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links of each chunk
+        self.codes = np.zeros(0, np.int64)  # their links in order, B's id above A's
 
     def _b_ids(self, chunks: list[str]) -> list[list[int]]:
-        """B's ids of chunks in their places: it puts a space in front, which a chunk that starts with one has already."""
-        plain = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return [([self.space] if c == " " else ids) if c[0] == " " else ids[1:] for c, ids in zip(chunks, plain, strict=True)]
+        """B's ids of chunks in their places: it puts a space in front, which a chunk that starts with one has already.
+
+        A newline joins nothing, so what does not start with white space is encoded behind one.
+        """
+        plain = self.b.encode([c[1:] if c[0] == " " else c if c[0] == "\n" else f"\n{c}" for c in chunks], num_threads=1)
+        return [([self.space] if c == " " else ids) if c[0] == " " else ids[1:] if c[0] == "\n" else ids[2:] for c, ids in zip(chunks, plain, strict=True)]
 
     def learn(self, chunks: list[str]) -> range:
         """Numbers of new chunks, which are aligned together on one axis of bytes."""
         first = len(self.groups)
-        if not chunks:
-            return range(first, first)
-        a_ids = [np.frombuffer(r, "<u4").astype(np.int64) for r in self.a.encode_many(chunks)]
-        b_ids = [np.array(x, np.int64) for x in self._b_ids(chunks)]
-        good = []
-        for c, a, b in zip(chunks, a_ids, b_ids, strict=True):
-            raw = c.encode()
-            good.append(b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw)
-        a_ids, b_ids = [a for a, g in zip(a_ids, good, strict=True) if g], [b for b, g in zip(b_ids, good, strict=True) if g]
-        fresh = iter(())
-        if a_ids:
-            a, b = np.concatenate(a_ids), np.concatenate(b_ids)
-            low, high, spanned = overlaps(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]))
-            a_end, b_end = np.cumsum([len(x) for x in a_ids]), np.cumsum([len(x) for x in b_ids])
-            n = high - low
-            link_end = np.cumsum(n)
-            at = np.repeat(low - link_end + n, n) + np.arange(n.sum())
-            codes = (b[at] << 32) | np.repeat(a, n)
-            cuts = np.flatnonzero(~spanned)  # B tokens that open a group
-            opens = np.searchsorted(low, cuts)  # the A token that opens it: both start at one byte
-            a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            marks = [*zip(opens.tolist(), cuts.tolist(), strict=True), (len(a), len(b))]
-            texts = [f"{','.join(a_text[p:r])}|{','.join(b_text[q:s])}" for (p, q), (r, s) in zip(marks, marks[1:], strict=False)]
-            group_end = np.searchsorted(cuts, b_end)
-
-            def each():
-                pa = pb = pg = pl = 0
-                for ea, eb, eg in zip(a_end.tolist(), b_end.tolist(), group_end.tolist(), strict=True):
-                    el = int(link_end[ea - 1])
-                    yield (ea - pa, eb - pb, eg - pg, el - pl), ";".join(texts[pg:eg]).encode(), codes[pl:el]
-                    pa, pb, pg, pl = ea, eb, eg, el
-
-            fresh = each()
-        none = np.zeros(0, np.int64)
-        for g in good:
-            counts, text, links = next(fresh) if g else ((0, 0, 0, 0), None, none)
-            self.counts.append(counts)
-            self.groups.append(text)
-            self.codes.append(links)
+        a_raw, b_lists, raw = self.a.encode_many(chunks), self._b_ids(chunks), [c.encode() for c in chunks]
+        a_n, b_n = np.fromiter(map(len, a_raw), np.int64, len(chunks)) // 4, np.fromiter(map(len, b_lists), np.int64, len(chunks))
+        a = np.frombuffer(b"".join(a_raw), "<u4").astype(np.int64)
+        b = np.fromiter(chain.from_iterable(b_lists), np.int64, b_n.sum())
+        a_bytes, b_bytes = (b"".join(map(t.__getitem__, ids.tolist())) for t, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        a_last, b_last = np.cumsum(a_n), np.cumsum(b_n)
+        whole = b"".join(raw)
+        if a_bytes != whole or b_bytes != whole or not (a_n.all() and b_n.all()) or (a_ends[a_last - 1] != ends).any() or (b_ends[b_last - 1] != ends).any():
+            return self._learn_strange(chunks, raw, a_raw, b_lists)
+        low, high, spanned = overlaps(a_ends, b_ends)
+        n = high - low
+        link_ends = np.cumsum(n)
+        at = np.repeat(low - link_ends + n, n) + np.arange(n.sum())
+        codes = (b[at] << 32) | np.repeat(a, n)
+        b_group = np.cumsum(~spanned) - 1
+        a_group = b_group[low]  # a group starts at one byte on both sides
+        # ids in the order of the text of groups: A's of a group, then B's
+        keys = np.concatenate([2 * a_group, 2 * b_group + 1])
+        order = np.argsort(keys, kind="stable")
+        last = np.concatenate([keys[order][1:] != keys[order][:-1], [True]])
+        marks = np.where(last, 1 + (keys[order] & 1), 0)
+        words = list(map(self.spelt.__getitem__, (3 * np.concatenate([a, b])[order] + marks).tolist()))
+        cuts = np.concatenate([[0], np.cumsum(a_n + b_n)]).tolist()
+        self.groups += [b"".join(words[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        per = lambda ends_of_chunks: np.diff(ends_of_chunks, prepend=0)
+        self.counts = np.concatenate([self.counts, np.stack([a_n, b_n, per(b_group[b_last - 1] + 1), per(link_ends[a_last - 1])], axis=1)])
+        self.codes = np.concatenate([self.codes, codes])
         return range(first, len(self.groups))
 
+    def _learn_strange(self, chunks: list[str], raw: list[bytes], a_raw: list[bytes], b_lists: list[list[int]]) -> range:
+        """Like learn, where the bytes of some chunks differ: those get a number without tokens."""
+        first = len(self.groups)
+        joined = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        good = [joined(self.a_bytes, np.frombuffer(x, "<u4").tolist()) == r == joined(self.b_bytes, y) for r, x, y in zip(raw, a_raw, b_lists, strict=True)]
+        known = iter(self.learn([c for c, g in zip(chunks, good, strict=True) if g])) if any(good) else iter(())
+        bad = good.count(False)
+        self.strange.update(range(len(self.groups), len(self.groups) + bad))
+        other = iter(range(len(self.groups), len(self.groups) + bad))
+        self.groups += [b""] * bad
+        self.counts = np.concatenate([self.counts, np.zeros((bad, 4), np.int64)])
+        self.numbers.update({c: next(known) if g else next(other) for c, g in zip(chunks, good, strict=True)})
+        return range(first, first)
+
     def documents(self, texts: list[str | None]) -> list[list[int]]:
         """The chunk numbers of each text; none where it has no tokens."""
         plans = [None if not t else [f" {t}"] if _UNSURE(t) else _CHUNK(f" {t}") for t in texts]
         numbers = self.numbers
-        new = list(dict.fromkeys(c for p in plans if p for c in p if c not in numbers))
+        new = list(set().union(*(p for p in plans if p)).difference(numbers))
         for part in range(0, len(new), 20_000):
             chunks = new[part : part + 20_000]
             self.chars += sum(map(len, chunks))
-            numbers.update(zip(chunks, self.learn(chunks), strict=True))
+            numbers.update(zip(chunks, self.learn(chunks), strict=False))  # none left where some were strange
         found = [list(map(numbers.__getitem__, p)) if p else [] for p in plans]
-        groups = self.groups
-        return [f if all(groups[i] is not None for i in f) else [] for f in found]
+        return [f if self.strange.isdisjoint(f) else [] for f in found] if self.strange else found
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Numbers from 0 in 2 bytes each where they fit, else 4; the first byte tells."""
+    kind = "<u2" if not len(values) or values.max() < 1 << 16 else "<u4"
+    return kind[2].encode() + values.astype(kind).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[:1].decode()}", offset=1)
 
 
 class _Block:
@@ -158,21 +182,20 @@ class _Block:
         self.ids, self.docs, self.chars = [], [], 0
 
     def row(self, aligner: ChunkAligner, name: str, hashed: bool) -> dict:
-        flat = np.array([i for d in self.docs for i in d], np.int64)
         ends = np.cumsum([len(d) for d in self.docs], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(self.docs), np.int64, ends[-1])
         used, words = np.unique(flat, return_inverse=True)
-        counts = np.array([aligner.counts[i] for i in used], np.int64).reshape(-1, 4)
-        codes = [aligner.codes[i] for i in used]
-        pairs, chunk_pairs = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_inverse=True)
-        times = np.repeat(np.bincount(words, minlength=len(used)), counts[:, 3])
-        n = np.bincount(chunk_pairs, weights=times, minlength=len(pairs)).astype(np.int64)
+        counts, link_ends = aligner.counts[used], np.cumsum(aligner.counts[:, 3])[used]
+        links, chunk_ends = counts[:, 3], np.cumsum(counts[:, 3])
+        codes = aligner.codes[np.repeat(link_ends - chunk_ends, links) + np.arange(links.sum())]
+        pairs, chunk_pairs = np.unique(codes, return_inverse=True)
+        n = np.bincount(chunk_pairs, weights=np.repeat(np.bincount(words, minlength=len(used)), links), minlength=len(pairs)).astype(np.int64)
         of_doc = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[words], axis=0)])[np.concatenate([[0], ends])], axis=0)
-        texts = [b";".join([aligner.groups[i] for i in d]) for d in self.docs]
+        texts = [b"".join(map(aligner.groups.__getitem__, d))[:-1] for d in self.docs]
         groups = [hashlib.sha256(t).hexdigest() if hashed and t else t.decode() for t in texts]
         return {
             "block": name, "doc_ids": self.ids, "n_a": of_doc[:, 0], "n_b": of_doc[:, 1], "n_groups": of_doc[:, 2], "n_links": of_doc[:, 3], "groups": groups,
-            "doc_ends": ends.tobytes(), "words": words.astype(np.int32).tobytes(), "chunk_ends": np.cumsum(counts[:, 3]).tobytes(),
-            "chunk_pairs": chunk_pairs.astype(np.int32).tobytes(), "pairs": pairs, "pair_n": n,
+            "doc_ends": ends.tobytes(), "words": _small(words), "chunk_ends": _small(chunk_ends), "chunk_pairs": _small(chunk_pairs), "pairs": pairs, "pair_n": n,
         }
 
 
@@ -237,11 +260,10 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, *, hashed: bool =
                     t = r["told"].values
                     at = t.field("at").to_numpy()
                     total[at], best[at] = t.field("total").to_numpy(), t.field("is_best").to_numpy(zero_copy_only=False)
-                ints = lambda c, dtype: np.frombuffer(r[c].as_py(), dtype)  # noqa: B023, E731
-                sums = []
-                for values in (best, total):
-                    by_chunk = np.diff(np.concatenate([[0], np.cumsum(values[ints("chunk_pairs", np.int32)])])[np.concatenate([[0], ints("chunk_ends", np.int64)])])
-                    sums.append(np.diff(np.concatenate([[0], np.cumsum(by_chunk[ints("words", np.int32)])])[np.concatenate([[0], ints("doc_ends", np.int64)])]))
+                between = lambda values, ends: np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
+                chunk_pairs, chunk_ends, words = (_numbers(r[c].as_py()) for c in ("chunk_pairs", "chunk_ends", "words"))
+                doc_ends = np.frombuffer(r["doc_ends"].as_py(), np.int64)
+                sums = [between(between(values[chunk_pairs], chunk_ends)[words], doc_ends) for values in (best, total)]
                 yield pa.RecordBatch.from_arrays([*[r[c].values for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")], *map(pa.array, sums), r["groups"].values], schema=kind)
 
     return blocks.join(back, F.col("block") == F.col("for"), "left").drop("for", "pair_n").mapInArrow(finish, _RESULT)
