@@ -238,7 +238,7 @@ def rules() -> list[Rule]:
         for v in (*versions, ""):
             of = f"{label}-{v.replace(' ', '.')}" if v else label
             major, _, minor = v.partition(" ")
-            number = f"( version| v)? (v ?)?{major}{f'( {minor})?' if minor == '0' else f' {minor}'}" if v else ""
+            number = f"( version)? ?(v ?)?{major}{f'( {minor})?' if minor == '0' else f' {minor}'}" if v else ""
             ending = f" {v}" if v else ""
             found += [
                 (of, TAG, f"spdx license identifier {tag}{ending}", "spdx license identifier"), (of, GRANT, f"{_GRANT}{name}{number}", name),
