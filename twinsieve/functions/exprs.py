@@ -40,7 +40,7 @@ def _distances(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, hamming)
 
 
-def _inner(hashes: Column) -> Column:
+def inner_part(hashes: Column) -> Column:
     """The elements 2 to 9, as many as there are."""
     return F.slice(hashes, 3, 8)
 
@@ -51,20 +51,30 @@ def full_distance(a: Column, b: Column) -> Column:
 
 
 def inner_distance(a: Column, b: Column) -> Column:
-    return full_distance(_inner(a), _inner(b))
+    return full_distance(inner_part(a), inner_part(b))
 
 
-def prefilter_full(a: Column, b: Column) -> Column:
-    """Median of differing bits at the first, the middle and the last common place; 64 if there is none."""
-    n = F.least(F.size(a), F.size(b))
-    at = lambda i: hamming(F.try_element_at(a, i + 1), F.try_element_at(b, i + 1))
-    x, y, z = at(F.lit(0)), at(F.floor(n / 2).cast("int")), at(n - 1)
+def prefilter_places(hashes: Column) -> list[Column]:
+    """The hashes at the first, the middle and the last place."""
+    n = F.size(hashes)
+    return [F.get(hashes, i) for i in (F.lit(0), F.floor(n / 2).cast("int"), n - 1)]
+
+
+def prefilter_bits(n: Column, a: list[Column], b: list[Column]) -> Column:
+    """Median of the differing bits at three places of n common ones; 64 if there is none."""
+    x, y, z = (hamming(p, q) for p, q in zip(a, b, strict=True))
     three = F.greatest(F.least(x, y), F.least(F.greatest(x, y), z)).cast("double")
     return F.when(n > 2, three).when(n == 2, (x + z) / F.lit(2.0)).when(n == 1, x.cast("double")).otherwise(F.lit(64.0))
 
 
+def prefilter_full(a: Column, b: Column) -> Column:
+    n = F.least(F.size(a), F.size(b))
+    cut = lambda h: prefilter_places(F.slice(h, F.lit(1), n))
+    return prefilter_bits(n, cut(a), cut(b))
+
+
 def prefilter_inner(a: Column, b: Column) -> Column:
-    return prefilter_full(_inner(a), _inner(b))
+    return prefilter_full(inner_part(a), inner_part(b))
 
 
 def duration_bucket(seconds: Column) -> Column:
@@ -83,8 +93,10 @@ def threshold(profile: str, custom: float = 0.18) -> float:
 
 def adjacent_hash(frame: Column) -> Column:
     """64 bits, most significant first: character i + 1 above character i."""
-    bit = lambda i: (F.ascii(F.substring(frame, i + 1, F.lit(1))) > F.ascii(F.substring(frame, i, F.lit(1)))).cast("bigint")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0).cast("bigint"), lambda h, i: F.shiftleft(h, 1).bitwiseOR(bit(i)))
+    codes = F.transform(F.regexp_extract_all(frame, F.lit("(?s)."), F.lit(0)), F.ascii)
+    bit = lambda c, i: F.coalesce(F.get(c, i) > F.get(c, i - 1), F.lit(False)).cast("bigint")
+    places = F.sequence(F.lit(1), F.lit(64))
+    return bound(codes, lambda c: F.aggregate(places, F.lit(0).cast("bigint"), lambda h, i: F.shiftleft(h, 1).bitwiseOR(bit(c, i))))
 
 
 def encode_hashes(hashes: Column) -> Column:

@@ -2,8 +2,9 @@
 
 The pairs of a duration tolerance come from an equi-join: every item is dealt to the bucket
 centres within reach, and pairs meet at occupied centres. A pair comes out at the least centre that
-both reach, so nothing has to be made distinct. The gate is a condition of that join, whose rows
-carry the few numbers it needs; only pairs that pass it fetch their hashes. At scale, popular
+both reach, so nothing has to be made distinct. The gate and the prefilter are conditions of that
+join, whose rows carry the few numbers they need (six hashes and the audio print's); only pairs
+that may still match fetch all their hashes. At scale, popular
 durations make popular centres; the join is a plain shuffled one, which AQE can split.
 """
 
@@ -21,28 +22,60 @@ def bucketed(items: DataFrame) -> DataFrame:
     return items.withColumn("bucket", X.duration_bucket(F.col("duration_s"))).withColumn("aspect", X.aspect_bin(F.col("width"), F.col("height")))
 
 
-def block_pairs(items: DataFrame, tolerance: float = 8.0, mode: str = "off", gated: bool = False) -> DataFrame:
-    """file_a < file_b of all pairs that share an occupied bucket centre (and, in mode off, the aspect bin); gated: that pass the gate too."""
+def sketched(items: DataFrame) -> DataFrame:
+    """What blocked pairs are judged by before their hashes are fetched: the prefilter's places, full and inner, and the audio print's hash."""
+    h = F.col("hashes")
+    places = [*X.prefilter_places(h), *X.prefilter_places(X.inner_part(h))]
+    audio = F.when(F.col("audio_fingerprint") != "", F.xxhash64("audio_fingerprint"))
+    return bucketed(items).select("file_id", "bucket", "aspect", "duration_s", "width", "height", F.size(h).alias("n"), audio.alias("audio"), *[p.alias(f"h{k}") for k, p in enumerate(places)])
+
+
+def _met(dealt_from: DataFrame, tolerance: float, mode: str, also: Column | None = None) -> DataFrame:
+    """Pairs a, b of file_a < file_b that meet at an occupied centre (in mode off, of their aspect bin), each once; also: a further condition of the join."""
     reach = max(0, math.ceil(tolerance / X.BUCKET_SECONDS) - 1)
     keys = ["centre", "aspect"] if mode == "off" else ["centre"]
-    b = bucketed(items).select("file_id", "bucket", "aspect", *(["duration_s", "width", "height"] if gated else []))
     # every occupied centre with the nearest occupied one before it, as far as two items can share it
-    taken = b.select(F.col("bucket").alias("of"), "aspect").distinct()
+    taken = dealt_from.select(F.col("bucket").alias("of"), "aspect").distinct()
     near = taken.withColumn("centre", F.explode(F.sequence(F.col("of"), F.col("of") + 2 * reach)))
     occupied = near.groupBy(*keys).agg(F.max(F.when(F.col("of") < F.col("centre"), F.col("of"))).alias("before"), F.bool_or(F.col("of") == F.col("centre")).alias("here"))
     occupied = occupied.filter("here").drop("here")
-    dealt = b.withColumn("centre", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket") + reach))).join(occupied, keys)
-    left, right = dealt.alias("a"), dealt.alias("b")
+    dealt = dealt_from.withColumn("centre", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket") + reach))).join(occupied, keys)
     first = F.coalesce(F.col("a.before") < F.greatest("a.bucket", "b.bucket") - reach, F.lit(True))
     on = (F.col("a.file_id") < F.col("b.file_id")) & first
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    pairs = left.join(right, on & gate(tolerance, mode) if gated else on)
+    return dealt.alias("a").join(dealt.alias("b"), on if also is None else on & also)
+
+
+def block_pairs(items: DataFrame, tolerance: float = 8.0, mode: str = "off", gated: bool = False) -> DataFrame:
+    """file_a < file_b of all pairs that share an occupied bucket centre (and, in mode off, the aspect bin); gated: that pass the gate too."""
+    b = bucketed(items).select("file_id", "bucket", "aspect", *(["duration_s", "width", "height"] if gated else []))
+    pairs = _met(b, tolerance, mode, gate(tolerance, mode) if gated else None)
+    return pairs.select(F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"))
+
+
+def is_inner() -> Column:
+    return F.abs(F.col("a.duration_s") - F.col("b.duration_s")) > X.INNER_GAP
+
+
+def ruled_out() -> Column:
+    """Of sketched pairs: whether the prefilter rejects them; null where arrays of unequal length must be fetched for that."""
+    n, side = F.col("a.n"), lambda s, ks: [F.col(f"{s}.h{k}") for k in ks]
+    full = X.prefilter_bits(n, side("a", range(3)), side("b", range(3)))
+    inner = X.prefilter_bits(F.greatest(F.lit(0), F.least(F.lit(8), n - 2)), side("a", range(3, 6)), side("b", range(3, 6)))
+    return F.when(n == F.col("b.n"), F.when(is_inner(), inner).otherwise(full) > X.PREFILTER_BITS)
+
+
+def open_pairs(items: DataFrame, tolerance: float, mode: str, audio: bool) -> DataFrame:
+    """Gated pairs that may still match: the prefilter does not reject them, or they sound alike. Only these fetch their hashes."""
+    may = ~F.coalesce(ruled_out(), F.lit(False))
+    may = may | F.coalesce(F.col("a.audio") == F.col("b.audio"), F.lit(False)) if audio else may
+    pairs = _met(sketched(items), tolerance, mode, gate(tolerance, mode) & may)
     return pairs.select(F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"))
 
 
 def with_sides(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    side = lambda s: F.struct("file_id", "duration_s", "width", "height", "hashes", "audio_fingerprint", "size").alias(s)
+    side = lambda s: F.struct("file_id", "duration_s", "width", "height", "hashes", "audio_fingerprint").alias(s)
     a = items.select(F.col("file_id").alias("file_a"), side("a"))
     b = items.select(F.col("file_id").alias("file_b"), side("b"))
     return pairs.join(a, "file_a").join(b, "file_b")
@@ -59,33 +92,38 @@ def gate(tolerance: float, mode: str) -> Column:
     return ok & (F.abs(F.log2(F.try_divide(ra, rb))) <= (X.ASPECT_SAME if mode == "same_aspect" else X.ASPECT_OFF))
 
 
-def cascade(
-    items: DataFrame, profile: str = "balanced", custom: float = 0.18, tolerance: float = 8.0, mode: str = "off", audio: bool = True, every: bool = True,
-) -> DataFrame:
-    """Every blocked pair (or, not every, those that pass the gate) with gated, inner, rejected, distance, match_reason and score."""
+def cascade(items: DataFrame, profile: str = "balanced", custom: float = 0.18, tolerance: float = 8.0, mode: str = "off", audio: bool = True) -> DataFrame:
+    """The gated pairs that may still match, with inner, rejected, distance (of those not rejected), match_reason and score."""
     limit = X.threshold(profile, custom)
-    p = with_sides(block_pairs(items, tolerance, mode, gated=not every), items)
+    p = with_sides(open_pairs(items, tolerance, mode, audio), items)
     ha, hb = F.col("a.hashes"), F.col("b.hashes")
     same_audio = F.lit(audio) & (F.col("a.audio_fingerprint") != "") & (F.col("a.audio_fingerprint") == F.col("b.audio_fingerprint"))
-    p = p.withColumn("gated", gate(tolerance, mode)).withColumn("inner", F.abs(F.col("a.duration_s") - F.col("b.duration_s")) > X.INNER_GAP)
+    p = p.withColumn("inner", is_inner())
     p = p.withColumn("rejected", F.when(F.col("inner"), X.prefilter_inner(ha, hb)).otherwise(X.prefilter_full(ha, hb)) > X.PREFILTER_BITS)
-    p = p.withColumn("distance", F.when(F.col("inner"), X.inner_distance(ha, hb)).otherwise(X.full_distance(ha, hb)))
-    close = ~F.col("rejected") & (F.col("distance") <= F.when(F.col("inner"), F.lit(limit * X.INNER_FACTOR)).otherwise(F.lit(limit)))
-    reason = F.when(~F.col("gated"), None).when(close & F.col("inner"), "trimmed_match").when(close, "perceptual").when(same_audio, "audio_match")
+    p = p.withColumn("distance", F.when(~F.col("rejected"), F.when(F.col("inner"), X.inner_distance(ha, hb)).otherwise(X.full_distance(ha, hb))))
+    close = F.coalesce(F.col("distance") <= F.when(F.col("inner"), F.lit(limit * X.INNER_FACTOR)).otherwise(F.lit(limit)), F.lit(False))
+    reason = F.when(close & F.col("inner"), "trimmed_match").when(close, "perceptual").when(same_audio, "audio_match")
     return p.withColumn("match_reason", reason).withColumn("score", F.when(F.col("match_reason") == "audio_match", F.lit(1.0)).otherwise(1 - F.col("distance")))
 
 
 def edges(items: DataFrame, **options) -> DataFrame:
-    p = cascade(items, every=False, **options).filter(F.col("match_reason").isNotNull())
+    p = cascade(items, **options).filter(F.col("match_reason").isNotNull())
     return p.select("file_a", "file_b", "score", "match_reason", F.abs(F.col("a.duration_s") - F.col("b.duration_s")).alias("gap_s"))
 
 
-def match_stats(items: DataFrame, **options) -> DataFrame:
-    p = cascade(items, **options)
-    g, full = F.col("gated"), F.col("gated") & ~F.col("rejected")
-    keys = ["bucket", "aspect"]
-    return p.agg(
-        F.count("*").alias("candidate_pairs"), F.count_if(g).alias("prefilter_pairs"), F.count_if(g & F.col("rejected")).alias("prefilter_rejected"),
-        F.count_if(full).alias("full_distance_pairs"), F.count_if(g & F.col("inner")).alias("inner_mode_pairs"),
-        F.count_if(F.col("match_reason") == "trimmed_match").alias("inner_mode_accepted"), F.count("match_reason").alias("accepted_pairs"),
-    ).join(bucketed(items).agg(F.count("*").alias("items"), F.count_distinct(*keys).alias("buckets")))  # one row each
+def match_stats(items: DataFrame, tolerance: float = 8.0, mode: str = "off", **options) -> DataFrame:
+    """Counters of the cascade: of sketched pairs, and of the few whose hashes are fetched. Each side is one row."""
+    g = gate(tolerance, mode)
+    seen = _met(sketched(items), tolerance, mode).select(g.alias("gated"), (g & ruled_out()).alias("out"), (g & is_inner()).alias("inner")).agg(
+        F.count("*").alias("candidate_pairs"), F.count_if("gated").alias("prefilter_pairs"), F.count_if("out").alias("out"), F.count_if("inner").alias("inner_mode_pairs")
+    )
+    late = F.col("rejected") & (F.size("a.hashes") != F.size("b.hashes"))
+    told = cascade(items, tolerance=tolerance, mode=mode, **options).agg(
+        F.count_if(late).alias("late"), F.count_if(F.col("match_reason") == "trimmed_match").alias("inner_mode_accepted"), F.count("match_reason").alias("accepted_pairs")
+    )
+    of = bucketed(items).agg(F.count("*").alias("items"), F.count_distinct("bucket", "aspect").alias("buckets"))
+    rejected = F.col("out") + F.col("late")
+    return seen.join(told).join(of).select(
+        "candidate_pairs", "prefilter_pairs", rejected.alias("prefilter_rejected"), (F.col("prefilter_pairs") - rejected).alias("full_distance_pairs"),
+        "inner_mode_pairs", "inner_mode_accepted", "accepted_pairs", "items", "buckets",
+    )
