@@ -151,6 +151,31 @@ ORACLES: dict[str, str] = {
       o AS (SELECT *, list_sort(list_distinct([0, span, round_even(span * (23 / 100), 0)::BIGINT, round_even(span * (78 / 100), 0)::BIGINT])) AS offs FROM s)
       SELECT page_id, size::INT AS size, array_to_string(offs, ',') AS offsets, sha256(unhex(upper(printf('%016x', size)) || array_to_string(list_transform(offs, lambda p:
         upper(printf('%016x', p)) || upper(printf('%016x', length(substr(html, p + 1, 64)))) || hex(encode(substr(html, p + 1, 64)))), ''))) AS digest FROM o""",
+    "decoded_frames": f"""WITH p AS (SELECT page_id, hex(encode(html)) AS h, octet_length(encode(html)) AS n, page_id % 5 = 0 AS risky FROM pages),
+      b AS (SELECT *, unnest([1, 2]) AS step FROM p),
+      f AS (SELECT page_id, step, list_transform([{_PCTS}]::DOUBLE[], lambda t: floor(n * t)::BIGINT) AS starts, h, n FROM b),
+      k AS (SELECT page_id, step, list_transform(starts, lambda o: CASE WHEN o + 71 * step < n THEN list_reduce(list_prepend(0::HUGEINT, list_transform(range(0, 64), lambda q:
+        (('0x' || substr(h, 2 * (o + step * (q // 8 * 9 + q % 8 + 1)) + 1, 2))::INT > ('0x' || substr(h, 2 * (o + step * (q // 8 * 9 + q % 8)) + 1, 2))::INT)::HUGEINT)), lambda x, y: x * 2 + y) ELSE 0 END) AS bits FROM f),
+      e AS (SELECT page_id, step, list_sum(list_transform(bits, lambda x: (x > 0)::INT)) > 0 AS any_bit, array_to_string(list_transform(bits, lambda x: upper(printf('%016x', x::UBIGINT))), '') AS hashes FROM k),
+      w AS (SELECT p.page_id, risky, x.any_bit AS one_ok, x.hashes AS one, y.any_bit AS two_ok, y.hashes AS two FROM p JOIN e x ON x.page_id = p.page_id AND x.step = 1 JOIN e y ON y.page_id = p.page_id AND y.step = 2),
+      t AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'opencv:error:cannot open ' || page_id WHEN page_id % 89 = 5 THEN 'opencv:timeout:opencv took more than 0.5 s' WHEN NOT one_ok THEN 'opencv:error:no sample frame could be decoded' ELSE 'opencv:success:' END AS o,
+        CASE WHEN page_id % 97 = 6 THEN 'pyav:error:pyav ended its process' WHEN page_id % 2 = 0 THEN 'pyav:error:no stream' WHEN NOT two_ok THEN 'pyav:error:no sample frame could be decoded' ELSE 'pyav:success:' END AS a,
+        CASE WHEN page_id % 4 = 1 THEN 'ffmpeg:error:bad exit' WHEN NOT one_ok THEN 'ffmpeg:error:no sample frame could be decoded' ELSE 'ffmpeg:success:' END AS g FROM w),
+      c AS (SELECT *, CASE WHEN risky THEN [g, a] ELSE [o, a, g] END AS every FROM t),
+      r AS (SELECT *, coalesce(list_position(list_transform(every, lambda x: x LIKE '%:success:'), true), 0) AS hit FROM c),
+      m AS (SELECT *, CASE WHEN hit > 0 THEN every[1:hit] ELSE every END AS made, CASE WHEN hit > 0 THEN split_part(every[hit], ':', 1) END AS backend FROM r)
+      SELECT page_id, array_to_string(made, '; ') AS attempts, backend, CASE WHEN hit > 1 THEN backend END AS fallback, CASE backend WHEN 'pyav' THEN two WHEN 'opencv' THEN one WHEN 'ffmpeg' THEN one END AS hashes,
+        CASE WHEN hit > 0 THEN '{{"attempts":[' || array_to_string(list_transform(made, lambda x: '{{"decoder_backend":"' || split_part(x, ':', 1) || '","message":"' || split_part(x, ':', 3) || '","status":"' || split_part(x, ':', 2) || '"}}'), ',')
+          || '],"decoder_backend":"' || backend || '","risky_format_bypass":' || risky || '}}' END AS provenance,
+        CASE WHEN hit = 0 THEN array_to_string(list_transform(made, lambda x: split_part(x, ':', 3)), ' | ') END AS error FROM m""",
+    "probed_files": """SELECT page_id, CASE WHEN page_id % 7 <> 3 THEN b END AS backend, b || CASE WHEN page_id % 7 = 3 THEN ':error:cannot probe' ELSE ':success:' END AS attempts,
+      CASE WHEN page_id % 7 <> 3 THEN octet_length(encode(html)) / 8.0::DOUBLE ELSE 0 END AS duration_s, CASE WHEN ok THEN length(url) ELSE 0 END::INT AS width, CASE WHEN ok THEN '' ELSE 'Invalid video metadata' END AS probe_error
+      FROM (SELECT *, b = 'pyav' AND page_id % 7 <> 3 AND octet_length(encode(html)) > 0 AS ok FROM (SELECT *, CASE page_id % 3 WHEN 1 THEN 'ffprobe' ELSE 'pyav' END AS b FROM pages))""",
+    "byte_digests": """WITH s AS (SELECT page_id, hex(encode(html)) AS h, octet_length(encode(html)) + CASE WHEN page_id % 9 = 4 THEN 1 ELSE 0 END AS size FROM pages), p AS (SELECT *, greatest(0, size - 64) AS span FROM s),
+      o AS (SELECT *, list_sort(list_distinct([0, span, round_even(span * (23 / 100), 0)::BIGINT, round_even(span * (78 / 100), 0)::BIGINT])) AS offs FROM p)
+      SELECT page_id, size, array_to_string(offs, ',') AS offsets, CASE WHEN page_id % 9 <> 4 THEN sha256(unhex(upper(printf('%016x', size)) || array_to_string(list_transform(offs, lambda q:
+        upper(printf('%016x', q)) || upper(printf('%016x', least(64, size - q))) || substr(h, 2 * q + 1, 128)), ''))) END AS digest, CASE WHEN page_id % 9 = 4 THEN 'failed' END AS error FROM o""",
+    "sample_times": f"""WITH {ASSETS} SELECT file_id, array_to_string(list_transform([{_PCTS}]::DOUBLE[], lambda p: printf('%.4f', p * duration_s)), ',') AS times FROM assets""",
     "hardlink_canonical": """WITH d AS (SELECT CASE WHEN doc_id % 10 = 0 OR doc_id % 11 = 0 THEN 'only ' || doc_id ELSE sha256(text) END AS i, source || '/' || doc_id AS path FROM documents)
       SELECT path, CASE WHEN row_number() OVER w = 1 THEN 'canonical' ELSE 'hardlink' END AS kind, first_value(path) OVER w AS target FROM d WINDOW w AS (PARTITION BY i ORDER BY lower(path), path)""",
     "scan_links": """WITH d AS (SELECT doc_id, sha256(text) AS i, source || '/' || doc_id AS path FROM documents),
@@ -225,6 +250,21 @@ ORACLES |= {
     "purge_counts": f"""WITH {_SCANS}, {_FILES}, gone AS (SELECT scan_id FROM scans WHERE scan_set % 50 = 3 UNION SELECT scan_id FROM files WHERE file_id % 37 = 5)
       SELECT (SELECT count(*) FROM scans WHERE scan_id IN (FROM gone)) AS deleted_scans, (SELECT count(*) FROM files WHERE scan_id IN (FROM gone)) AS deleted_files,
       (SELECT count(*) FROM scans WHERE scan_id % 4 <> 1 AND scan_id IN (FROM gone)) AS deleted_groups, (SELECT count(*) FROM scans WHERE scan_id % 9 = 2 AND scan_id IN (FROM gone)) AS deleted_actions""",
+    "meta_after_probes": """WITH p AS (SELECT p_partkey AS k, * FROM part) SELECT k AS file_id, ['pyav', 'ffprobe'][k % 2 + 1] AS probe_backend, CASE WHEN k % 9 = 0 THEN 't3' WHEN k % 3 = 0 THEN 't2' ELSE 't1' END AS probed_at,
+      k * CASE WHEN k % 9 = 0 OR k % 3 > 0 THEN 10 ELSE 11 END AS source_size, k * 7 AS source_mtime_ns, CASE WHEN k % 9 = 0 OR k % 4 > 0 THEN k % 90 + 1.0::DOUBLE ELSE 0 END AS duration_s,
+      CASE WHEN k % 9 = 0 OR k % 4 > 0 THEN p_size ELSE 0 END::INT AS width, CASE WHEN k % 9 = 0 OR k % 4 > 0 THEN 10 ELSE 8 END::INT AS bit_depth,
+      CASE WHEN k % 9 = 0 THEN 'new' WHEN k % 4 > 0 THEN p_brand ELSE '' END AS codec, CASE WHEN k % 9 > 0 AND k % 3 = 0 THEN 500 END::INT AS probe_error FROM p WHERE k % 4 > 0 OR k % 3 = 0""",
+    "tables_after_purge": f"""WITH {_SCANS}, {_FILES}, gone AS (SELECT scan_id FROM scans WHERE scan_set % 50 = 3 UNION SELECT scan_id FROM files WHERE file_id % 37 = 5), rest AS (
+      SELECT scan_id, 'scans' AS name FROM scans UNION ALL SELECT scan_id, 'files' FROM files UNION ALL SELECT scan_id, 'groups' FROM scans WHERE scan_id % 4 <> 1 UNION ALL SELECT scan_id, 'actions' FROM scans WHERE scan_id % 9 = 2)
+      SELECT scan_id, count(*) AS n, name FROM rest WHERE scan_id NOT IN (FROM gone) GROUP BY ALL""",
+    "tables_after_prune": f"""WITH {_SCANS}, {_FILES}, i AS (SELECT scan_id AS group_id, file_id, file_id % 11 <> 2 AS kept, alive AND file_id % 7 <> 1 AS there FROM files WHERE file_id % 3 > 0),
+      g AS (SELECT group_id, count_if(kept)::BIGINT AS items, count(*) AS before, count_if(kept AND there) AS live FROM i GROUP BY group_id)
+      SELECT group_id, items, before FROM g WHERE live >= 2 AND group_id % 4 <> 1""",
+    "scan_rows": f"""WITH {_SCANS} SELECT scan_id, scan_set, CASE WHEN scan_id % 5 = 0 THEN 'cancelled' WHEN scan_id % 3 = 1 THEN 'added' ELSE status END AS status FROM scans WHERE scan_id % 3 <= 1""",
+    "files_after_renames": """WITH p AS (SELECT *, p_partkey % 6 = 0 AND (p_partkey % 5 > 0 OR p_partkey = 0) AS r FROM part) SELECT 1 AS scan_id, p_partkey AS file_id, '/a/' || p_partkey || '.mp4' || CASE WHEN r THEN '.Z_dele' ELSE '' END AS path,
+      CASE WHEN r THEN 'z_dele' ELSE 'mp4' END AS ext, p_size::BIGINT + r::BIGINT AS size, CASE WHEN r THEN 9 ELSE 5 END::BIGINT AS mtime_ns, r OR p_partkey % 4 > 0 AS alive FROM p""",
+    "clone_artifacts": """SELECT p_partkey + 1000000 AS file_id, 'pyav' AS probe_backend, 't1' AS probed_at, p_partkey * 10 AS source_size, p_partkey * 7 AS source_mtime_ns, p_partkey % 90 + 1.0::DOUBLE AS duration_s, p_size::INT AS width, 10::INT AS bit_depth, p_brand AS codec
+      FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 4 > 0 AND p_partkey % 7 > 0 AND p_partkey % 5 > 0""",
     "prune_groups": f"""WITH {_SCANS}, {_FILES} SELECT s.scan_id AS group_id, coalesce(count_if(f.alive), 0)::BIGINT AS alive FROM scans s LEFT JOIN files f ON f.scan_id = s.scan_id AND f.file_id % 3 > 0
       WHERE s.scan_id % 4 <> 1 GROUP BY s.scan_id HAVING coalesce(count_if(f.alive), 0) < 2""",
     "lane_metrics": f"WITH {_LANES} SELECT * FROM m",

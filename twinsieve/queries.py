@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as X
 from .operators import catalogue as C
+from .operators import changes as D
 from .operators import grouping as G
 from .operators import matching as M
 from .operators import tables as T
 from .operators.components import connected_components
+from .operators.decoding import decode_frames, probe_files
 from .operators.probe import parse_probe
 from .plans import actions as P
 from .runtime import Scratch, scratch_path
 from .sinks import exports as E
+from .sinks.versions import Catalogue
 from .sources.assets import assets, items, pick
+from .sources.samples import file_digests, write_files
 from .streaming.microbatch import deduped_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +222,93 @@ def sampled_digest(s, d):
     return rows.select("page_id", "size", F.array_join(F.transform("offsets", lambda o: o.cast("string")), ",").alias("offsets"), "digest")
 
 
+def _page_decoders() -> dict:
+    """Decoders by rule over a page's bytes: of each kind some pages fail, some take too long, some end the process."""
+
+    def frames(row, step):
+        raw = row["html"] or b""
+        runs = [raw[int(len(raw) * t) :][: 72 * step : step] for t in row["times"]]
+        return [list(r) if len(r) == 72 else None for r in runs]
+
+    def opencv(row):
+        i = row["page_id"]
+        if i % 3 == 0:
+            raise OSError(f"cannot open {i}")
+        if i % 89 == 5:
+            import time
+
+            time.sleep(60)
+        return frames(row, 1)
+
+    def pyav(row):
+        if row["page_id"] % 97 == 6:
+            import os
+
+            os._exit(3)
+        if row["page_id"] % 2 == 0:
+            raise ValueError("no stream")
+        return frames(row, 2)
+
+    def ffmpeg(row):
+        if row["page_id"] % 4 == 1:
+            raise RuntimeError("bad exit")
+        return frames(row, 1)
+
+    return {"opencv": opencv, "pyav": pyav, "ffmpeg": ffmpeg}
+
+
+def _page_files(s, d) -> DataFrame:
+    i = F.col("page_id")
+    return _t(s, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("html"), F.concat(F.lit("/v/"), i.cast("string"), F.when(i % 5 == 0, ".AVI").otherwise(".mkv")).alias("path"), F.lit(1.0).alias("duration_s"))
+
+
+@query
+def decoded_frames(s, d):
+    """Pages decoded by the first back-end that can, every attempt told."""
+    from functools import partial
+
+    def with_id(f, row):  # the page's number is in its path
+        return f(row | {"page_id": int(row["path"][3:-4])})
+
+    decoders = {k: partial(with_id, f) for k, f in _page_decoders().items()}
+    out = decode_frames(_page_files(s, d), decoders, content="html", limit_s=0.5)
+    tries = F.array_join(F.transform("attempts", lambda t: F.concat_ws(":", t["backend"], t["status"], t["message"])), "; ")
+    return out.select("page_id", tries.alias("attempts"), "backend", "fallback", X.encode_hashes(F.col("hashes")).alias("hashes"), "provenance", "error")
+
+
+@query
+def probed_files(s, d):
+    """Of two probes the one that each row names, its document parsed."""
+
+    def size_of(row):
+        if row["page_id"] % 7 == 3:
+            raise OSError("cannot probe")
+        return {"format": {"duration": str(len(row["html"] or b"") / 8)}, "streams": [{"codec_type": "video", "codec_name": "h264", "width": len(row["url"] or ""), "height": 10}]}
+
+    i = F.col("page_id")
+    rows = _t(s, d, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("html"), pick(i % 3, "PyAV ", "ffprobe", "none").alias("wanted"))
+    probes = {"pyav": size_of, "ffprobe": lambda row: size_of(row) | {"streams": []}}
+    out = parse_probe(probe_files(rows, probes, F.col("wanted"), ["page_id", "url", "html"]), "probe_json")
+    return out.select("page_id", "backend", F.array_join(F.transform("attempts", lambda t: F.concat_ws(":", t["backend"], t["status"], t["message"])), ";").alias("attempts"), "duration_s", "width", "probe_error")
+
+
+@query
+def byte_digests(s, d):
+    """Digests of sampled bytes of files, which are written first; every ninth is said to be longer than it is."""
+    i = F.col("page_id")
+    folder = scratch_path(s, "pages")
+    folder = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1)
+    rows = _t(s, d, "pages").select("page_id", F.concat(i.cast("string"), F.lit(".html")).alias("name"), "html")
+    files = Scratch(s).cut(write_files(rows, folder, "name", "html"), "files").withColumn("size", F.when(i % 9 == 4, F.col("size") + 1).otherwise(F.col("size")))
+    out = file_digests(files, block=64)
+    return out.select("page_id", "size", F.array_join(F.transform("offsets", lambda o: o.cast("string")), ",").alias("offsets"), "digest", F.when(F.col("error").isNotNull(), "failed").alias("error"))
+
+
+@query
+def sample_times(s, d):
+    return assets(_t(s, d, "documents")).select("file_id", F.array_join(F.transform(X.sample_times(F.col("duration_s")), lambda t: F.format_string("%.4f", t)), ",").alias("times"))
+
+
 @query
 def hardlink_canonical(s, d):
     identity = F.when(F.col("doc_id") % 10 == 0, "0").when(F.col("doc_id") % 11 > 0, F.sha2("text", 256))
@@ -338,6 +429,98 @@ def load_groups(s, d):
     return C.stored_groups(m.select("group_id").distinct(), items, files).select("group_id", "file_id", "position")
 
 
+def _stored(s, tables: dict[str, tuple[DataFrame, str]]) -> Catalogue:
+    c = Catalogue(s, scratch_path(s, "catalogue"), buckets=4)
+    tx = c.begin()
+    for name, (rows, by) in tables.items():
+        tx.create(name, rows, by)
+    tx.commit()
+    return c
+
+
+def _meta(rows: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    return rows.select(k.alias("file_id"), pick(k % 2, "pyav", "ffprobe").alias("probe_backend"), F.lit("t1").alias("probed_at"), (k * 10).alias("source_size"), (k * 7).alias("source_mtime_ns"),
+                       (k % 90 + 1.0).alias("duration_s"), F.col("p_size").cast("int").alias("width"), F.lit(10).alias("bit_depth"), F.col("p_brand").alias("codec"), F.lit(None).cast("string").alias("probe_error"))
+
+
+@query
+def meta_after_probes(s, d):
+    """Good probes, then failed ones of some files and of new ones, then good ones again: the stored table."""
+    part = _t(s, d, "part")
+    k = F.col("p_partkey")
+    c = _stored(s, {"video_meta": (_meta(part.filter(k % 4 > 0)), "file_id")})
+    tx = c.begin()
+    failed = part.filter(k % 3 == 0).select(k.alias("file_id"), pick(k % 2, "pyav", "ffprobe").alias("probe_backend"), F.lit("t2").alias("probed_at"), (k * 11).alias("source_size"), (k * 7).alias("source_mtime_ns"), F.repeat(F.lit("no stream "), 60).alias("probe_error"))
+    D.save_probe_errors(tx, failed)
+    tx.commit()
+    tx = c.begin()
+    D.save_meta(tx, _meta(part.filter(k % 9 == 0)).withColumn("probed_at", F.lit("t3")).withColumn("codec", F.lit("new")))
+    tx.commit()
+    return c.read("video_meta").withColumn("probe_error", F.length("probe_error"))
+
+
+@query
+def tables_after_purge(s, d):
+    """What the tables hold after scans of one set and of one root went, in one version."""
+    t = _catalogue(s, d)
+    c = _stored(s, {n: (rows, "scan_id") for n, rows in t.items()})
+    tx = c.begin()
+    D.purge(tx, "set3", ["/lib/r5/", "/nowhere"], ["files", "groups", "actions"])
+    tx.commit()
+    rest = [c.read(n).groupBy("scan_id").agg(F.count("*").alias("n")).withColumn("name", F.lit(n)) for n in t]
+    return rest[0].unionByName(rest[1]).unionByName(rest[2]).unionByName(rest[3])
+
+
+@query
+def tables_after_prune(s, d):
+    """Members removed and files marked missing, then groups under two live files pruned: the items left, and whether the version before still has all."""
+    t = _catalogue(s, d)
+    items = t["files"].filter("file_id % 3 > 0").select(F.col("scan_id").alias("group_id"), F.concat_ws("-", "scan_id", "file_id").alias("file_id"))
+    files = t["files"].select("scan_id", F.concat_ws("-", "scan_id", "file_id").alias("file_id"), "alive", F.col("file_id").alias("number"), "path", "size")
+    c = _stored(s, {"groups": (t["groups"], "group_id"), "group_items": (items, "group_id"), "files": (files, "scan_id")})
+    tx = c.begin()
+    D.mark_missing(tx, files.filter("number % 7 = 1"))
+    D.remove_members(tx, files.filter("number % 11 = 2"))
+    D.prune(tx)
+    tx.commit()
+    before = c.read("group_items", version=1).groupBy("group_id").agg(F.count("*").alias("before"))
+    return c.read("group_items").groupBy("group_id").agg(F.count("*").alias("items")).join(before, "group_id").join(c.read("groups").select("group_id"), "group_id", "left_semi")
+
+
+@query
+def scan_rows(s, d):
+    """Scans added and their states set, version by version; a state of an unknown scan adds none."""
+    o = _scans(s, d)
+    c = _stored(s, {"scans": (o.filter("scan_id % 3 = 0"), "scan_id")})
+    tx = c.begin()
+    D.add_scans(tx, o.filter("scan_id % 3 <= 1").withColumn("status", F.lit("added")))
+    D.set_status(tx, o.filter("scan_id % 5 = 0").select("scan_id", F.lit("cancelled").alias("status")))
+    tx.commit()
+    return c.read("scans")
+
+
+@query
+def files_after_renames(s, d):
+    a = _t(s, d, "part").select(F.lit(1).alias("scan_id"), F.col("p_partkey").alias("file_id"), F.concat(F.lit("/a/"), F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("path"), F.lit("mp4").alias("ext"), F.col("p_size").cast("long").alias("size"), F.lit(5).cast("long").alias("mtime_ns"), (F.col("p_partkey") % 4 > 0).alias("alive"))
+    c = _stored(s, {"files": (a, "file_id")})
+    tx = c.begin()
+    D.rename_files(tx, a.filter("file_id % 6 = 0").select("scan_id", (F.col("file_id") * F.when(F.col("file_id") % 5 == 0, -1).otherwise(1)).alias("file_id"), F.concat("path", F.lit(".Z_dele")).alias("path"), (F.col("size") + 1).alias("size"), F.lit(9).cast("long").alias("mtime_ns")))
+    tx.commit()
+    return c.read("files")
+
+
+@query
+def clone_artifacts(s, d):
+    """Metadata of one scan's files carried over to the next scan's unchanged ones, of one back-end."""
+    k = F.col("p_partkey")
+    meta = _meta(_t(s, d, "part")).drop("probe_error")
+    path = lambda root: F.concat(F.lit(root), k.cast("string"), F.lit(".mp4")).alias("path")
+    source = _t(s, d, "part").select(k.alias("file_id"), path("D:\\Lib\\"), (k * 10).alias("size"), F.when(k % 5 == 0, k).otherwise(k * 7).alias("mtime_ns"))
+    target = _t(s, d, "part").filter(k % 4 > 0).select((k + 1_000_000).alias("file_id"), path("d:/lib/"), F.when(k % 7 == 0, k).otherwise(k * 10).alias("size"), F.when(k % 5 == 0, k).otherwise(k * 7).alias("mtime_ns"))
+    return D.clone_artifacts(source, meta, target, "pyav")
+
+
 @query
 def bench_quota(s, d):
     f = assets(_t(s, d, "documents")).select("path", F.col("source").alias("root"))
