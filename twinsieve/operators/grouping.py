@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from .components import connected_components
+from .numbering import numbered
 
 
 def member_scores(edges: DataFrame) -> DataFrame:
@@ -62,8 +63,7 @@ def group_report(members: DataFrame) -> DataFrame:
     """One row a group, in the default order."""
     keeper = members.filter("keep_default").select("group_id", F.col("file_id").alias("keep_file_id"), F.col("path").alias("keep_path"))
     g = group_metrics(members).join(keeper, "group_id")
-    order = Window.orderBy(F.desc("members"), F.desc("reclaimable_bytes"), "group_id")
-    return g.withColumn("position", F.row_number().over(order)).select(
+    return numbered(g, F.desc("members"), F.desc("reclaimable_bytes"), "group_id").select(
         "position", F.format_string("G%04d", "position").alias("label"), "group_id", "members", "total_size_bytes", "reclaimable_bytes",
         F.round("average_confidence", 6).alias("average_confidence"), "keep_file_id", "keep_path",
     )
@@ -94,8 +94,7 @@ def sorted_groups(members: DataFrame, mode: str) -> DataFrame:
     m = group_metrics(members).withColumn("spread", F.col("largest") - F.col("smallest"))
     sign = F.desc if down == "down" else F.asc
     keys = {"total": ["total_size_bytes", "members"], "count": ["members", "total_size_bytes"], "spread": ["spread", "members", "total_size_bytes"]}[by]
-    w = Window.orderBy(*[sign(k) for k in keys], "tie", "group_id")
-    return m.select("group_id", F.row_number().over(w).alias("position"), "members", "total_size_bytes", "spread")
+    return numbered(m, *[sign(k) for k in keys], "tie", "group_id").select("group_id", "position", "members", "total_size_bytes", "spread")
 
 
 def sorted_rows(members: DataFrame, down: bool) -> DataFrame:

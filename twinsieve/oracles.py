@@ -235,6 +235,20 @@ ORACLES |= {
       CASE WHEN o.event_id IS NULL THEN 'new' WHEN n.event_id IS NULL THEN 'deleted' WHEN floor(o.value / 40) IS NOT DISTINCT FROM floor(n.value / 40) THEN 'unchanged' ELSE 'modified' END AS state
       FROM new n FULL JOIN old o ON n.user_id = o.user_id AND n.event_type = o.event_type""",
     "deleted_keys": f"WITH {_HALF} SELECT user_id, event_type FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.user_id = o.user_id AND n.event_type = o.event_type)",
+    "stream_ordered": """SELECT user_id % 11 AS lane, row_number() OVER (PARTITION BY user_id % 11 ORDER BY ts, event_id) - 1 AS seq, event_id::VARCHAR AS payload, true AS in_order FROM events""",
+    "stream_progress": "SELECT count(*) AS rows, 3 AS full_batches, true AS timed FROM events",
+    "progress_shown": """WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS seq, epoch_us(ts) / 1e6::DOUBLE AS at_s, ['enumerate', 'probe', 'match'][(event_id // 500) % 3 + 1] AS stage, event_id % 41 = 0 AS forced,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+      w AS (SELECT run, seq, k, stage AS l_stage, seq AS l_counter, at_s AS l_at, true AS shown FROM e WHERE k = 1
+        UNION ALL SELECT run, seq, k, CASE WHEN told THEN stage ELSE l_stage END, CASE WHEN told THEN seq ELSE l_counter END, CASE WHEN told THEN at_s ELSE l_at END, told FROM (
+          SELECT e.run, e.seq, e.k, stage, at_s, l_stage, l_counter, l_at, forced OR stage <> l_stage OR e.seq - l_counter >= 400 OR at_s - l_at >= 3600.0::DOUBLE * 24 * 5 AS told FROM w JOIN e ON e.run = w.run AND e.k = w.k + 1))
+      SELECT run, seq FROM w WHERE shown""",
+    "lane_dispatch": f"""WITH {ASSETS}, f AS (SELECT file_id, file_id % 7 AS lane, greatest(1, file_id % 7 % 3) AS cap, row_number() OVER (PARTITION BY file_id % 7 ORDER BY lower(path), path) AS k FROM assets)
+      SELECT file_id, lane, (k - 1) // cap AS turn, row_number() OVER (ORDER BY (k - 1) // cap, lane, k) - 1 AS dispatched FROM f""",
+    "lane_assignment": f"""WITH {ASSETS}, c AS (SELECT unnest(range(7)) AS lane), l AS (SELECT lane, CASE WHEN lane < 5 AND lane % 3 > 0 THEN lane % 3 ELSE 1 END AS cap FROM c),
+      o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM l),
+      x AS (SELECT file_id, file_id % 7 AS lane, row_number() OVER (PARTITION BY file_id % 7 ORDER BY lower(path), path) AS k FROM assets)
+      SELECT file_id, x.lane, (f + (k - 1) % cap)::INT AS task, true AS in_its_task FROM x JOIN o ON o.lane = x.lane""",
     "upsert_latest": f"""WITH {_HALF} SELECT user_id, event_type, event_id, value FROM new UNION ALL
       SELECT user_id, event_type, event_id, value FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.user_id = o.user_id AND n.event_type = o.event_type)""",
     "issue_dedupe": "SELECT event_type, user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1",
@@ -354,3 +368,4 @@ ORACLES |= {
       CASE WHEN file_id % 50 = 0 THEN 'Delete target is missing a valid file_id' ELSE '' END AS error FROM assets""",
     "json_lists": """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'a|B' ELSE '' END AS items, left(html, 50) AS head, right(html, 40) AS tail, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, ['a.b', '.hidden', 'c'][page_id % 3 + 1] AS stem FROM pages""",
 }
+ORACLES["stream_incremental"], ORACLES["stream_failed_files"] = ORACLES["incremental_diff"], ORACLES["failed_files"]

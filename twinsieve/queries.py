@@ -15,6 +15,7 @@ from .operators import matching as M
 from .operators import tables as T
 from .operators.components import connected_components
 from .operators.decoding import decode_frames, probe_files
+from .operators.numbering import dispatch_order, lane_tasks
 from .operators.probe import parse_probe
 from .plans import actions as P
 from .runtime import Scratch, scratch_path
@@ -22,7 +23,9 @@ from .sinks import exports as E
 from .sinks.versions import Catalogue
 from .sources.assets import assets, items, pick
 from .sources.samples import file_digests, write_files
+from .streaming import progress as S
 from .streaming.microbatch import deduped_events
+from .streaming.state import failure_stream, incremental_stream, ordered_stream, run_to_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -763,6 +766,96 @@ def stream_microbatch(s, d):
     return deduped_events(s, d)
 
 
+def _feed(s, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append", per_batch: int = 0) -> tuple[DataFrame, str]:
+    """A stream over a folder that parts are added to one by one, stopped and started again after each; what its batches wrote."""
+    folder, out, checkpoint = (scratch_path(s, f"stream-{n}") for n in ("in", "out", "checkpoint"))
+    for rows in parts:
+        rows.write.mode("append").parquet(folder)
+        feed = s.readStream.schema(rows.schema)
+        feed = feed.option("maxFilesPerTrigger", per_batch) if per_batch else feed
+        run_to_table(make(feed.parquet(folder)), out, checkpoint, mode)
+    return s.read.parquet(out), checkpoint
+
+
+@query
+def stream_incremental(s, d):
+    """Two scans' files as a stream that is stopped in between: the second scan against the first."""
+    parts = [
+        h.select(F.lit(n).cast("long").alias("scan_id"), F.lit(f"2024-01-{15 * n:02d} 00:00:00").cast("timestamp").alias("at"), F.floor(F.col("value") / 40).cast("string").alias("version"), "user_id", "event_type")
+        for n, h in enumerate(_halves(s, d), 1)
+    ]
+    out, _ = _feed(s, parts, lambda f: incremental_stream(f, ["user_id", "event_type"]))
+    return out.filter("scan_id = 2").select("user_id", "event_type", "state")
+
+
+@query
+def stream_failed_files(s, d):
+    """Failure marks and successes as a stream stopped in between: files whose newest mark is a failure."""
+    marks = _failed(s, d).select("scan_id", X.path_key(F.col("path")).alias("key"), F.col("event_id").alias("at"), (F.col("event_id") % 3 == 0).cast("int").alias("bad")).filter("bad = 1 or at % 2 = 0")
+    out, _ = _feed(s, [marks.filter("at % 5 > 1"), marks.filter("at % 5 <= 1")], lambda f: failure_stream(f, ["scan_id", "key"]), mode="update")
+    return T.latest(out, ["scan_id", "key"], F.desc("batch")).filter("bad = 1").select("scan_id", "key", "at")
+
+
+def _sequenced(s, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    lane = F.pmod("user_id", F.lit(11)).cast("long").alias("lane")
+    e = _t(s, d, "events").select(lane, "event_id", "ts")
+    return e.select("lane", (F.row_number().over(Window.partitionBy("lane").orderBy("ts", "event_id")) - 1).cast("long").alias("seq"), F.col("event_id").cast("string").alias("payload"))
+
+
+@query
+def stream_ordered(s, d):
+    """Rows that come in another order, a bounded number of files a batch, released in sequence: lane, seq, row, and whether its batch is not before its predecessor's."""
+    from pyspark.sql import Window
+
+    mixed = _sequenced(s, d).repartition(6, F.xxhash64("payload"))
+    out, _ = _feed(s, [mixed], lambda f: ordered_stream(f, "lane"), per_batch=2)
+    w = Window.partitionBy("lane").orderBy("seq")
+    return out.withColumn("in_order", F.coalesce(F.lag("batch").over(w) <= F.col("batch"), F.lit(True))).select("lane", "seq", "payload", "in_order")
+
+
+@query
+def stream_progress(s, d):
+    """What a listener was told of a stream of bounded batches: rows in all, whether all batches told their stages."""
+    rows = _t(s, d, "events").select("user_id", "event_type")
+    folder, out, checkpoint = (scratch_path(s, f"stream-{n}") for n in ("in", "out", "checkpoint"))
+    rows.repartition(5).write.parquet(folder)
+    with S.ProgressLog.on(s) as log:
+        feed = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        q = feed.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        log.wait(q.id)
+    told = log.table(s)
+    stages = S.stage_seconds(told).filter("stage = 'addBatch'").select("batches")
+    return told.agg(F.sum("rows").cast("long").alias("rows"), F.count_if(F.col("rows") > 0).alias("full_batches")).join(stages.agg((F.sum("batches") > 0).alias("timed")))  # one row each
+
+
+@query
+def progress_shown(s, d):
+    """The progress events that a display shows, by run."""
+    e = _t(s, d, "events")
+    i = F.col("event_id")
+    rows = e.select(F.col("user_id").alias("run"), i.alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), pick(F.floor(i / 500) % 3, "enumerate", "probe", "match").alias("stage"), i.alias("counter"), (i % 41 == 0).alias("forced"))
+    rows = rows.select("run", "seq", (F.col("us") / 1e6).alias("at"), "stage", "counter", "forced")
+    return S.emitted(rows, 400, 3600.0 * 24 * 5).select("run", "seq")
+
+
+@query
+def lane_dispatch(s, d):
+    """Files in the order of a round-robin over drives, some of which give several a turn."""
+    f = assets(_t(s, d, "documents")).select("file_id", (F.col("file_id") % 7).alias("lane"), "path", (F.col("file_id") % 7 % 3).cast("int").alias("cap"))
+    return dispatch_order(f, "lane", [F.lower("path"), "path"], "cap").select("file_id", "lane", "turn", F.col("dispatched").cast("long").alias("dispatched"))
+
+
+@query
+def lane_assignment(s, d):
+    """Each file's task, as the tasks themselves saw it: a drive has as many as its cap."""
+    f = assets(_t(s, d, "documents")).select("file_id", (F.col("file_id") % 7).alias("lane"), "path")
+    caps = s.range(5).select(F.col("id").alias("lane"), (F.col("id") % 3).cast("int").alias("cap"))
+    return lane_tasks(f, "lane", [F.lower("path"), "path"], caps).select("file_id", "lane", "task", (F.spark_partition_id() == F.col("task")).alias("in_its_task"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
 

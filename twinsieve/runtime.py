@@ -4,17 +4,12 @@ from __future__ import annotations
 
 import gc
 import re
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions sent to executors carry this package's code with them: nothing to install there.
-cloudpickle.register_pickle_by_value(sys.modules[__package__])
-
 #: Words of the bitmap of `maybe_in`: 2^18 longs, 2 MB of bits, whatever the input.
 BITMAP_BITS = 24
 
