@@ -218,6 +218,14 @@ def sample_times(duration: Column) -> Column:
     return F.transform(F.array(*[F.lit(p) for p in SAMPLE_PERCENTS]), lambda p: p * F.greatest(F.lit(0.0), duration))
 
 
+def media_duration(container: Column, units: Column, stream: Column, base: Column) -> Column:
+    """Seconds from a container's duration and units a second (or seconds a unit; millionths where neither is told), else from a stream's and its time base."""
+    whole = F.when(units > 1, container / units).when(units > 0, container * units).otherwise(container / 1_000_000.0)
+    part = F.when(base > 0, stream * base)
+    first, second = (F.greatest(F.lit(0.0), F.coalesce(v, F.lit(0.0))) for v in (whole, part))
+    return F.when(first > 0, first).otherwise(second)
+
+
 def audio_text(output: Column) -> Column:
     """The fingerprint that an audio tool's JSON output holds; null where it is missing or blank."""
     text = F.trim(F.get_json_object(output, "$.fingerprint"))

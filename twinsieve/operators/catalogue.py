@@ -60,6 +60,23 @@ def valid_artifacts(files: DataFrame) -> DataFrame:
     return out.withColumn("decision", decision)
 
 
+def cached_artifacts(requested: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """requested(keys, size, mtime_ns) with meta, hashes, audio and the decision: each artifact from the newest cache row that made it of the file as it is now.
+
+    cache: keys, scan_id, row_id, probe_error and each artifact with its <kind>_size and <kind>_mtime_ns.
+    """
+    from .tables import latest
+
+    now = requested.select(*keys, "size", "mtime_ns")
+    valid = valid_artifacts(cache.drop("size", "mtime_ns").join(now.distinct(), keys))
+    out = requested
+    for kind in ("meta", "hashes", "audio"):
+        newest = latest(valid.filter(f"{kind}_ok"), keys, F.desc("scan_id"), F.desc("row_id"))
+        out = out.join(newest.select(*keys, kind), keys, "left")
+    told = F.when(F.col("meta").isNotNull() & F.col("hashes").isNotNull(), "cache_hit").when(F.col("meta").isNotNull(), "fingerprint_only")
+    return out.withColumn("decision", told.otherwise("probe_and_fingerprint"))
+
+
 def cloned(rows: DataFrame, paths: DataFrame, source: int, target: int, key: str = "path") -> DataFrame:
     """rows(scan_id, path, ...) with those of scan source whose path key is among paths' carried over to scan target.
 
@@ -118,8 +135,12 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 def named_sample(files: DataFrame, word: str, most: int, else_all: bool = False) -> DataFrame:
     """The first files in order of (root, path) whose path has the word; else_all: of all files where none has it."""
-    named = files.filter(F.contains(F.lower("path"), F.lit(word)))
-    chosen = files if else_all and not named.take(1) else named
+    has = F.contains(F.lower("path"), F.lit(word))
+    if else_all:
+        any_has = files.agg(F.coalesce(F.bool_or(has), F.lit(False)).alias("_any"))  # one row
+        chosen = files.join(F.broadcast(any_has)).filter(has | ~F.col("_any")).drop("_any")
+    else:
+        chosen = files.filter(has)
     return chosen.orderBy(F.lower("root"), F.lower("path"), "path").limit(most)  # the sample is the feature
 
 

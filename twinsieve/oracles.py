@@ -368,4 +368,50 @@ ORACLES |= {
       CASE WHEN file_id % 50 = 0 THEN 'Delete target is missing a valid file_id' ELSE '' END AS error FROM assets""",
     "json_lists": """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'a|B' ELSE '' END AS items, left(html, 50) AS head, right(html, 40) AS tail, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, ['a.b', '.hidden', 'c'][page_id % 3 + 1] AS stem FROM pages""",
 }
+_HEX = "array_to_string(list_transform(hashes, lambda h: upper(printf('%016x', h))), '')"
+ORACLES |= {
+    "match_items": f"""WITH {ASSETS}, m AS (SELECT *, file_id % 5 AS scan_id, ['pyav', 'ffprobe', ''][file_id % 5 % 3 + 1] AS backend FROM assets)
+      SELECT scan_id, file_id, path, size, mtime_ns, mtime_ns + 1 AS ctime_ns, duration_s, width::INT AS width, height::INT AS height, fps, CASE WHEN file_id % 6 > 0 THEN bit_depth ELSE 8 END::INT AS bit_depth, hdr_format, container, codec_profile, codec_level,
+      is_interlaced, codec, bitrate, audio_stream_count, audio_codec, audio_bitrate, CASE WHEN file_id % 4 = 1 THEN 'eng' ELSE '' END AS audio_languages, '' AS subtitle_languages, {_HEX} AS hashes, audio_fingerprint
+      FROM m WHERE file_id % 23 > 0 AND file_id % 31 > 0 AND duration_s > 0 AND file_id % 19 > 0 AND file_id % 17 > 0 AND (backend = 'pyav' OR (backend = 'ffprobe' AND file_id % 3 > 0))""",
+    "scan_infos": """SELECT DISTINCT doc_id % 5 AS id, 't' AS created_at, 'balanced' AS profile, '/Lib/A|/b' AS roots, 'mp4|mkv' AS extensions, greatest(0.01, least(0.30, doc_id % 5 / 10))::DOUBLE AS custom_similarity_threshold,
+      doc_id % 5 > 0 AND doc_id % 5 % 2 = 0 AS scene_aware_sampling, false AS audio_fingerprint_enabled, CASE doc_id % 5 % 3 WHEN 0 THEN 'any_aspect' ELSE 'off' END AS cross_resolution_mode,
+      CASE doc_id % 5 % 3 WHEN 1 THEN 'ffprobe' ELSE 'pyav' END AS probe_backend, 'k' || doc_id % 5 % 2 AS scan_set_key, CASE doc_id % 5 % 2 WHEN 0 THEN 'done' ELSE 'paused' END AS status FROM documents""",
+    "listed_issues": f"""WITH {ASSETS} SELECT file_id % 5 AS scan_id, 'enumerate' AS stage, path, '' AS message, row_number() OVER (PARTITION BY file_id % 5 ORDER BY file_id DESC) AS position FROM assets WHERE file_id % 13 = 0""",
+    "listed_failures": f"""WITH {ASSETS} SELECT file_id % 5 AS scan_id, lower(path) AS normalized_path, path AS display_path, CASE file_id % 2 WHEN 0 THEN 'probe' ELSE '' END AS stage, '' AS message, '' AS created_at, '' AS updated_at,
+      row_number() OVER (PARTITION BY file_id % 5 ORDER BY lower(path)) AS position FROM assets WHERE file_id % 17 = 0""",
+    "listed_links": f"""WITH {ASSETS} SELECT file_id % 5 AS scan_id, CASE file_id % 3 WHEN 0 THEN 'symlink' ELSE 'hardlink' END AS link_kind, path || '.lnk' AS link_path, path AS target_original_path, file_id % 8 = 0 AS target_exists, '' AS source_root,
+      row_number() OVER (PARTITION BY file_id % 5 ORDER BY path || '.lnk') AS position FROM assets WHERE file_id % 12 = 0""",
+    "file_snapshot": f"""WITH {ASSETS} SELECT file_id % 5 AS scan_id, file_id, path, lower(path) AS normalized_path, size, mtime_ns, mtime_ns + 1 AS ctime_ns, ext, row_number() OVER (PARTITION BY file_id % 5 ORDER BY lower(path), file_id) AS position FROM assets WHERE file_id % 23 > 0""",
+    "group_paths": f"WITH {ASSETS} SELECT file_id - file_id % 10 AS group_id, file_id, path FROM assets",
+    "scan_counts": """WITH d AS (SELECT doc_id AS i, doc_id % 5 AS scan_id FROM documents), g AS (SELECT i AS group_id, scan_id FROM d WHERE i % 10 = 0)
+      SELECT s.scan_id, CASE s.scan_id % 2 WHEN 0 THEN 'done' ELSE 'paused' END AS status, (SELECT count(*) FROM g WHERE g.scan_id = s.scan_id) AS groups,
+      (SELECT count(*) FROM d JOIN g ON g.group_id = d.i - d.i % 10 WHERE g.scan_id = s.scan_id AND d.i % 23 > 0) AS files, (SELECT count(*) FROM d WHERE d.scan_id = s.scan_id AND i % 17 = 0) AS failed FROM (SELECT DISTINCT scan_id FROM d) s""",
+    "newest_scans": """WITH s AS (SELECT DISTINCT doc_id % 5 AS id FROM documents) SELECT 'all' AS asked, max(id) AS id FROM s UNION ALL SELECT 'set', max(id) FROM s WHERE id % 2 = 1 UNION ALL SELECT 'done', max(id) FROM s WHERE id % 2 = 0""",
+    "path_order": f"""WITH {ASSETS}, p AS (SELECT file_id, lower(path) AS key, CASE WHEN file_id % 2 = 0 THEN upper(path) ELSE replace(path, '/', chr(92)) END AS shown FROM assets) SELECT file_id, row_number() OVER (ORDER BY key, shown) AS position FROM p""",
+    "filter_lists": f"""{members()}, c AS (SELECT DISTINCT 'ext' AS kind, ext AS value FROM members UNION ALL SELECT DISTINCT 'codec', CASE WHEN file_id % 2 = 0 THEN upper(codec) ELSE codec END FROM members)
+      SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY lower(value), value)::INT AS position, value FROM c WHERE value <> ''""",
+    "filter_ranges": filtered("size >= 524 AND size <= 4194 AND duration_s >= 60 AND duration_s <= 400 AND similarity_score >= 0.9 AND width >= 640 AND height >= 480 AND hdr_format = ''"),
+    "recent_roots": """WITH e AS (SELECT user_id AS owner, event_id AS i, ['/Lib/', '/LIB/'][event_id % 2 + 1] || event_id % 37 AS root FROM events WHERE event_id % 9 > 0),
+      f AS (SELECT owner, lower(root) AS k, min(i) AS i, arg_min(root, i) AS root FROM e GROUP BY owner, lower(root))
+      SELECT owner, root, row_number() OVER (PARTITION BY owner ORDER BY i)::INT AS position FROM f QUALIFY position <= 20""",
+    "run_document": f"""WITH {_LANES}, x AS (SELECT lane, ['pyav', 'ffmpeg'][floor(elapsed_s)::BIGINT % 3 + 1] AS decoder FROM lanes WHERE status = 'success'), c AS (SELECT lane, decoder, count(*) AS n FROM x WHERE decoder IS NOT NULL GROUP BY ALL),
+      k AS (SELECT lane, string_agg(decoder || '=' || n, '+' ORDER BY decoder) AS mix FROM c GROUP BY lane), g AS (SELECT greatest(1, count(*)) AS lanes, sum(failures) AS f, sum(timeouts) AS t, sum(fallbacks) AS b FROM m)
+      SELECT (SELECT count(*) FROM lanes) AS analyzed_files, (SELECT sum(successes) FROM m)::BIGINT AS success_count, f::BIGINT AS failure_count, b::BIGINT AS fallback_count, t::BIGINT AS decoder_timeout_count, 'mixed' AS set_id, 16 AS worker_limit,
+      CASE WHEN f > 0 THEN 'failures' WHEN t > 0 OR b >= lanes THEN 'pressure' ELSE 'healthy' END AS reason, CASE WHEN f > 0 OR t > 0 OR b >= lanes THEN least(16, lanes) ELSE 16 END::INT AS workers,
+      (SELECT string_agg(lane || ':' || files || ':' || coalesce(mix, ''), ',' ORDER BY lane) FROM m LEFT JOIN k USING (lane)) AS lanes FROM g""",
+    "run_counters": """SELECT count(*) AS scanned_files, count_if(doc_id % 4 IN (0, 3))::BIGINT AS cached_files, count_if(doc_id % 4 IN (1, 2))::BIGINT AS fingerprinted_files, count_if(doc_id % 4 = 1)::BIGINT AS fingerprint_only_files,
+      count_if(doc_id % 10 = 0)::BIGINT AS duplicate_groups, count_if(doc_id % 13 = 0)::BIGINT AS issues, 'probe:1.500,matching:0.250' AS timings_s FROM documents""",
+    "cached_artifacts": """WITH n AS (SELECT user_id, event_type, max(event_id) % 3 AS size, max(event_id) % 2 AS mtime_ns FROM events GROUP BY ALL),
+      v AS (SELECT n.*, event_id AS i, event_id % 2 > 0 AND event_id % 3 > 0 AND event_id % 7 > 0 AS meta_ok, event_id % 3 > 0 AND event_id % 2 > 0 AS hashes_ok, event_id % 5 > 0 AND event_id % 4 > 0 AS audio_ok
+        FROM n JOIN events e ON e.user_id = n.user_id AND e.event_type = n.event_type AND e.event_id % 3 = size AND e.event_id % 2 = mtime_ns),
+      p AS (SELECT user_id, event_type, size, mtime_ns, max(CASE WHEN meta_ok THEN i END) AS meta, max(CASE WHEN hashes_ok THEN i END) AS hashes, max(CASE WHEN audio_ok THEN i END) AS audio FROM n LEFT JOIN v USING (user_id, event_type, size, mtime_ns) GROUP BY ALL)
+      SELECT *, CASE WHEN meta IS NOT NULL AND hashes IS NOT NULL THEN 'cache_hit' WHEN meta IS NOT NULL THEN 'fingerprint_only' ELSE 'probe_and_fingerprint' END AS decision FROM p""",
+    "media_durations": """WITH p AS (SELECT p_partkey, p_partkey::DOUBLE AS n, p_partkey % 3 AS k FROM part), q AS (SELECT *, CASE WHEN p_partkey % 5 > 0 THEN CASE k WHEN 0 THEN n * 1000 / 1000 WHEN 1 THEN n * 1000 * 0.001::DOUBLE ELSE n * 1000 / 1000000 END ELSE 0 END AS c,
+      CASE WHEN p_partkey % 4 > 0 AND p_partkey % 7 > 0 THEN n * 90 * (1 / 90000.0::DOUBLE) ELSE 0 END AS s FROM p) SELECT p_partkey, round(CASE WHEN c > 0 THEN c ELSE s END, 6) AS duration_s FROM q""",
+    "listed_files": """WITH p AS (SELECT 'r' || page_id % 3 || '-' || page_id || ['.MP4', '.mkv', '.txt', '.mp4'][page_id % 4 + 1] AS name, octet_length(encode(html)) AS size, page_id FROM pages)
+      SELECT 'file' AS kind, name, size FROM p WHERE page_id % 4 <> 2 AND size >= 0.0005 * 1048576 AND size <= 0.005 * 1048576 UNION ALL VALUES ('issue', 'none', 19), ('issue', 'share', 29)""",
+    "action_history": """WITH d AS (SELECT doc_id AS i, doc_id % 5 AS s FROM documents), n AS (SELECT s, count(*) AS items, count_if(i % 7 > 0)::BIGINT AS done, count_if(i % 7 = 0)::BIGINT AS failed, 'busy ' || min(CASE WHEN i % 7 = 0 THEN i END) AS first_error FROM d WHERE s < 4 GROUP BY s)
+      SELECT r.s + 100 AS id, r.s AS scan_id, 'rename' AS mode, 'done' AS status, coalesce(items, 0) AS items, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed, first_error FROM (SELECT DISTINCT s FROM d) r LEFT JOIN n USING (s)""",
+}
 ORACLES["stream_incremental"], ORACLES["stream_failed_files"] = ORACLES["incremental_diff"], ORACLES["failed_files"]

@@ -11,6 +11,7 @@ from .functions import exprs as X
 from .operators import catalogue as C
 from .operators import changes as D
 from .operators import grouping as G
+from .operators import listings as L
 from .operators import matching as M
 from .operators import tables as T
 from .operators.components import connected_components
@@ -22,6 +23,8 @@ from .runtime import Scratch, scratch_path
 from .sinks import exports as E
 from .sinks.versions import Catalogue
 from .sources.assets import assets, items, pick
+from .sources import schemas as H
+from .sources.listing import list_files
 from .sources.samples import file_digests, write_files
 from .streaming import progress as S
 from .streaming.microbatch import deduped_events
@@ -766,6 +769,189 @@ def stream_microbatch(s, d):
     return deduped_events(s, d)
 
 
+def _library(s, d) -> dict[str, DataFrame]:
+    """The stored tables of five scans of the assets, typed; some metadata, hashes and sounds are missing, some marks and flags set."""
+    a = assets(_t(s, d, "documents"))
+    i, scan = F.col("file_id"), F.col("file_id") % 5
+    key = X.path_key(F.col("path"))
+    own = lambda b: a.filter(i % 3 > 0) if b == "ffprobe" else a
+    meta = [
+        own(b).select("*", F.lit(b).alias("probe_backend")).withColumn("duration_s", F.when(i % 31 == 0, 0.0).otherwise(F.col("duration_s"))).withColumn("bit_depth", F.when(i % 6 > 0, F.col("bit_depth")))
+        .withColumn("hdr_format", F.when(F.col("hdr_format") != "", F.col("hdr_format"))).withColumn("audio_languages", F.when(i % 4 == 1, "eng")) for b in ("pyav", "ffprobe")
+    ]
+    made = a.filter(i % 19 > 0)
+    prints = [made.select("file_id", F.lit(b).alias("probe_backend"), F.lit(v).alias("algo_version"), F.unhex(X.encode_hashes(F.col("hashes"))).alias("hash_blob")) for b, v in (("pyav", 1), ("ffprobe", 1), ("pyav", 2))]
+    scans = a.select(scan.alias("id")).distinct().select(
+        "id", F.lit("t").alias("created_at"), F.lit("balanced").alias("profile"), F.lit('[" /Lib/A ","","/Lib/A","/b"]').alias("roots_json"), F.lit('[".MP4","mkv","mp4"]').alias("extensions_json"),
+        (F.col("id") / 10).alias("custom_similarity_threshold"), F.when(F.col("id") > 0, F.col("id") % 2 == 0).alias("scene_aware_sampling"), pick(F.col("id") % 3, " Any_Aspect", "x", None).alias("cross_resolution_mode"),
+        pick(F.col("id") % 3, "pyav", "ffprobe", "").alias("probe_backend"), F.concat(F.lit("k"), (F.col("id") % 2).cast("string")).alias("scan_set_key"), pick(F.col("id") % 2, "done", "paused").alias("status"),
+    )
+    rows = {
+        "scans": scans,
+        "files": a.select(i.alias("id"), "path", key.alias("normalized_path"), "size", "mtime_ns", (F.col("mtime_ns") + 1).alias("ctime_ns"), "ext", scan.alias("scan_id"), (i % 23 > 0).alias("exists_flag")),
+        "video_meta": meta[0].unionByName(meta[1]), "fingerprints": prints[0].unionByName(prints[1]).unionByName(prints[2]),
+        "audio_fingerprints": a.filter(i % 2 == 0).select("file_id", F.col("audio_fingerprint").alias("fingerprint_text")),
+        "scan_failed_files": a.filter(i % 17 == 0).select(scan.alias("scan_id"), key.alias("normalized_path"), F.col("path").alias("display_path"), pick(i % 2, "probe", None).alias("stage")),
+        "scan_issues": a.filter(i % 13 == 0).select((1_000_000 - i).alias("id"), scan.alias("scan_id"), F.lit("enumerate").alias("stage"), "path"),
+        "scan_links": a.filter(i % 12 == 0).select(scan.alias("scan_id"), pick(i % 3, " SymLink", "hard", "x").alias("link_kind"), F.concat("path", F.lit(".lnk")).alias("link_path"), F.col("path").alias("target_original_path"), (i % 8 == 0).alias("target_exists_flag")),
+        "duplicate_groups": a.filter(i % 10 == 0).select(i.alias("id"), scan.alias("scan_id"), F.lit("balanced").alias("profile")),
+        "duplicate_group_items": a.select((i - i % 10).alias("group_id"), i.alias("file_id")),
+        "action_runs": scans.select((F.col("id") + 100).alias("id"), F.col("id").alias("scan_id"), F.lit("rename").alias("mode"), F.lit("done").alias("status")),
+        "action_items": a.filter(i % 5 < 4).select(i.alias("id"), (scan + 100).alias("run_id"), i.alias("file_id"), F.col("path").alias("source_path"), F.when(i % 7 > 0, "ok").otherwise("error").alias("result"), F.when(i % 7 == 0, F.concat(F.lit("busy "), i.cast("string"))).alias("error_text")),
+    }
+    return {name: H.typed(name, r) for name, r in rows.items()}
+
+
+@query
+def match_items(s, d):
+    """The files of each scan that can be matched, from tables in buckets of the file."""
+    import uuid
+
+    t = _library(s, d)
+    run = uuid.uuid4().hex[:12]
+    for name in ("files", "video_meta", "fingerprints", "audio_fingerprints"):
+        t[name] = H.store_bucketed(s, name, t[name], f"{name}_{run}", scratch_path(s, name), buckets=8)
+    out = L.match_items(t, algo_version=1)
+    return out.withColumn("hashes", X.encode_hashes(F.col("hashes")))
+
+
+@query
+def scan_infos(s, d):
+    out = L.scan_info(_library(s, d)["scans"])
+    return out.withColumn("roots", F.array_join("roots", "|")).withColumn("extensions", F.array_join("extensions", "|"))
+
+
+@query
+def listed_issues(s, d):
+    return L.issue_rows(_library(s, d))
+
+
+@query
+def listed_failures(s, d):
+    return L.failed_rows(_library(s, d))
+
+
+@query
+def listed_links(s, d):
+    return L.link_rows(_library(s, d))
+
+
+@query
+def file_snapshot(s, d):
+    return L.snapshot(_library(s, d))
+
+
+@query
+def group_paths(s, d):
+    return L.group_paths(_library(s, d))
+
+
+@query
+def scan_counts(s, d):
+    return L.scan_counts(_library(s, d))
+
+
+@query
+def newest_scans(s, d):
+    """The newest scan of all, of a set, of a set's that are done, and of a blank set, which has none."""
+    t = _library(s, d)["scans"]
+    asked = {"all": {}, "set": {"key": " k1 "}, "done": {"key": "k0", "status": "done"}, "blank": {"key": " "}}
+    rows = [L.newest(t, **o).select(F.lit(n).alias("asked"), "id") for n, o in asked.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query
+def path_order(s, d):
+    """Files numbered in order of path, letter case and kind of slash aside."""
+    from .operators.numbering import numbered
+
+    a = assets(_t(s, d, "documents")).select("file_id", F.when(F.col("file_id") % 2 == 0, F.upper("path")).otherwise(F.replace("path", F.lit("/"), F.lit("\\"))).alias("path"))
+    return numbered(a.withColumn("key", X.path_key(F.col("path"))), "key", "path").select("file_id", "position")
+
+
+@query
+def filter_lists(s, d):
+    return L.filter_lists(_members(s, d).withColumn("codec", F.when(F.col("file_id") % 2 == 0, F.upper("codec")).otherwise(F.col("codec"))))
+
+
+@query
+def filter_ranges(s, d):
+    wanted = L.structured(min_mib=0.0005, max_mib=0.004, min_s=60, max_s=400, similarity=0.9, width=640, height=480, hdr="exclude")
+    return G.filtered(_members(s, d), include=wanted).select("group_id", "file_id")
+
+
+@query
+def recent_roots(s, d):
+    e = _t(s, d, "events")
+    i = F.col("event_id")
+    rows = e.select(F.col("user_id").alias("owner"), i.alias("at"), F.when(i % 9 > 0, F.concat(pick(i % 2, " /Lib/", "/LIB/"), (i % 37).cast("string"))).otherwise(" ").alias("root"))
+    return L.recent_roots(rows)
+
+
+@query
+def run_document(s, d):
+    """The numbers that a run's document holds."""
+    rows = _lanes(s, d)
+    lanes = T.lane_metrics(rows)
+    mix = C.decoder_mix(rows.withColumn("decoder", pick(F.floor("elapsed_s") % 3, "pyav", "ffmpeg", None)))
+    doc = L.run_document(C.run_summary(rows), lanes, mix, T.guidance(lanes, 16), {"set_id": "mixed", "worker_limit": 16})
+    kind = "struct<analyzed_files:long,success_count:long,failure_count:long,fallback_count:long,decoder_timeout_count:long,set_id:string,worker_limit:int,guidance:struct<reason:string,recommended_workers:int>,lane_metrics:array<struct<lane:long,files:long,decoder_mix:map<string,long>>>>"
+    j = doc.select(F.from_json("json", kind).alias("j")).select("j.*")
+    mixed = lambda x: F.array_join(F.transform(F.array_sort(F.map_entries(x["decoder_mix"])), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "+")
+    return j.select(
+        "analyzed_files", "success_count", "failure_count", "fallback_count", "decoder_timeout_count", "set_id", "worker_limit", F.col("guidance.reason").alias("reason"), F.col("guidance.recommended_workers").alias("workers"),
+        F.array_join(F.transform("lane_metrics", lambda x: F.concat_ws(":", x["lane"].cast("string"), x["files"].cast("string"), mixed(x))), ",").alias("lanes"),
+    )
+
+
+@query
+def action_history(s, d):
+    t = _library(s, d)
+    return L.action_history(t["action_runs"], t["action_items"]).select("id", "scan_id", "mode", "status", "items", "done", "failed", "first_error")
+
+
+@query
+def run_counters(s, d):
+    """Files by decision, groups and issues of a scan in one row."""
+    t = _library(s, d)
+    rows = t["files"].select(pick(F.col("id") % 4, "cache_hit", "fingerprint_only", "probe_and_fingerprint", "cache_hit").alias("decision"))
+    return L.run_counters(rows, t["duplicate_groups"], t["scan_issues"], {"probe": 1.5, "matching": 0.25})
+
+
+@query
+def cached_artifacts(s, d):
+    """What of each file need not be made again, from the newest row that is still true of it."""
+    i = F.col("event_id")
+    e = _t(s, d, "events")
+    now = e.groupBy("user_id", "event_type").agg(F.max("event_id").alias("n")).select("user_id", "event_type", (F.col("n") % 3).alias("size"), (F.col("n") % 2).alias("mtime_ns"))
+    kinds = {"meta": (2, 3), "hashes": (3, 2), "audio": (5, 4)}
+    cols = [c for k, (m, z) in kinds.items() for c in (F.when(i % m > 0, i).alias(k), (i % 3).alias(f"{k}_size"), F.when(i % z > 0, i % 2).alias(f"{k}_mtime_ns"))]
+    cache = e.select("user_id", "event_type", F.floor(i / 100).alias("scan_id"), i.alias("row_id"), *cols, F.when(i % 7 == 0, "broken").alias("probe_error"))
+    return C.cached_artifacts(now, cache, ["user_id", "event_type"])
+
+
+@query
+def media_durations(s, d):
+    n = F.col("p_partkey")
+    container = F.when(n % 5 > 0, n * 1000.0)
+    units, stream, base = F.when(n % 3 == 0, 1000.0).when(n % 3 == 1, 0.001), F.when(n % 4 > 0, n * 90.0), F.when(n % 7 > 0, 1 / 90000.0).otherwise(0.0)
+    return _t(s, d, "part").select("p_partkey", F.round(X.media_duration(container, units, stream, base), 6).alias("duration_s"))
+
+
+@query
+def listed_files(s, d):
+    """Files written under three roots, listed again by extension and size; a root that is missing and a network path are issues."""
+    folder = scratch_path(s, "roots")
+    local = folder.removeprefix("file://").removeprefix("file:")
+    i = F.col("page_id")
+    rows = _t(s, d, "pages").select("page_id", F.concat(F.lit("r"), (i % 3).cast("string"), F.lit("-"), i.cast("string"), pick(i % 4, ".MP4", ".mkv", ".txt", ".mp4")).alias("name"), "html")
+    Scratch(s).cut(write_files(rows, local, "name", "html"), "written")
+    files, links, issues = list_files(s, [local, f"{local}/none", "//server/share"], [" .MP4", "mkv"], 0.0005, 0.005)
+    name = F.element_at(F.split("path", "/"), -1)
+    told = files.select(F.lit("file").alias("kind"), name.alias("name"), "size").unionByName(links.select(F.col("link_kind").alias("kind"), F.element_at(F.split("link_path", "/"), -1).alias("name"), F.lit(0).cast("long").alias("size")))
+    return told.unionByName(issues.select(F.lit("issue").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.length("message").cast("long").alias("size")))
+
+
 def _feed(s, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append", per_batch: int = 0) -> tuple[DataFrame, str]:
     """A stream over a folder that parts are added to one by one, stopped and started again after each; what its batches wrote."""
     folder, out, checkpoint = (scratch_path(s, f"stream-{n}") for n in ("in", "out", "checkpoint"))
