@@ -15,7 +15,7 @@ answers are k rows a query, and the nearest over all shards are ranked per query
 Defined cases: vectors null, zero, or with null or non-finite components take no part, as
 query or as candidate; vectors only meet vectors of their dimension; a query never finds rows
 of its own vec_id; repeated query rows are one query, rows of one vec_id with different vectors
-several; copies tie and go by vec_id; an empty table gives no rows; further columns
+several; repeated candidate rows are counted first, compared once and take a rank each; copies tie and go by vec_id; an empty table gives no rows; further columns
 are ignored.
 """
 
@@ -90,8 +90,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each of queries(vec_id, embedding) its k nearest vectors: query_id, rank, vec_id, score."""
     scratch = Scratch(vectors.sparkSession)
-    rows, asked = usable(vectors), usable(queries).distinct()
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    rows = usable(vectors).groupBy("vec_id", "embedding").agg(F.count("*").alias("times"))
+    asked = usable(queries).distinct().withColumn("times", F.lit(1).cast("bigint"))
+    shards = max(1, -(-usable(vectors).count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
 
     def packed(df: DataFrame, parts: int, name: str) -> DataFrame:
@@ -101,10 +102,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             raw = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             ids = pdf["vec_id"].fillna(np.iinfo(np.int64).min).astype(np.int64).to_numpy()
             nos = pdf["no"].to_numpy(np.int64)
-            return pd.DataFrame({"dim": [int(key[0])], name: [int(key[1])], "ids": [ids.tobytes()], "nos": [nos.tobytes()], "matrix": [raw.tobytes()]})
+            return pd.DataFrame({"dim": [int(key[0])], name: [int(key[1])], "ids": [ids.tobytes()], "nos": [nos.tobytes()], "times": [pdf["times"].to_numpy(np.int64).tobytes()], "matrix": [raw.tobytes()]})
 
-        keyed = df.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).alias(name), "vec_id", "embedding", F.xxhash64("embedding").alias("no"))
-        return keyed.groupBy("dim", name).applyInPandas(pack, f"dim long, {name} long, ids binary, nos binary, matrix binary")
+        # by the row alone: a task that runs again deals its rows the same way
+        keyed = df.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)).alias(name), "vec_id", "embedding", F.xxhash64("embedding").alias("no"), "times")
+        return keyed.groupBy("dim", name).applyInPandas(pack, f"dim long, {name} long, ids binary, nos binary, times binary, matrix binary")
 
     index = scratch.cut(packed(rows, shards, "shard"), "ann-index")
     ask = scratch.cut(packed(asked, blocks, "block"), "ann-queries")
@@ -112,32 +114,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def search(batches):
         import pyarrow as pa
 
-        shard, shard_key = None, None
+        shard, shard_key, times = None, None, None
         none = np.iinfo(np.int64).min
-        schema = pa.schema([("query_id", pa.int64()), ("no", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query_id", pa.int64()), ("no", pa.int64()), ("vec_id", pa.int64()), ("times", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             for r in batch.to_pylist():
                 ids, matrix = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["matrix"], np.float64).reshape(-1, r["dim"])
                 if r["block"] < 0:  # the shard comes before its blocks
-                    shard_key, shard = (r["dim"], r["shard"]), Shard(ids, matrix)
+                    shard_key, shard, times = (r["dim"], r["shard"]), Shard(ids, matrix), np.frombuffer(r["times"], np.int64)
                     continue
                 if shard_key != (r["dim"], r["shard"]):
                     raise ValueError("a block of queries without its shard")
-                found, of, nos, score = [], [], [], []
+                found, of, nos, score, many = [], [], [], [], []
                 for own, no, v in zip(ids.tolist(), np.frombuffer(r["nos"], np.int64).tolist(), matrix, strict=True):
                     at, s = shard.search(own, v, k)
                     found.append(shard.ids[at])
                     score.append(s)
+                    many.append(times[at])
                     of.append(np.full(len(at), own))
                     nos.append(np.full(len(at), no))
                 of, found = np.concatenate(of), np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(of, mask=of == none), pa.array(np.concatenate(nos)), pa.array(found, mask=found == none), pa.array(np.concatenate(score)),
+                    pa.array(of, mask=of == none), pa.array(np.concatenate(nos)), pa.array(found, mask=found == none), pa.array(np.concatenate(many)), pa.array(np.concatenate(score)),
                 ], schema=schema)
 
-    sent = ask.join(index.select("dim", "shard"), "dim").select("dim", "shard", "block", "ids", "nos", "matrix")
-    held = index.select("dim", "shard", F.lit(-1).cast("long").alias("block"), "ids", "nos", "matrix")
+    sent = ask.join(index.select("dim", "shard"), "dim").select("dim", "shard", "block", "ids", "nos", "times", "matrix")
+    held = index.select("dim", "shard", F.lit(-1).cast("long").alias("block"), "ids", "nos", "times", "matrix")
     both = held.unionByName(sent).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block")
-    found = both.mapInArrow(search, "query_id long, no long, vec_id long, score double")
+    found = both.mapInArrow(search, "query_id long, no long, vec_id long, times long, score double")
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("times"), F.lit(k)).cast("int"))))
     rank = F.row_number().over(Window.partitionBy("query_id", "no").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
