@@ -214,7 +214,8 @@ def keep_known(documents: DataFrame) -> DataFrame:
     columns = documents.columns
     model = fit(documents)
     row = documents.select(F.struct(*[documents[c] for c in columns]).alias("row"), "doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    row = row.withColumn("key", F.xxhash64("doc_id", "text", "declared", "host"))
+    told = ("doc_id", "text", "declared", "host")
+    row = row.withColumn("key", F.xxhash64(*[c for n in told for c in (F.col(n).isNull(), F.col(n))]))  # a hash passes over nulls
     narrow = text_evidence(row, "text", model, ["key", "declared", "host"])
     scored = Scratch(documents.sparkSession).cut(narrow, "document-evidence")
     fused = fuse(scored, model[0], declared="declared", suffix=None, host="host", domain=None)
