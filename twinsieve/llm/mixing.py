@@ -107,9 +107,13 @@ def _solve(state: DataFrame, hist: DataFrame, cap: float, scratch: Scratch, most
     raise RuntimeError(f"no mix within {most} steps; (source, target, words missed): {missed}")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").isNull(), "text").alias("h")
+
+
 def _ordinal() -> Column:
-    """Tells repeated rows of a doc_id apart."""
-    return F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("size"))
+    """Tells rows of a doc_id apart by the hash of their text, and exact repeats, which may stand for each other, by number."""
+    return F.xxhash64("h", F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("h")))
 
 
 def mix_rates(
@@ -119,8 +123,8 @@ def mix_rates(
     """docs(doc_id, text, source): doc_id, ord, source, size, source_size, target, rate, copies, taken."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = scratch.cut(sized.withColumn("ord", _ordinal()), "mix-sizes")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _text_hash())
+    sized = scratch.cut(sized.withColumn("ord", _ordinal()).drop("h"), "mix-sizes")
     hist = scratch.cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
     sources = hist.groupBy("source").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).alias("squares")
@@ -216,7 +220,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("ord").alias("_ord"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
     )
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    full = docs.select(row, "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("_n", _ordinal())
+    full = docs.select(row, "doc_id", "source", word_count(F.col("text")).alias("size"), _text_hash()).withColumn("_n", _ordinal())
     on = (
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
         & (F.col("size") == F.col("_size")) & (F.col("_n") == F.col("_ord"))
