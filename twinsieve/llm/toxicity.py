@@ -245,10 +245,10 @@ def train(documents: DataFrame, labels: DataFrame, fold: int = 5) -> Network:
     share = F.when(F.col("toxic") == 1, F.lit(1.05 * TRAIN_DOCS / max(1, sizes.get(1, 1)))).otherwise(F.lit(1.05 * TRAIN_DOCS / max(1, sizes.get(0, 1))))
     chosen = kept.filter(draw < share)  # at most about 2 * TRAIN_DOCS rows, a few bytes each
     rows = (
-        documents.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS)
-        .join(F.broadcast(chosen), "doc_id").collect()
+        documents.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).collect()  # the last text of an id, a row an id
     )
-    rows = [r for _, r in sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: r["text"])}.items())]  # the last text of an id
+    rows.sort(key=lambda r: r["doc_id"])
     net = Network()
     net.fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
     return net
