@@ -177,7 +177,8 @@ class Network:
         g = np.random.default_rng(seed)
         y = np.asarray(y, np.float32)
         self.base = float(min(0.49, (y.sum() + 0.5) / (len(y) + 1.0)))
-        if not 0 < y.sum() < len(y):
+        if not 0 < y.sum() < len(y):  # nothing to tell apart: every text scores the share
+            self.p["w"][:], self.p["b"][:] = 0, np.log(self.base / (1 - self.base))
             return
         words = Words(texts)
         index, text = words.windows()
@@ -191,6 +192,11 @@ class Network:
             in_all = np.bincount(seen % size, minlength=size)
             odds = np.log((in_bad + 0.5 * y.mean()) / (y.sum() + 0.5)) - np.log((in_all - in_bad + 0.5) / (len(y) - y.sum() + 0.5))
             self.p[name][:, 0] = np.clip(value * odds * (in_all > 1), -3, 3)
+            # and how sure that is: the root of the likelihood ratio, which rare slots cannot reach by chance
+            share = y.mean()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.nan_to_num(in_bad * np.log(in_bad / (in_all * share))) + np.nan_to_num((in_all - in_bad) * np.log((in_all - in_bad) / (in_all * (1 - share))))
+            self.p[name][:, 1] = np.clip(np.sign(odds) * np.sqrt(np.maximum(0, 2 * ratio)) / 3, -3, 3)
         m, v, step = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2)), None, 0
         m, v = m
         epochs = max(epochs, min(60, -(-MIN_STEPS * BATCH // (3 * len(texts)))))  # few texts need more rounds
