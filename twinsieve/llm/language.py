@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import bound
 from ..runtime import Scratch
 from .tokens import in_batches
 
@@ -113,10 +114,11 @@ def text_evidence(rows: DataFrame, text: str, model: tuple[list[str], np.ndarray
     return rows.select(*dict.fromkeys([*keep, text])).mapInArrow(score, schema)
 
 
-def _posterior(ll: Column, n: int) -> Column:
-    """Normalised exp of an array of log weights."""
-    e = F.transform(ll, lambda x: F.exp(x - F.array_max(ll)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def _posterior(ll: Column) -> Column:
+    """Normalised exp of an array of log weights; each step is bound, so that it is computed once wherever this stands."""
+    above = lambda v: bound(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    shares = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda t: F.transform(e, lambda x: x / t))
+    return bound(bound(ll, above), shares)
 
 
 def fuse(
@@ -128,7 +130,7 @@ def fuse(
     n = len(names)
     # uniform prior but for und, which the language of a web text rarely is
     start = F.array(*[F.lit(float(np.log(0.02 if x == UND else 0.98 / max(1, n - 1)))) for x in names])
-    soft = scored.filter("n_trigrams > 0").withColumn("_p", _posterior(F.zip_with("ll", start, lambda a, b: a + b), n))
+    soft = scored.filter("n_trigrams > 0").withColumn("_p", _posterior(F.zip_with("ll", start, lambda a, b: a + b)))
     sums = [F.sum(F.col("_p")[i]).alias(f"s{i}") for i in range(n)]
     cells = [F.col(f"s{i}") for i in range(n)]
     total = soft.agg(*sums, F.sum(F.lit(1.0)).alias("_rows"))
@@ -162,9 +164,9 @@ def fuse(
         out = joined(out, table.select(host, *columns), host, "host")
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
         others = lambda c: F.zip_with(c, "_own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
-        smooth = lambda c, p, w: F.zip_with(c, p, lambda x, y: (x + w * y) / (total(c) + w))
+        smooth = lambda c, p, w: bound(c, lambda v: bound(total(v), lambda t: F.zip_with(v, p, lambda x, y: (x + w * y) / (t + w))))
         base_array, flat = F.array(*[F.lit(float(b)) for b in base]), F.array(*[F.lit(0.0)] * n)
-        own = F.when(F.col("n_trigrams") > 0, _posterior(F.zip_with("ll", start, lambda a, b: a + b), n)).otherwise(flat)
+        own = F.when(F.col("n_trigrams") > 0, _posterior(F.zip_with("ll", start, lambda a, b: a + b))).otherwise(flat)
         out = out.withColumn("_own", own).withColumn("_host_n", others("_host_n"))
         prior = base_array
         if domain:
@@ -174,11 +176,11 @@ def fuse(
         logs = F.zip_with("_host_prior", base_array, lambda a, b: F.log(a) - F.log(b))
         evidence.append(F.when(F.col("_host_n").isNull(), flat).otherwise(logs))
     ll = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), evidence)
-    out = out.withColumn("_post", _posterior(ll, n)).withColumn("score", F.array_max("_post"))
-    best = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("_post", F.col("score")).cast("int"))
-    out = out.withColumn("detected", best)
+    best = lambda p, m: F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(p, m).cast("int"))
+    told = bound(_posterior(ll), lambda p: bound(F.array_max(p), lambda m: F.struct(m.alias("score"), best(p, m).alias("detected"))))
+    out = out.withColumn("_told", told).withColumn("score", F.col("_told.score")).withColumn("detected", F.col("_told.detected"))
     rejected = (F.col("n_trigrams") == 0) | (F.col("detected") == UND) | (F.col("score") < 0.5)
-    return out.withColumn("rejected", rejected).drop("_post", "_own", "_host_n", "_domain_n", "_host_prior", *[f"_{k}_ll" for k in (declared, suffix) if k])
+    return out.withColumn("rejected", rejected).drop("_told", "_own", "_host_n", "_domain_n", "_host_prior", *[f"_{k}_ll" for k in (declared, suffix) if k])
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
