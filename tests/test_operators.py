@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,14 @@ def test_stream_resumes(spark, tmp_path):
             row(*batch)
         run_available(spark, feed(), ["k"], f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+def test_digits_as_printf(spark):
+    g = random.Random(3)
+    values = [0.0, -0.25, 244.25, 0.9615, 0.8125, 2.5, 1e-9, 0.05, 1e12 + 0.25, 3e15] + [g.randrange(1, 4000) / 2000 for _ in range(300)] + [g.uniform(0, 1e6) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for digits in (1, 3, 4):
+        got = [r[0] for r in df.select(X.fixed(F.col("v"), digits)).collect()]
+        assert got == [f"{v:.{digits}f}" for v in values] + [None]
+    (size,) = spark.range(1).select(X.bytes_text(F.lit(65536 * 977 * 4))).first()
+    assert size == "244.2 MB"
