@@ -150,9 +150,9 @@ def display_rows(members: DataFrame) -> DataFrame:
     label = F.when(F.col("match_reason") == "trimmed_match", "Trimmed").when(F.col("match_reason") == "audio_match", "Audio").otherwise("Perceptual")
     return members.select(
         "group_id", "file_id", name.alias("name"), F.regexp_replace(X.suffix(F.col("path")), r"^\.", "").alias("extension"), F.format_string("%,d", F.col("size").cast("bigint")).alias("size"),
-        F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")).alias("resolution"), F.when(F.col("fps") > 0, F.format_string("%.3f", "fps")).otherwise("").alias("fps"),
+        F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")).alias("resolution"), F.when(F.col("fps") > 0, X.fixed(F.col("fps"), 3)).otherwise("").alias("fps"),
         F.when(F.col("is_interlaced"), "Yes").otherwise("").alias("interlaced"), F.when(F.col("bit_depth") > 0, F.concat(F.col("bit_depth").cast("string"), F.lit("-bit"))).otherwise("").alias("bit_depth"),
-        F.format_string("%.1fs", "duration_s").alias("duration"), F.format_string("%.3f", "similarity_score").alias("similarity"), label.alias("match"), X.parent(F.col("path")).alias("parent"),
+        F.concat(X.fixed(F.col("duration_s"), 1), F.lit("s")).alias("duration"), X.fixed(F.col("similarity_score"), 3).alias("similarity"), label.alias("match"), X.parent(F.col("path")).alias("parent"),
     )
 
 
