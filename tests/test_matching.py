@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinsieve.operators import grouping as G
 from twinsieve.operators import matching as M
@@ -73,3 +74,36 @@ def test_group_keeps_the_oldest_of_equals(spark):
     assert set(m) == {1, 2} and m[1].keep_default and not m[2].keep_default and m[2].selected_action == "rename"
     (s,) = G.summary(G.group_items(i, M.edges(i))).collect()
     assert (s.groups, s.files, s.total_bytes, s.extra_files) == (1, 2, 2003, 1)
+
+
+def test_a_bucket_of_many_blocks_equals_brute_force(spark):
+    from twinsieve.operators import tiles as B
+
+    g = random.Random(9)
+    base = [g.getrandbits(63) for _ in range(12)]
+    rows = [item(i, [h ^ (1 << g.randrange(63)) for h in base[: g.choice([12, 12, 7])]], g.choice([50.0, 53.5, 58.0])) for i in range(60)]
+    df = M.bucketed(spark.createDataFrame(rows, SCHEMA)).select("file_id", "bucket", "aspect", F.col("duration_s"), "hashes")
+
+    def judge(a, b):
+        a, b = B.at(a, b, B.once_all(a, b))
+        yield (*B.ends(a, b), B.distance(a, b, False))
+
+    got = sorted((r.a, r.b, r.d) for r in B.judged(df, 1, "any_aspect", judge, "a long, b long, d double", block=9).collect())
+
+    def far(x, y):
+        s = sorted((p ^ q).bit_count() for p, q in zip(x, y, strict=False))
+        return (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 128 if len(x) == len(y) else 1.0
+
+    assert got == [(a, b, far(rows[a][-1], rows[b][-1])) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_audio_edges_meet_by_their_print(spark):
+    """Items that sound unlike others never meet them: the join's keys hold the print, whatever else is in the bucket."""
+    rows = [item(i, [ONES << i % 3] * 12, audio=f"audio:{i % 7}" if i % 2 else "") for i in range(40)] + [item(50, [FULL] * 12, 12.0, audio="audio:3")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = M.audio_edges(df)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert any("Join" in line and line.count("audio_fingerprint") >= 2 for line in plan.splitlines())
+    assert {tuple(r) for r in got.select("file_a", "file_b").collect()} == {(r[0], 50) for r in rows if r[-2] == "audio:3" and r[0] != 50} | {
+        (a[0], b[0]) for a in rows[:40] for b in rows[:40] if a[0] < b[0] and a[-2] == b[-2] != "" and a[-1] != b[-1]
+    }
