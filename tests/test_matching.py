@@ -107,3 +107,58 @@ def test_audio_edges_meet_by_their_print(spark):
     assert {tuple(r) for r in got.select("file_a", "file_b").collect()} == {(r[0], 50) for r in rows if r[-2] == "audio:3" and r[0] != 50} | {
         (a[0], b[0]) for a in rows[:40] for b in rows[:40] if a[0] < b[0] and a[-2] == b[-2] != "" and a[-1] != b[-1]
     }
+
+
+def _tile(n: int, seed: int):
+    import numpy as np
+    from types import SimpleNamespace
+
+    g = np.random.default_rng(seed)
+    hashes = g.integers(0, 1 << 63, (4, 12)).astype("u8")[g.integers(0, 4, n)] ^ (np.uint64(1) << g.integers(0, 64, (n, 12)).astype("u8"))
+    hashes[g.random((n, 12)) < 0.3] = 0
+    duration = np.round(g.uniform(47.5, 57.4, n), 1)
+    ratio = g.choice([0.0, 16 / 9, 1.6, 4 / 3], n)
+    return SimpleNamespace(id=g.integers(0, n, n), bucket=np.round(duration / 5).astype("i8"), duration_s=duration, ratio=ratio, hashes=hashes, n=np.full(n, 12))
+
+
+@pytest.mark.parametrize("length", [12, 9, 2, 1, 0])
+def test_near_pairs_and_counts_equal_judging_all(length):
+    """Pairs found along the durations, and the counters, against every pair judged; ids repeat, and so do durations."""
+    import numpy as np
+
+    from twinsieve.operators import tiles as B
+
+    rows = _tile(300, 3)
+    rows.n[:], rows.hashes = length, rows.hashes[:, :length]
+    low = B._taken(rows, rows.bucket == rows.bucket.min())
+    for a, b in ((low, low), (low, B._taken(rows, rows.bucket != rows.bucket.min()))):
+        for tolerance, aspect, limit in ((8.0, 0.2, 0.18), (5.0, None, 0.29), (4.0, 0.5, 0.12)):
+            x, y = B.at(a, b, B.once_all(a, b) & B.gate_all(a, b, tolerance, aspect))
+            inner = np.abs(x.duration_s - y.duration_s) > 3.0
+            either = lambda f: np.where(inner, f(x, y, True), f(x, y, False))  # noqa: B023, E731
+            passed = either(B.prefilter) <= 44
+            close = passed & (either(B.distance) <= np.where(inner, limit * 0.9, limit))
+            got = list(B.near_pairs(a, b, tolerance, aspect))
+            assert sum(len(p[0].id) for p in got) == passed.sum() and (length < 9 or passed.any())
+            got = [row for part in B.close_pairs(iter(got), limit) for row in zip(*(c.tolist() for c in part), strict=True)]
+            reason, gap = np.where(inner, "trimmed_match", "perceptual"), np.abs(x.duration_s - y.duration_s)
+            want = zip(*(c[close].tolist() for c in (*B.ends(x, y), 1 - either(B.distance), reason, gap)), strict=True)
+            assert sorted(got) == sorted(want)
+            every = B.once_all(a, b).sum()
+            assert B.counted(a, b, tolerance, aspect).tolist() == [2 * every, 2 * len(x.id), 2 * inner.sum()]
+
+
+def test_near_pairs_look_at_two_places_of_half_the_pairs(monkeypatch):
+    """Hashes compared while a bucket meets itself: before, five places of every pair in both orders."""
+    import numpy as np
+
+    from twinsieve.operators import tiles as B
+
+    rows, seen, count = _tile(600, 4), [], np.bitwise_count
+    rows = B._taken(rows, rows.bucket == rows.bucket.min())
+    rows.hashes = np.random.default_rng(1).integers(0, 1 << 63, rows.hashes.shape).astype("u8")
+    monkeypatch.setattr(B, "CHUNK", 2048)
+    monkeypatch.setattr(B.np, "bitwise_count", lambda x, *a, **k: (seen.append(np.size(x)), count(x, *a, **k))[1])
+    for _ in B.close_pairs(B.near_pairs(rows, rows, 8.0, 0.2), 0.18):
+        pass
+    assert 0 < sum(seen) < 1.5 * len(rows.id) ** 2
