@@ -450,3 +450,27 @@ def test_pairs_that_a_pivot_rules_out_are_not_made(spark, monkeypatch):
     got = {r.doc_id: r.first_doc_id for r in lines.line_classes(table).collect()}
     assert all(of[got[i]] == of[i] for i in of) and sum(got[i] == of[i] for i in of) >= 0.97 * len(of)
     assert made[0] < 120 * 4
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_a_met_run_is_not_cut_again_and_tasks_share_an_encoder(name, spaced):
+    import public_tokenizers
+
+    from twinsieve.llm.tokens import encoder_of
+
+    encoder = encoder_of(public_tokenizers.path(name), spaced)
+    assert encoder is encoder_of(public_tokenizers.path(name), spaced)
+    texts = ["One, two... three\n\n four  (five) x1 a.b,", " Été, naïve.\nà la carte ", "\n", "", "a <|endoftext|> b", "tab\there", "a\x1cb", "don't Stop."]
+    assert encoder.encode_many(texts) == [encoder.whole(t) for t in texts]
+    cut, encoder.chunks = encoder.chunks, None  # nothing of these texts is cut into chunks a second time
+    try:
+        assert encoder.encode_many(texts[:2] * 3) == [encoder.whole(t) for t in texts[:2] * 3]
+    finally:
+        encoder.chunks = cut
+
+
+def test_cells_count_no_trigram_over_two_texts():
+    from twinsieve.llm.packing import document_cells
+
+    texts = [b"", b"a", b"ab", b"abc", b"", b"hello world, hello", b"x", b"yz", b"the end of it all"]
+    assert document_cells(texts).tolist() == [document_cells([t])[0].tolist() for t in texts]

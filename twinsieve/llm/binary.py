@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, scratch_path
-from .tokens import ChunkEncoder, in_batches
+from .tokens import encoder_of, in_batches
 
 MAGIC = b"TSB1"
 _TAIL = "<7Q4s"
@@ -152,7 +152,7 @@ def write_packed(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int =
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             if texts and writer is None:
-                encoder = ChunkEncoder(tokenizer, keeps_space=keeps_space)
+                encoder = encoder_of(tokenizer, keeps_space)
                 store, top = fs.FileSystem.from_uri(folder)
                 store.create_dir(top, recursive=True)
                 part = TaskContext.get().partitionId()

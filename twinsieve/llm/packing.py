@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ChunkEncoder, in_batches
+from .tokens import encoder_of, in_batches
 
 SLOTS, BITS, AXES = 256, 10, 3
 
@@ -59,9 +59,12 @@ def document_cells(texts: list[bytes]) -> np.ndarray:
     counts = np.zeros((len(texts), SLOTS), np.float32)
     if len(data) > 2:
         h = (data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA6B) + data[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(24)
-        doc = np.repeat(np.arange(len(texts)), lengths)[:-2]
-        keep = doc == np.repeat(np.arange(len(texts)), lengths)[2:]
-        counts = np.bincount(doc[keep] * SLOTS + h[keep], minlength=len(texts) * SLOTS).reshape(-1, SLOTS).astype(np.float32)
+        at = np.repeat(np.arange(len(texts)) * SLOTS, lengths)[:-2]
+        at += h
+        ends = np.cumsum(lengths)
+        over = np.concatenate([ends - 2, ends - 1])
+        at[over[(over >= 0) & (over < len(at))]] = len(texts) * SLOTS  # trigrams over two texts
+        counts = np.bincount(at, minlength=len(texts) * SLOTS + 1)[:-1].reshape(-1, SLOTS).astype(np.float32)
     v = np.sqrt(counts)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     signs = np.random.default_rng(10).choice(np.array([-1, 1], np.float32), (SLOTS, AXES))
@@ -145,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 0, length:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            encoder = encoder or ChunkEncoder(tokenizer, keeps_space=keeps_space)
+            encoder = encoder or encoder_of(tokenizer, keeps_space)
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in in_batches(texts):
                 for doc_id, raw in zip(ids[a:b], encoder.encode_many([t or "" for t in texts[a:b]]), strict=True):
