@@ -474,3 +474,25 @@ def test_cells_count_no_trigram_over_two_texts():
 
     texts = [b"", b"a", b"ab", b"abc", b"", b"hello world, hello", b"x", b"yz", b"the end of it all"]
     assert document_cells(texts).tolist() == [document_cells([t])[0].tolist() for t in texts]
+
+
+def test_sets_are_fetched_in_slices(spark, monkeypatch):
+    """Many slices give the components of one; no table of sets or overlaps holds more than its slice."""
+    from twinsieve.llm import setjoin
+
+    g = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(12):
+        base = g.choices(words, k=60)
+        for j in range(4):
+            text = base[:]
+            text[g.randrange(60)] = "new"
+            docs.append((i * 10 + j, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, setjoin.similarity_classes(df).collect()))
+    sizes, cut = [], setjoin.Scratch.cut
+    monkeypatch.setattr(setjoin, "SLICE", 12)
+    monkeypatch.setattr(setjoin.Scratch, "cut", lambda self, t, label, release=False: (out := cut(self, t, label, release), label == "sets" and sizes.append(out.count()))[0])
+    assert sorted(map(tuple, setjoin.similarity_classes(df).collect())) == want
+    assert len(sizes) > 2 and sum(sizes) == len({t for _, t in docs}) > max(sizes)

@@ -20,7 +20,8 @@ that no task holds a whole group.
 
 Pairs are fetched as ids. Sets are fetched for one pair of each set first; the links so far are joined
 into components, and of the pairs that still cross components those are compared whose histograms
-leave room for enough shared shingles. No link between different sets is lost: components come out as
+leave room for enough shared shingles. Sets are made and fetched in slices, so that the disk holds
+them once and one slice of what is moved. No link between different sets is lost: components come out as
 if all pairs had been compared.
 
 The order comes from a bounded list of frequent shingles, which settles speed, not results.
@@ -34,6 +35,9 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +53,8 @@ BLOCK = 2048
 CHARS = 300_000
 #: Hash ranges of a set's histogram.
 SLOT_BITS = 10
+#: Sets made or pairs compared in one slice, whose shuffle alone is on disk, and the most slices.
+SLICE, SLICES = 40_000, 16
 #: Most entries of the list of frequent shingles, and the least count in one batch to be noted.
 FREQUENT, NOTED = 1 << 18, 6
 
@@ -390,6 +396,14 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, na long, nb long")
 
 
+def in_slices(scratch: Scratch, rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """make of the rows, by slices of key: each is a table whose shuffle goes before the next begins."""
+    n = min(SLICES, rows.count() // SLICE + 1)
+    slot = F.pmod(F.xxhash64(F.lit(11), key), F.lit(n))
+    parts = [scratch.cut(make(rows.filter(slot == i) if n > 1 else rows), label, release=True) for i in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _histogram(h: np.ndarray) -> bytes | None:
     """Shingles in each of SLOTS hash ranges; None where a count does not fit a byte."""
     c = np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
@@ -488,22 +502,27 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     listed = scratch.cut(list_pairs(index_rows(docs, width, percent, order), percent, LIST), "set-lists", release=True)
     need = listed.filter("kind < 2").select(F.col("a").alias("class")).unionByName(listed.filter("kind < 2").select(F.col("b").alias("class"))).distinct()
     need = scratch.cut(need.join(reps, "class").select("class", F.col("rep.key").alias("rep")), "set-needed")
-    few = maybe_in(docs.select(row_key().alias("key"), "text"), "key", need, "rep")
-    few = few.join(need.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    sets = scratch.cut(_packed(few, width), "sets", release=True)
+
+    def packed(need: DataFrame) -> DataFrame:
+        few = maybe_in(docs.select(row_key().alias("key"), "text"), "key", need, "rep")
+        return _packed(few.join(need.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"]), width)
+
+    sets = in_slices(scratch, need, "rep", packed, "sets")
+    scratch.drop(need)
+    overlaps = lambda pairs: in_slices(scratch, pairs, "a", lambda part: compare(part, sets, percent), "set-overlaps")
+    sieved = lambda pairs: scratch.cut(sieve(pairs, sets, percent), "set-sieved", release=True)
 
     # leaders' pairs and each set's least partner first, then what short lists leave open, then long lists
     linked = (100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))
     short = listed.filter("kind = 0").select("a", "b")
     step = short.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(listed.filter("kind = 2").select("a", "b")).distinct()
     step = scratch.cut(step, "set-first")
-    near = scratch.cut(sieve(step, sets, percent), "set-sieved", release=True)
-    met = scratch.cut(compare(near, sets, percent), "set-overlaps", release=True)
+    met = overlaps(sieved(step))
     links = met.filter(linked).select("a", "b")
     comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
     rest = _crossing(short, comps).distinct().join(step, ["a", "b"], "left_anti")
-    rest = scratch.cut(sieve(scratch.cut(rest, "set-crossing"), sets, percent), "set-sieved", release=True)
-    links = links.unionByName(scratch.cut(compare(rest, sets, percent).filter(linked).select("a", "b"), "set-links", release=True))
+    rest = sieved(scratch.cut(rest, "set-crossing"))
+    links = links.unionByName(overlaps(rest).filter(linked).select("a", "b"))
     comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
 
     groups = scratch.cut(_open_groups(listed, comps, met), "set-open")
@@ -515,8 +534,8 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
         told = blocks_of(groups).join(sets.select("class", "histogram"), "class")
         more = group_pairs(told, percent, best).groupBy("a", "b").agg(F.max("sure").alias("sure"))
         more = scratch.cut(more.join(step, ["a", "b"], "left_anti"), "set-more", release=True)
-        unsure = compare(more.filter("not sure").select("a", "b"), sets, percent).filter(linked).select("a", "b")
-        links = links.unionByName(scratch.cut(unsure, "set-links", release=True)).unionByName(more.filter("sure").select("a", "b"))
+        unsure = overlaps(more.filter("not sure").select("a", "b")).filter(linked).select("a", "b")
+        links = links.unionByName(unsure).unionByName(more.filter("sure").select("a", "b"))
         comps = scratch.cut(connected_components(links, "a", "b"), "set-components")
         step = step.unionByName(more.select("a", "b"))
 
