@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsieve.llm import language, mixing, queries, toxicity
+from twinsieve.llm import language, lines, mixing, queries, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,3 +69,39 @@ def test_toxicity_query_on_hard_labels(spark, tmp_path):
     flat = toxicity.train(docs, one_class)
     assert flat.base < 0.5 and all(r.score == pytest.approx(flat.base, abs=1e-6) for r in toxicity.score_documents(docs, flat).collect())
     assert toxicity.score_documents(docs.filter("doc_id > 5000"), toxicity.train(docs.filter("doc_id > 5000"), one_class)).count() == 0
+
+
+def test_lines_join_a_large_component_without_pairs(spark, monkeypatch):
+    """Lines that are like many of a large component, found by their common pivot: the join makes few pairs, and no link is lost."""
+    import random
+
+    g, made, cut = random.Random(8), [], lines.Scratch.cut
+    word = lambda: "".join(g.choice("abcdefghijklmnopqrst") for _ in range(g.randint(3, 8)))
+    base, rows = [word() for _ in range(80)], []
+    for k in range(400):
+        v = list(base)
+        for _ in range(g.randint(1, 3) if k < 250 else 8):
+            v[g.randrange(len(v))] = word()
+        rows.append(" ".join(v))
+    n = lines.SHINGLE
+    sets = [{x[k : k + n] for k in range(len(x) - n + 1)} for x in rows]
+    of = list(range(len(rows)))
+    root = lambda i: i if of[i] == i else root(of[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 180 * shared >= 80 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((root(i), root(j)))
+                of[b] = a
+
+    def counted(self, df, label, release=False):
+        out = cut(self, df, label, release)
+        if label == "line-crossing":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "cut", counted)
+    got = {r.doc_id: r.first_doc_id for r in lines.line_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    wrong = [i for i in got if root(got[i]) != root(i)]
+    assert not wrong and sum(got[i] == root(i) for i in got) >= 0.97 * len(got)
+    assert not made or made[0] < 400
