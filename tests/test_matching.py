@@ -162,3 +162,19 @@ def test_near_pairs_look_at_two_places_of_half_the_pairs(monkeypatch):
     for _ in B.close_pairs(B.near_pairs(rows, rows, 8.0, 0.2), 0.18):
         pass
     assert 0 < sum(seen) < 1.5 * len(rows.id) ** 2
+
+
+def test_a_group_of_near_copies_leaves_a_row_an_item(spark):
+    """A tile's edges grow with the square of a group and stay in the tile; groups and scores are those of all edges."""
+    g = random.Random(12)
+    base = [[g.getrandbits(63) for _ in range(12)] for _ in range(3)]
+    rows = [item(i, [h ^ (g.getrandbits(63) & g.getrandbits(63) & g.getrandbits(63) & g.getrandbits(63)) for h in base[i % 3]], 50.0 if i % 3 == 2 else g.choice([50.0, 53.5, 58.0]), audio=f"audio:{i % 9}" if i % 2 else "") for i in range(90)]
+    df = spark.createDataFrame([*rows, item(7, base[0], 51.0)], SCHEMA)
+    edges, met = M.edges(df).cache(), M.met_items(df).cache()
+    assert edges.count() > 1000 and met.filter("rank <> 2").count() <= 3 * len(rows)
+    told = lambda m: sorted((r.file_id, r.group_id, round(r.similarity_score, 9), r.match_reason, r.match_duration_delta_s, r.keep_default) for r in m.collect())
+    got = told(G.group_met(df, met))
+    assert got == told(G.group_items(df, edges)) and {r[3] for r in got} >= {"trimmed_match", "perceptual"}
+    sides = [(r[k], r.score) for r in edges.collect() for k in ("file_a", "file_b")]
+    mean = lambda i: sum(s for j, s in sides if j == i) / sum(j == i for j, _ in sides)
+    assert all(abs(r[2] - mean(r[0])) < 1e-8 for r in got)
