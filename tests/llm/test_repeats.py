@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsieve.llm import language, lines, mixing, queries, toxicity
+from twinsieve.llm import language, lines, mixing, queries, setjoin, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -105,3 +105,27 @@ def test_lines_join_a_large_component_without_pairs(spark, monkeypatch):
     wrong = [i for i in got if root(got[i]) != root(i)]
     assert not wrong and sum(got[i] == root(i) for i in got) >= 0.97 * len(got)
     assert not made or made[0] < 400
+
+
+def test_sets_are_kept_as_texts(spark, monkeypatch):
+    """The table of sets that are compared takes less than their shingles, eight bytes each, and the components are right."""
+    import pathlib
+    import random
+
+    g, cut, sizes = random.Random(4), setjoin.Scratch.cut, []
+    vocabulary = ["".join(g.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts = []
+    for i in range(60):
+        texts.append(" ".join(g.choice(vocabulary) for _ in range(3000)) if i % 3 == 0 else texts[-1] + f" end{i}")
+
+    def counted(self, df, label, release=False):
+        out = cut(self, df, label, release)
+        if label == "sets":
+            bytes_ = sum(pathlib.Path(f.split("://")[-1].removeprefix("file:")).stat().st_size for f in out.inputFiles())
+            sizes.append((bytes_, 8 * out.agg(F.sum("n")).first()[0]))
+        return out
+
+    monkeypatch.setattr(setjoin.Scratch, "cut", counted)
+    got = setjoin.similarity_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 3 for i in range(60)}
+    assert sizes and sum(s for s, _ in sizes) < 0.25 * sum(n for _, n in sizes)

@@ -20,8 +20,8 @@ that no task holds a whole group.
 
 Pairs are fetched as ids. Sets are fetched for one pair of each set first; the links so far are joined
 into components, and of the pairs that still cross components those are compared whose histograms
-leave room for enough shared shingles. Sets are made and fetched in slices, so that the disk holds
-them once and one slice of what is moved. No link between different sets is lost: components come out as
+leave room for enough shared shingles. Texts of sets are kept and fetched in slices, so that the disk holds
+them once and one slice of what is moved; shingles, which are larger, are made where they are compared. No link between different sets is lost: components come out as
 if all pairs had been compared.
 
 The order comes from a bounded list of frequent shingles, which settles speed, not results.
@@ -373,25 +373,27 @@ def group_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     return rows.repartition("leader", "left", "right").sortWithinPartitions("leader", "left", "right").mapInArrow(run, "a long, b long, sure boolean")
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, shared, na, nb of pairs(a, b), by their sets(class, shingles)."""
-    left = maybe_in(sets, "class", pairs, "a").select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    right = maybe_in(sets, "class", pairs, "b").select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+def compare(pairs: DataFrame, sets: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
+    """a, b, shared, na, nb of pairs(a, b), by their sets(class, text): a text is less than its shingles, which are made anew, once a batch."""
+    left = maybe_in(sets, "class", pairs, "a").select(F.col("class").alias("a"), F.col("text").alias("x"))
+    right = maybe_in(sets, "class", pairs, "b").select(F.col("class").alias("b"), F.col("text").alias("y"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            shared, na, nb = [], [], []
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                shared.append(int((both[1:] == both[:-1]).sum()))
-                na.append(len(p))
-                nb.append(len(q))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(v, pa.int64()) for v in (shared, na, nb))], names=["a", "b", "shared", "na", "nb"])
+            x, y, a_all, b_all = (batch.column(k).to_pylist() for k in ("x", "y", "a", "b"))
+            for i, j in in_batches([p + q for p, q in zip(x, y, strict=True)], CHARS):
+                of = dict(zip(a_all[i:j] + b_all[i:j], x[i:j] + y[i:j], strict=True))
+                made = dict(zip(of, shingle_sets(list(of.values()), width), strict=True))
+                shared, na, nb = [], [], []
+                for a, b in zip(a_all[i:j], b_all[i:j], strict=True):
+                    both = np.concatenate([made[a], made[b]])
+                    both.sort()
+                    shared.append(int((both[1:] == both[:-1]).sum()))
+                    na.append(len(made[a]))
+                    nb.append(len(made[b]))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a_all[i:j], b_all[i:j], shared, na, nb)], names=["a", "b", "shared", "na", "nb"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, na long, nb long")
 
@@ -436,7 +438,7 @@ def sieve(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _packed(docs: DataFrame, width: int) -> DataFrame:
-    """class, n, histogram, shingles of docs(text)."""
+    """class, n, histogram, text of docs(text)."""
 
     def run(batches):
         import pyarrow as pa
@@ -447,10 +449,10 @@ def _packed(docs: DataFrame, width: int) -> DataFrame:
                 s = shingle_sets(texts[a:b], width)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([_class(v) for v in s], pa.int64()), pa.array([len(v) for v in s], pa.int64()),
-                    pa.array([_histogram(v) for v in s], pa.binary()), pa.array([v.tobytes() for v in s], pa.binary()),
-                ], names=["class", "n", "histogram", "shingles"])
+                    pa.array([_histogram(v) for v in s], pa.binary()), pa.array(texts[a:b], pa.string()),
+                ], names=["class", "n", "histogram", "text"])
 
-    return docs.select("text").mapInArrow(run, "class long, n long, histogram binary, shingles binary")
+    return docs.select("text").mapInArrow(run, "class long, n long, histogram binary, text string")
 
 
 def _component_of(rows: DataFrame, comps: DataFrame, column: str) -> DataFrame:
@@ -509,7 +511,7 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     sets = in_slices(scratch, need, "rep", packed, "sets")
     scratch.drop(need)
-    overlaps = lambda pairs: in_slices(scratch, pairs, "a", lambda part: compare(part, sets, percent), "set-overlaps")
+    overlaps = lambda pairs: in_slices(scratch, pairs, "a", lambda part: compare(part, sets, percent, width), "set-overlaps")
     sieved = lambda pairs: scratch.cut(sieve(pairs, sets, percent), "set-sieved", release=True)
 
     # leaders' pairs and each set's least partner first, then what short lists leave open, then long lists
