@@ -21,7 +21,7 @@ def exact_clusters(rows: DataFrame, path: str, group: str = "group_id") -> DataF
     """Rows of one group and of equal (size, digest), two or more, with a label by order of first path within the group."""
     keys = [group, "size", "digest"]
     c = rows.groupBy(*keys).agg(F.count("*").alias("members"), F.min(F.lower(path)).alias("first_path")).filter("members >= 2")
-    n = F.row_number().over(Window.partitionBy(group).orderBy("first_path", "digest")) - 1
+    n = F.row_number().over(Window.partitionBy(group).orderBy("first_path", "digest", "size")) - 1
     marks = F.array(*[F.lit(m) for m in "●■♥♦"])
     label = F.when(n < 4, F.try_element_at(marks, n + 1)).otherwise(X.alpha_label(n - 4))
     return c.select(*keys, "members", "first_path", n.alias("cluster"), label.alias("label"))
