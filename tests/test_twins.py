@@ -1,6 +1,7 @@
 """Queries against their SQL twins, on tables that hold what the given ones are too small for."""
 
 import duckdb
+import pytest
 
 from __spark_entry__ import oracle_sql, queries
 
@@ -27,3 +28,8 @@ def test_clusters_that_share_a_path_have_one_order(spark, tmp_path):
     got, told = both(spark, tmp_path, "exact_clusters", "documents", rows, "doc_id long, text string, lang string, source string, n_chars int")
     assert got == told and len(got) == 2
 
+
+@pytest.mark.parametrize("key", [25, 26, 701, 702, 18277, 18278, 475253, 475254, 12356629, 12356630, 2 * 10**10])
+def test_scalar_functions_of_large_keys(spark, tmp_path, key):
+    got, told = both(spark, tmp_path, "scalar_functions", "orders", [(key,)], "o_orderkey long")
+    assert got == told
