@@ -70,33 +70,15 @@ def incremental_stream(listings: DataFrame, keys: list[str]) -> DataFrame:
     return listings.withWatermark("at", "0 seconds").groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
-class _Newest(StatefulProcessor):
-    """Per file: the time of the newest mark, and whether it is a failure."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "at long, bad int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        told = pd.concat(list(rows))
-        best = max(zip(told["at"].astype(int), told["bad"].astype(int), strict=True), key=lambda m: (m[0], -m[1]))
-        held = tuple(self.newest.get()) if self.newest.exists() else None
-        if held is None or (best[0], -best[1]) > (held[0], -held[1]):
-            self.newest.update((int(best[0]), int(best[1])))
-            yield pd.DataFrame([(*key, int(best[0]), int(best[1]))], columns=self.columns)
-
-    def close(self) -> None:
-        pass
-
-
 def failure_stream(marks: DataFrame, keys: list[str]) -> DataFrame:
-    """marks(keys, at, bad): a row whenever a file's newest mark changes; at one time a success clears a failure."""
-    fields = dict(marks.dtypes)
-    processor = _Newest()
-    processor.columns = [*keys, "at", "bad"]
-    schema = f"{', '.join(f'{k} {fields[k]}' for k in keys)}, at long, bad int"
-    return marks.groupBy(*keys).transformWithStateInPandas(processor, schema, "Update", "None")
+    """marks(keys, at, bad): a row whenever a file's newest mark changes; at one time a success clears a failure.
+
+    Of equal marks the batch that told it first counts (its time is one of the order), so a file is told where that is the batch at hand.
+    """
+    now = F.unix_micros(F.current_timestamp())
+    rows = marks.select(*keys, F.col("at").cast("long").alias("at"), F.col("bad").cast("int").alias("bad"), now.alias("_told"))
+    newest = rows.groupBy(*keys).agg(F.max(F.struct("at", (-F.col("bad")).alias("good"), (-F.col("_told")).alias("told"))).alias("_newest"), F.max("_told").alias("_last"))
+    return newest.filter(F.col("_last") == -F.col("_newest.told")).select(*keys, F.col("_newest.at").alias("at"), (-F.col("_newest.good")).alias("bad"))
 
 
 class _Ordered(StatefulProcessor):
