@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from twinsieve.streaming.state import failure_stream, run_to_table
+from twinsieve.streaming.state import failure_stream, incremental_stream, run_to_table
 
 
 def written(spark, tmp_path, make, batches, mode):
@@ -18,6 +18,7 @@ def plan(df):
 
 
 @pytest.mark.parametrize("make", [
+    lambda f: incremental_stream(f.select("scan_id", F.timestamp_seconds("scan_id").alias("at"), "version", "path"), ["path"]),
     lambda f: failure_stream(f.select("path", F.col("scan_id").alias("at"), F.lit(1).alias("bad")), ["path"]),
 ])
 def test_no_python_runs_a_key(spark, tmp_path, make):
@@ -26,6 +27,18 @@ def test_no_python_runs_a_key(spark, tmp_path, make):
     assert "Pandas" not in told and "transformWithState" not in told
 
 
+def test_scans_of_one_batch_are_told_one_by_one(spark, tmp_path):
+    """A file of the first and the third scan is deleted in the second, though all three come in one batch."""
+    rows = [(0, "a", "/p"), (0, "a", "/q"), (1, "a", "/q"), (2, "a", "/p"), (2, None, "/q")]
+    more = [(3, None, "/q")]
+    df = lambda r: spark.createDataFrame(r, "scan_id long, version string, path string").coalesce(1)
+    make = lambda f: incremental_stream(f.select("scan_id", F.timestamp_seconds("scan_id").alias("at"), "version", "path"), ["path"])
+    got = written(spark, tmp_path, make, [df(rows), df(more)], "append")
+    assert sorted((r.scan_id, r.path, r.state) for r in got.collect()) == [
+        (0, "/p", "new"), (0, "/q", "new"), (1, "/p", "deleted"), (1, "/q", "unchanged"), (2, "/p", "new"), (2, "/q", "modified"), (3, "/p", "deleted"), (3, "/q", "unchanged"),
+    ]
+
+
 def test_marks_told_again_change_nothing(spark, tmp_path):
     df = lambda r: spark.createDataFrame(r, "path string, at long, bad int").coalesce(1)
     got = written(spark, tmp_path, lambda f: failure_stream(f, ["path"]), [df([("/a", 5, 1), ("/b", 5, 1)]), df([("/a", 5, 1), ("/b", 5, 0)])], "update")

@@ -2,7 +2,8 @@
 
 State lives in the stream's checkpoint (RocksDB), so a run that is stopped and started again goes on
 where it was. Keys are spread by hash; one key's state is a few numbers, but for the ordered
-release, which holds the rows that came too early.
+release, which holds the rows that came too early. Files and marks are grouped by Spark's own aggregates, without a
+call of Python a key; the ordered release calls Python once a lane.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Added to a scan's number where it is a time: rows of a time of 0 or less are late from the start.
+_FIRST = 1_000_000_000
 
 
 def keyed_store(spark: SparkSession) -> None:
@@ -21,53 +24,24 @@ def keyed_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-class _Incremental(StatefulProcessor):
-    """Per path: the scan that saw it last, and its version."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "scan_id long, version string, due long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        out, held = [], self.seen.get() if self.seen.exists() else None
-        told = pd.concat(list(rows)).sort_values("scan_id")
-        for scan_id, version, at in zip(told["scan_id"], told["version"], told["at"], strict=True):
-            version = None if version is None or version != version else str(version)
-            if held is not None and held[0] == scan_id:
-                continue  # the same listing again
-            state = "new" if held is None else "unchanged" if held[1] == version else "modified"
-            out.append((int(scan_id), *key, state))
-            if held is not None:
-                self.handle.deleteTimer(held[2])
-            held = (int(scan_id), version, int(at.value // 1_000_000) + 1)
-            self.handle.registerTimer(held[2])  # due once a later scan has come
-        self.seen.update(held)
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
-        held = self.seen.get()
-        self.seen.clear()
-        yield pd.DataFrame([(held[0] + 1, *key, "deleted")], columns=self.columns)
-
-    def close(self) -> None:
-        pass
-
-
 def incremental_stream(listings: DataFrame, keys: list[str]) -> DataFrame:
     """listings(scan_id, at, version, keys): scan_id, keys, state of every file of a scan against the scan before.
 
     state is new, unchanged, modified or deleted; a file that a scan lacks is told once, as deleted in the scan after the last that saw
-    it, when a scan with a later time `at` has come. Scans are numbered one by one, and each is listed whole before the next.
+    it. Scans are numbered one by one, and each is listed whole, in one batch, before the next; a scan's files are told when it has come.
+    A listing counts twice, for its scan and as what the next one is compared with; the scan's number is the time by which
+    groups are complete, so that state is held of one scan's files.
     """
-    fields = dict(listings.dtypes)
-    processor = _Incremental()
-    processor.columns = ["scan_id", *keys, "state"]
-    schema = f"scan_id long, {', '.join(f'{k} {fields[k]}' for k in keys)}, state string"
-    return listings.withWatermark("at", "0 seconds").groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+    def side(name: str, ahead: int) -> DataFrame:
+        rows = listings.select(F.timestamp_seconds(F.col("scan_id") + (_FIRST + ahead)).alias("_scan"), *keys, F.struct("version").alias("_told"), F.lit(name).alias("_side"))
+        return rows.withWatermark("_scan", f"{ahead} seconds")  # both sides reach the number of the scan that came
+
+    of = lambda name: F.max(F.when(F.col("_side") == name, F.col("_told"))).alias(name)
+    both = side("now", 0).unionByName(side("before", 1)).groupBy("_scan", *keys).agg(of("now"), of("before"))
+    same = F.col("now.version").eqNullSafe(F.col("before.version"))
+    state = F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "deleted").when(same, "unchanged").otherwise("modified")
+    return both.select((F.unix_seconds("_scan") - _FIRST).alias("scan_id"), *keys, state.alias("state"))
 
 
 def failure_stream(marks: DataFrame, keys: list[str]) -> DataFrame:
