@@ -30,6 +30,9 @@ def test_pairs_of_a_tile(seed, monkeypatch):
     b = SimpleNamespace(**{k: np.concatenate([getattr(a, k), getattr(b, k)[(b.bucket > a.bucket[0]) if len(a.id) else slice(None)]]) for k in vars(a)})
     x, y = B.at(a, b, B.once_all(a, b))
     assert listed(B.all_pairs(a, b)) == sorted(zip(*(e.tolist() for e in B.ends(x, y)), strict=True))
+    for aspect in (None, 0.2, 0.5):
+        x, y = B.at(a, b, B.once_all(a, b) & B.gate(SimpleNamespace(duration_s=a.duration_s[:, None], ratio=a.ratio[:, None]), SimpleNamespace(duration_s=b.duration_s[None, :], ratio=b.ratio[None, :]), 8.0, aspect))
+        assert listed(B.gated_pairs(a, b, 8.0, aspect)) == sorted(zip(*(e.tolist() for e in B.ends(x, y)), strict=True))
 
 
 def test_pairs_leave_a_tile_as_lists(spark):
